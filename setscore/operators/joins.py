@@ -36,3 +36,11 @@ def work_partitions(df: DataFrame, factor: int = 4) -> int:
     spark = df.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(shuffle, spark.sparkContext.defaultParallelism * factor)
+
+
+def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (R keeps NA as a group key)."""
+    keys = list(keys)
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])

@@ -113,11 +113,12 @@ def walk_scores(ranked: DataFrame, gene_sets: DataFrame) -> DataFrame:
     total = F.sum("r").over(grp)
     m = F.count(F.lit(1)).over(grp)
     walk = (hits.withColumn("k", k).withColumn("m", m)
-                .withColumn("cum", F.try_divide(F.sum("r").over(run), total))
-                .withColumn("step", F.try_divide(F.col("r"), total)))
+                .withColumn("cr", F.sum("r").over(run)).withColumn("tot", total))
     pen = F.coalesce(F.try_divide(F.col("pos") - F.col("k"), F.col("p") - F.col("m")), F.lit(0.0))
-    dev = walk.select("unit", "set_name", (F.col("cum") - pen).alias("hi"),
-                      (F.col("cum") - F.col("step") - pen).alias("lo"))
+    # Walk just after hit k (its high) and just before it (its low). Units with
+    # the same hit positions get bit-identical scores, so ties stay ties.
+    dev = walk.select("unit", "set_name", (F.try_divide(F.col("cr"), F.col("tot")) - pen).alias("hi"),
+                      (F.try_divide(F.col("cr") - F.col("r"), F.col("tot")) - pen).alias("lo"))
     agg = dev.groupBy("unit", "set_name").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     score = F.greatest(F.col("hi"), F.lit(0.0)) + F.least(F.col("lo"), F.lit(0.0))
     return agg.select("unit", "set_name", F.coalesce(score, F.lit(0.0)).alias("score"))
