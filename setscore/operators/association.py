@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setscore.functions.stats import phi
-from setscore.operators.joins import broadcast_if_small, join_on_keys
+from setscore.operators.joins import join_on_keys
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -240,7 +240,7 @@ def pearson_matrix(df: DataFrame, obs: str, var: str, value: str) -> DataFrame:
     """
     st = df.groupBy(var).agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"),
                              F.count(value).alias("n"))
-    z = (df.join(broadcast_if_small(st), var)
+    z = (df.join(st, var)
            .select(obs, var, F.try_divide(F.col(value) - F.col("mu"), F.col("sd")).alias("z"),
                    (F.col("n") - 1).alias("dof")))
     a = z.select(obs, F.col(var).alias("var_a"), F.col("z").alias("za"), "dof")

@@ -65,7 +65,9 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, key_cols: Sequence[str] = HU
     # shuffle on cell_id, which is never hot (one cell has at most one row per gene).
     sums = (counts.join(keyed, "cell_id")
                   .groupBy("stem", "gene").agg(F.sum("value").alias("s")))
-    return (sums.join(broadcast_if_small(unit_sizes(keyed)), "stem")
+    # unit_sizes has one row per unit: AQE turns this into a broadcast join from
+    # the measured shuffle size, and keeps the sort-merge join otherwise.
+    return (sums.join(unit_sizes(keyed), "stem")
                 .select("gene", "unit", (F.col("s") / F.col("cell_count")).alias("mean_exp"), "cell_count"))
 
 

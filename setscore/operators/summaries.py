@@ -46,16 +46,17 @@ def group_mean(df: DataFrame, keys: Sequence[str], value: str, alias: str, stric
 
 
 def complete_grid(df: DataFrame, row: str, col: str, value: str, fill: float | None = None) -> DataFrame:
-    """A5 via P5 + P4: spread ``col`` into columns, then gather back; missing cells -> ``fill``.
+    """A5: every (row, col) pair of the keys present in ``df``; missing cells -> ``fill``.
 
-    The column keys are labels from a rule table (bounded), so the pivot is
-    narrow; no cross join is built.
+    The column keys are labels from a rule table, so their set is bounded; it
+    is gathered by a scalar subquery and exploded per row key. No cross join
+    and no pivot job.
     """
     keyed = df.withColumn(col, F.coalesce(F.col(col), F.lit(_NULL_KEY)))
-    wide = keyed.groupBy(row).pivot(col).agg(F.first(value))
-    cols = [c for c in wide.columns if c != row]
-    long = wide.unpivot([row], cols, col, value)
-    out = long.withColumn(col, F.when(F.col(col) == _NULL_KEY, F.lit(None)).otherwise(F.col(col)))
+    col_keys = keyed.agg(F.array_sort(F.collect_set(col))).scalar()
+    grid = keyed.select(row).distinct().select(row, F.explode(col_keys).alias(col))
+    out = grid.join(keyed.select(row, col, value), [row, col], "left")
+    out = out.withColumn(col, F.when(F.col(col) == _NULL_KEY, F.lit(None)).otherwise(F.col(col)))
     if fill is not None:
         out = out.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
     return out
@@ -78,7 +79,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
                  F.col("_q")[2].alias("q3"))
     fence_lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     fence_hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    j = join_on_keys(df.select(*keys, value), broadcast_if_small(q), keys)
+    j = join_on_keys(df.select(*keys, value), q, keys)
     inside = (v >= fence_lo) & (v <= fence_hi)
     w = (j.groupBy(*keys)
           .agg(F.min(F.when(inside, v)).alias("lower"), F.max(F.when(inside, v)).alias("upper"),
@@ -107,7 +108,7 @@ def violin_density(df: DataFrame, keys: Sequence[str], value: str, n_points: int
             .where(F.col("n") >= 2))
     st = st.withColumn("bw", _nrd0(F.col("sd"), F.col("_q")[1] - F.col("_q")[0], F.abs(F.col("lo")), F.col("n")))
     step = (F.col("hi") - F.col("lo")) / float(n_points - 1)
-    pts = (join_on_keys(df.select(*keys, value), broadcast_if_small(st.drop("_q", "sd")), keys)
+    pts = (join_on_keys(df.select(*keys, value), st.drop("_q", "sd"), keys)
              .select(*keys, v.alias("v"), "lo", "bw", "n", step.alias("step"),
                      F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")))
     x = F.col("lo") + F.col("i") * F.col("step")

@@ -4,7 +4,7 @@ Every report takes domain frames (``expr``, ``scores``, ``gene_sets``,
 ``counts``/``cells``) and returns a DataFrame; nothing is collected. Scoring
 is the expensive step, so reports take a ``scores`` frame computed once by
 :func:`scores_for` (X5) instead of rescoring per report as the reference does.
-Labels are parsed once per distinct unit and joined back (X4).
+Labels are column expressions evaluated after the filters, on unit-level rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from setscore.functions import labels as L
 from setscore.operators import association as A
 from setscore.operators import summaries as S
-from setscore.operators.joins import broadcast_if_small
 from setscore.operators.reshape import select_timepoint_units
 from setscore.operators.scoring import score_gene_sets, scores_wide
 from setscore.session import cut_lineage
@@ -32,25 +31,28 @@ def scores_for(expr: DataFrame, gene_sets: DataFrame, persist: bool = True) -> D
     return cut_lineage(scores) if persist else scores
 
 
-def _labels(scores_or_expr: DataFrame, human: bool, n_lead: int, n_trail: int, violin: bool) -> DataFrame:
-    units = scores_or_expr.select("unit").distinct()
+def _label_cols(human: bool, n_lead: int, n_trail: int, violin: bool) -> list:
+    u = F.col("unit")
     if human:
-        lab = L.human_unit_labels(units, n_lead=n_lead, n_trail=n_trail, violin=violin)
-    else:
-        lab = L.mouse_unit_labels(units)
-    return broadcast_if_small(lab)
+        return [L.sample_of(u, n_lead, n_trail).alias("sample"), L.response_of(u).alias("response"),
+                L.timepoint_of(u).alias("timepoint"), L.human_cell_type(u, violin).alias("cell_type")]
+    return [L.sample_of(u, 1, 1).alias("sample"), L.mouse_cell_type(u).alias("cell_type")]
 
 
 def labelled_scores(scores: DataFrame, human: bool = True, n_lead: int = 3, n_trail: int = 2,
                     violin: bool = False) -> DataFrame:
-    """G6 + L3, L5-L8: long scores with sample / response / timepoint / cell type."""
-    return scores.join(_labels(scores, human, n_lead, n_trail, violin), "unit")
+    """G6 + L3, L5-L8: long scores with sample / response / timepoint / cell type.
+
+    Labels are column expressions on the unit-level score table (one row per
+    unit and set), evaluated in the same codegen stage; no join is needed.
+    """
+    return scores.select("*", *_label_cols(human, n_lead, n_trail, violin))
 
 
 def labelled_wide(scores: DataFrame, human: bool = True, n_lead: int = 3, n_trail: int = 2) -> DataFrame:
     """G7 + labels: one row per unit with gene_sig_score_1/2 (the reference's d1)."""
     wide = scores_wide(scores, [SET_1, SET_2])
-    return wide.join(_labels(scores, human, n_lead, n_trail, False), "unit")
+    return wide.select("*", *_label_cols(human, n_lead, n_trail, False))
 
 
 # ---- R1 / R2 --------------------------------------------------------------------------------
@@ -124,14 +126,10 @@ def _heat_long(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> Dat
     e = S.keep_genes(expr, gene_sets)
     if human:
         e = select_timepoint_units(e)
-    units = e.select("unit").distinct()
     u = F.col("unit")
     if human:
-        lab = units.select("unit", L.timepoint_of(u).alias("timepoint"), L.human_cell_type(u).alias("cell_type"))
-    else:
-        lab = units.select("unit", F.lit(None).cast("string").alias("timepoint"),
-                           L.mouse_cell_type(u).alias("cell_type"))
-    return e.join(broadcast_if_small(lab), "unit")
+        return e.select("*", L.timepoint_of(u).alias("timepoint"), L.human_cell_type(u).alias("cell_type"))
+    return e.select("*", F.lit(None).cast("string").alias("timepoint"), L.mouse_cell_type(u).alias("cell_type"))
 
 
 def heatmap_celltype(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
