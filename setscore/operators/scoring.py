@@ -59,8 +59,9 @@ def _phi_np(u: np.ndarray) -> np.ndarray:
 def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """One (gene, block_j, block_k) tile: sum_k Phi((x_j - x_k)/h) for each j row."""
     left = pdf[pdf["side"] == 0]
-    if left.empty:
-        return pd.DataFrame({"gene": [], "unit": [], "s": []})
+    if left.empty:   # a right block replicated to an empty left block
+        return pd.DataFrame({"gene": pd.Series([], dtype=object), "unit": pd.Series([], dtype=object),
+                             "s": pd.Series([], dtype="float64")})
     right = pdf.loc[pdf["side"] == 1, "value"].to_numpy()
     x = left["value"].to_numpy()
     h = float(left["h"].iloc[0])
