@@ -26,8 +26,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
-    # warm the JVM and the Python workers so the first query is not charged for it
+    # Session warm-up, not charged to any query: JVM code paths, and one Python
+    # worker per core (started once per executor on a cluster too).
     spark.range(1000).selectExpr("sum(id)").collect()
+    spark.range(0, cpus * 64, 1, cpus).mapInPandas(lambda it: it, "id long").collect()
 
     times: dict[str, float] = {}
     for name in ORDER:

@@ -49,6 +49,7 @@ def gene_stats(expr: DataFrame) -> DataFrame:
 
 
 def _phi_np(u: np.ndarray) -> np.ndarray:
+    """Phi(u), the NumPy twin of functions.stats.phi (same polynomial)."""
     a = np.abs(u)
     t = 1.0 / (1.0 + AS_P * a)
     b1, b2, b3, b4, b5 = AS_B
@@ -56,42 +57,88 @@ def _phi_np(u: np.ndarray) -> np.ndarray:
     return np.where(u >= 0, 1.0 - tail, tail)
 
 
+# Columns of the right block processed at a time: keeps the temporaries of one
+# step (rows x 128 doubles) in cache instead of streaming rows x block_rows.
+_CHUNK = 128
+
+
+def _phi_row_sums(x: np.ndarray, right: np.ndarray, h: float) -> np.ndarray:
+    """sum_k Phi((x_j - right_k) / h) for every j, in place and cache-blocked.
+
+    Phi(u) = 1 - tail(|u|) for u >= 0 and tail(|u|) otherwise, so a row sum is
+    #(u >= 0) plus the tails signed by -u.
+    """
+    b1, b2, b3, b4, b5 = AS_B
+    out = np.zeros(len(x))
+    for start in range(0, len(right), _CHUNK):
+        u = np.subtract.outer(x, right[start:start + _CHUNK])
+        u /= h
+        a = np.abs(u)
+        t = a * AS_P
+        t += 1.0
+        np.reciprocal(t, out=t)
+        q = t * b5
+        for b in (b4, b3, b2, b1):
+            q += b
+            q *= t
+        a *= a
+        a *= -0.5
+        np.exp(a, out=a)
+        a *= INV_SQRT_2PI
+        q *= a
+        np.copysign(q, -u, out=q)
+        out += q.sum(axis=1)
+        out += (u >= 0).sum(axis=1)
+    return out
+
+
 def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """One (gene, block_j, block_k) tile: sum_k Phi((x_j - x_k)/h) for each j row."""
     left = pdf[pdf["side"] == 0]
     if left.empty:   # a right block replicated to an empty left block
         return pd.DataFrame({"gene": pd.Series([], dtype=object), "unit": pd.Series([], dtype=object),
-                             "s": pd.Series([], dtype="float64")})
-    right = pdf.loc[pdf["side"] == 1, "value"].to_numpy()
-    x = left["value"].to_numpy()
-    h = float(left["h"].iloc[0])
-    if right.size:
-        s = _phi_np((x[:, None] - right[None, :]) / h).sum(axis=1)
-    else:
-        s = np.zeros(len(x))
-    return pd.DataFrame({"gene": left["gene"].to_numpy(), "unit": left["unit"].to_numpy(), "s": s})
-
-
-def kernel_cdf(expr: DataFrame, stats: DataFrame | None = None, block_rows: int = 1024,
+                             "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
+    right = pdf.loc[pdf["side"] == 1, "value"].to_numpy(dtype=np.float64)
+    x = left["value"].to_numpy(dtype=np.float64)
+    s = _phi_row_sums(x, right, float(left["h"].iloc[0]))
+    return pd.DataFrame({"gene": left["gene"].to_numpy(), "unit": left["unit"].to_numpy(), "s": s,
+                         "n": left["n"].to_numpy(dtype=np.int64)})
+
+
+def kernel_cdf(expr: DataFrame, stats: DataFrame | None = None, block_rows: int = 2048,
                partitions: int | None = None) -> DataFrame:
-    """(unit, gene, z) Gaussian-kernel CDF of each value within its gene."""
+    """(unit, gene, z) Gaussian-kernel CDF of each value within its gene.
+
+    The result is hash-partitioned by ``unit``, the key of the ranking window
+    that consumes it, so ranking needs no further shuffle.
+    """
     stats = gene_stats(expr) if stats is None else stats
-    a = (expr.join(stats.select("gene", "n", "h"), "gene")
+    # One row per gene: cached, size-checked, then broadcast, so expr is never
+    # shuffled just to attach h (too many genes -> planner's shuffle join).
+    stats = broadcast_if_small(stats.select("gene", "n", "h").cache())
+    a = (expr.join(stats, "gene")
              .withColumn("nb", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
              .withColumn("blk", F.pmod(F.xxhash64("unit"), F.col("nb")).cast("int")))
-    blocks = F.sequence(F.lit(0), F.col("nb") - 1)
-    left = a.select("gene", F.col("blk").alias("bj"), F.explode(blocks).alias("bk"),
-                    F.lit(0).alias("side"), "unit", "value", "h")
-    right = a.select("gene", F.explode(blocks).alias("bj"), F.col("blk").alias("bk"),
-                     F.lit(1).alias("side"), F.lit(None).cast("string").alias("unit"), "value",
-                     F.lit(None).cast("double").alias("h"))
+    # One pass emits both roles of a row: i < nb -> left row of tile (blk, i);
+    # i >= nb -> right row of tile (i - nb, blk).
+    i = F.col("i")
+    is_left = i < F.col("nb")
+    tiles_in = a.select("gene", "unit", "value", "h", "n", "nb", "blk",
+                        F.explode(F.sequence(F.lit(0), 2 * F.col("nb") - 1)).alias("i"))
+    tiles_in = tiles_in.select(
+        "gene",
+        F.when(is_left, F.col("blk")).otherwise(i - F.col("nb")).alias("bj"),
+        F.when(is_left, i).otherwise(F.col("blk")).alias("bk"),
+        F.when(is_left, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+        F.when(is_left, F.col("unit")).alias("unit"), "value",
+        F.when(is_left, F.col("h")).alias("h"), F.when(is_left, F.col("n")).alias("n"))
     nparts = partitions or work_partitions(expr)
-    tiles = left.unionByName(right).repartition(nparts, "gene", "bj", "bk")
+    # explicit count: the tiles are few bytes but O(n^2) work, so AQE must not coalesce them
+    tiles = tiles_in.repartition(nparts, "gene", "bj", "bk")
     partial = tiles.groupBy("gene", "bj", "bk").applyInPandas(
-        _tile_sums, "gene string, unit string, s double")
-    sums = partial.groupBy("gene", "unit").agg(F.sum("s").alias("s"))
-    return (sums.join(stats.select("gene", "n"), "gene")
-                .select("unit", "gene", (F.col("s") / F.col("n")).alias("z")))
+        _tile_sums, "gene string, unit string, s double, n long")
+    return (partial.repartition(nparts, "unit")
+                   .groupBy("unit", "gene").agg((F.sum("s") / F.max("n")).alias("z")))
 
 
 def rank_genes(z: DataFrame, tau: float = 1.0) -> DataFrame:
@@ -126,7 +173,7 @@ def walk_scores(ranked: DataFrame, gene_sets: DataFrame) -> DataFrame:
 
 
 def score_gene_sets(expr: DataFrame, gene_sets: DataFrame, tau: float = 1.0,
-                    block_rows: int = 1024) -> DataFrame:
+                    block_rows: int = 2048) -> DataFrame:
     """GSVA scores (unit, set_name, score) of every set against a complete matrix.
 
     Set genes missing from the matrix are ignored; a set with no gene in the
