@@ -41,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned scan across the cluster.
+
+    A table stored as one row group scans as one task; operators that expand
+    each row (word explode, joins feeding aggregates) would then run serially.
+    At scale, scans already yield many partitions and this is a no-op.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _lookup(key: Column, values: list[str]) -> Column:
     """CASE key WHEN 0 THEN values[0] ... ELSE values[-1] END."""
     expr = None
@@ -109,7 +120,7 @@ def cells_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counts_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gene, cell_id, value) non-zero triples: part names as genes, order lines as counts."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     sep = F.when(F.col("p_size") % 3 == 0, ".").when(F.col("p_size") % 3 == 1, "-").otherwise("")
     gene = F.concat(F.col("p_brand"), sep, F.col("p_type"))
@@ -126,7 +137,7 @@ def cells_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gene, cell_id, value): word counts per document over the whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = d.select("doc_id", F.explode(F.split("text", " ")).alias("gene"))
     return (words.where(F.col("gene").rlike("^[a-z]+$"))
                  .groupBy("gene", F.col("doc_id").cast("string").alias("cell_id"))
