@@ -367,7 +367,7 @@ _MOUSE_SCORES = _score_ctes(fx.SQL_UNITS_MOUSE)
 
 # long scores with violin labels (lead/trail 2/2), the reference's a1
 _A1 = f"a1 AS (SELECT s.*, {_human_label_cols('s.unit', 2, 2, True)} FROM scores s)"
-# long scores with violin labels, lead 3 (human_workflow2 / app violins)
+# long scores with violin labels, lead 3 (the per-sample response views)
 _A1_3 = f"a13 AS (SELECT s.*, {_human_label_cols('s.unit', 3, 2, True)} FROM scores s)"
 # wide scores with labels, lead 3
 _D1 = f"d1 AS (SELECT w.*, {_human_label_cols('w.unit', 3, 2, False)} FROM wide w)"

@@ -1,0 +1,6 @@
+"""Streaming operators: none.
+
+The analysis reads every input whole (expression matrices, cell tables and
+gene-set files); it has no event time, windows, late data or per-key state.
+All operators are batch DataFrame plans in ``setscore.operators``.
+"""
