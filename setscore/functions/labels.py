@@ -3,8 +3,7 @@
 Units carry their metadata in the name, e.g. human
 ``cluster_response_timepoint_ident_patient_count`` and mouse
 ``celltype_sample_count``. These builders return Columns, so they stay inside
-whole-stage codegen; reports apply them once per distinct unit (X4) and join
-the small label table back.
+whole-stage codegen; reports evaluate them on unit-level rows after filtering.
 """
 
 from __future__ import annotations
@@ -186,12 +185,15 @@ def contains_ci(c: str | Column, token: str) -> Column:
 
 
 def first_appearance_order(df: DataFrame, label: str, position: str) -> DataFrame:
-    """Add ``<label>_ord`` = order of first appearance of each label by ``position``."""
+    """Add ``<label>_ord``, the order in which each label first appears by ``position``.
+
+    NULL labels get no level (NULL), as factor() leaves NA out of its levels.
+    The label set is bounded by a rule table, so the window over it is tiny.
+    """
     from pyspark.sql import Window
-    firsts = df.groupBy(label).agg(F.min(position).alias("_first"))
-    ordered = firsts.withColumn(f"{label}_ord",
-                                F.dense_rank().over(Window.orderBy("_first")))
-    return df.join(F.broadcast(ordered.drop("_first")), label, "left")
+    firsts = (df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(position).alias("_first")))
+    ordered = firsts.select(label, F.dense_rank().over(Window.orderBy("_first")).alias(f"{label}_ord"))
+    return df.join(ordered, label, "left")
 
 
 def human_unit_labels(units: DataFrame, unit_col: str = "unit", n_lead: int = 3, n_trail: int = 2,

@@ -378,19 +378,27 @@ def _nse(keys, a: str, b: str) -> str:
     return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys) or "TRUE"
 
 
-def _box_sql(src: str, keys) -> str:
+def _box_parts(src: str, keys) -> tuple[list[str], str]:
+    """CTEs and final SELECT of the T6 box statistics over ``src``."""
     ks = ", ".join(keys)
     fence = "v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)"
     r = STAT_DIGITS
-    return _with(
+    ctes = [
         f"q AS (SELECT {ks}, count(score) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, "
         f"quantile_cont(score, 0.75) AS q3 FROM {src} GROUP BY {ks})",
         f"j AS (SELECT {', '.join('t.' + k for k in keys)}, t.score AS v, q.q1, q.q3 FROM {src} t JOIN q ON {_nse(keys, 't', 'q')})",
         f"w AS (SELECT {ks}, min(CASE WHEN {fence} THEN v END) AS lower, max(CASE WHEN {fence} THEN v END) AS upper, "
         f"count(CASE WHEN NOT ({fence}) THEN v END) AS n_outliers FROM j GROUP BY {ks})",
-    ) + (f" SELECT {', '.join('q.' + k for k in keys)}, q.n, round(q.q1, {r}) AS q1, round(q.median, {r}) AS median, "
-         f"round(q.q3, {r}) AS q3, round(w.lower, {r}) AS lower, round(w.upper, {r}) AS upper, w.n_outliers "
-         f"FROM q JOIN w ON {_nse(keys, 'q', 'w')}")
+    ]
+    select = (f"SELECT {', '.join('q.' + k for k in keys)}, q.n, round(q.q1, {r}) AS q1, round(q.median, {r}) AS median, "
+              f"round(q.q3, {r}) AS q3, round(w.lower, {r}) AS lower, round(w.upper, {r}) AS upper, w.n_outliers "
+              f"FROM q JOIN w ON {_nse(keys, 'q', 'w')}")
+    return ctes, select
+
+
+# Order of first appearance of each cell type over units in name order
+_CT_ORD = ("ct_ord AS (SELECT cell_type, dense_rank() OVER (ORDER BY first_unit) AS cell_type_ord FROM "
+           "(SELECT cell_type, min(unit) AS first_unit FROM a1 WHERE cell_type IS NOT NULL GROUP BY cell_type))")
 
 
 def _t_p_sql(t: str, df: str) -> str:
@@ -508,8 +516,10 @@ def _density_sql() -> str:
         "sum(exp(-0.5 * ((g.lo + g.i * g.step - a.score) / g.bw) * ((g.lo + g.i * g.step - a.score) / g.bw))) "
         f"/ (g.n * g.bw * 2.5066282746310002) AS density FROM g JOIN a1 a ON {_nse(keys, 'g', 'a')} "
         f"GROUP BY {', '.join('g.' + k for k in keys)}, g.i, g.lo, g.step, g.n, g.bw)",
-    ) + (f" SELECT {ks}, CAST(i AS BIGINT) AS i, round(x, {r}) AS x, round(density, {r}) AS density, "
-         f"round(density / max(density) OVER (PARTITION BY {ks}), {r}) AS scaled FROM dens")
+        _CT_ORD,
+    ) + (f" SELECT d.set_name, d.cell_type, CAST(i AS BIGINT) AS i, round(x, {r}) AS x, round(density, {r}) AS density, "
+         f"round(density / max(density) OVER (PARTITION BY d.set_name, d.cell_type), {r}) AS scaled, o.cell_type_ord "
+         "FROM dens d LEFT JOIN ct_ord o ON d.cell_type = o.cell_type")
 
 
 def _fit_sql(facets) -> str:
@@ -567,9 +577,12 @@ def _sql_catalog() -> dict[str, str]:
         " SELECT unit AS cell_name, round(gene_sig_score_1, 3) AS gene_sig_score_1, "
         f"round(gene_sig_score_2, 3) AS gene_sig_score_2, {L.sql_sample('unit', 1, 1)} AS sample, "
         f"{L.sql_first_match('unit', L.MOUSE_CELL_TYPE_RULES)} AS cell_type FROM wide")
-    sql["score_by_celltype_box"] = _with(*_HUMAN_SCORES, _A1) + " " + _box_sql("a1", ["set_name", "cell_type"]).replace("WITH ", ", ", 1)
+    ctes, select = _box_parts("a1", ["set_name", "cell_type"])
+    sql["score_by_celltype_box"] = _with(*_HUMAN_SCORES, _A1, _CT_ORD, *ctes, f"boxed AS ({select})") + \
+        " SELECT b.*, o.cell_type_ord FROM boxed b LEFT JOIN ct_ord o ON b.cell_type = o.cell_type"
     sql["score_density"] = _density_sql()
-    sql["score_by_timepoint"] = _with(*_HUMAN_SCORES, _A1) + " " + _box_sql("a1", ["set_name", "timepoint"]).replace("WITH ", ", ", 1)
+    ctes, select = _box_parts("a1", ["set_name", "timepoint"])
+    sql["score_by_timepoint"] = _with(*_HUMAN_SCORES, _A1, *ctes) + " " + select
     sql["score_by_sample_response"] = _with(*_HUMAN_SCORES, _A1_3, _A7) + (
         f" SELECT set_name, sample, response, timepoint, round(mean_expression, {r}) AS mean_expression FROM means")
     sql["response_wilcoxon"] = _wilcoxon_sql()

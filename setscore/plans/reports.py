@@ -81,16 +81,23 @@ def ranking_mouse(scores: DataFrame, digits: int = 3) -> DataFrame:
 
 # ---- R4 / R5 / R6 / R7 distributions --------------------------------------------------------
 
+def _with_celltype_order(stats: DataFrame, a1: DataFrame) -> DataFrame:
+    """X-axis order of cell types = first appearance over units in name order."""
+    order = L.first_appearance_order(a1.select("cell_type", "unit"), "cell_type", "unit")
+    order = order.select("cell_type", "cell_type_ord").where(F.col("cell_type").isNotNull()).distinct()
+    return stats.join(order, "cell_type", "left")
+
+
 def celltype_box(scores: DataFrame, human: bool = True) -> DataFrame:
-    """R4 (T6): box statistics of scores per set and cell type (violin label rules)."""
+    """R4 (T6 + P12): box statistics of scores per set and cell type (violin label rules)."""
     a1 = labelled_scores(scores, human, 2, 2, violin=True)
-    return S.box_stats(a1, ["set_name", "cell_type"], "score")
+    return _with_celltype_order(S.box_stats(a1, ["set_name", "cell_type"], "score"), a1)
 
 
 def celltype_density(scores: DataFrame, human: bool = True, n_points: int = 512) -> DataFrame:
-    """R4 (T7): violin densities per set and cell type."""
+    """R4 (T7 + P12): violin densities per set and cell type."""
     a1 = labelled_scores(scores, human, 2, 2, violin=True)
-    return S.violin_density(a1, ["set_name", "cell_type"], "score", n_points)
+    return _with_celltype_order(S.violin_density(a1, ["set_name", "cell_type"], "score", n_points), a1)
 
 
 def timepoint_box(scores: DataFrame) -> DataFrame:
