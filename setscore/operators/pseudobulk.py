@@ -71,6 +71,18 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, key_cols: Sequence[str] = HU
                 .select("gene", "unit", (F.col("s") / F.col("cell_count")).alias("mean_exp"), "cell_count"))
 
 
+def complete_matrix(pb: DataFrame) -> DataFrame:
+    """A5 for scoring: (unit, gene, value) over every gene x unit, absent means as 0.
+
+    The pseudobulk lists non-zero means only; the reference's matrix is dense.
+    Units are bounded by the number of metadata groups; their set is gathered
+    once and exploded per gene (no cross join).
+    """
+    from setscore.operators.summaries import complete_grid
+    grid = complete_grid(pb.select("gene", "unit", "mean_exp"), "gene", "unit", "mean_exp", fill=0.0)
+    return grid.select("unit", "gene", F.col("mean_exp").alias("value"))
+
+
 def clean_genes(pb: DataFrame) -> DataFrame:
     """F4 on a finished pseudobulk."""
     return pb.where(has_no_dot_or_dash("gene"))

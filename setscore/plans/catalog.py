@@ -19,6 +19,7 @@ from setscore.operators import pseudobulk as PB
 from setscore.operators.reshape import long_to_wide
 from setscore.operators.scoring import gene_stats, kernel_cdf, scores_wide
 from setscore.plans import reports as R
+from setscore.session import cut_lineage
 from setscore.sources import fixtures as fx
 from setscore.sources.gene_sets import first_two, gene_set_table, score_sets
 
@@ -145,6 +146,24 @@ def q_cluster_normalise(spark, sf_dir):
     return cells.select("cell_id", "raw_cluster", L.normalise_cluster("raw_cluster").alias("cluster"))
 
 
+def _star_gene_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gene set per part type: every star-fixture gene of that type."""
+    part = fx.table(spark, sf_dir, "part")
+    sep = F.when(F.col("p_size") % 3 == 0, ".").when(F.col("p_size") % 3 == 1, "-").otherwise("")
+    return part.select(F.col("p_type").alias("set_name"),
+                       F.concat(F.col("p_brand"), sep, F.col("p_type")).alias("gene")).distinct()
+
+
+def q_score_pseudobulk_star(spark, sf_dir):
+    """R1 -> A5 -> G0: score gene families on the zero-filled pseudobulk matrix."""
+    pb = PB.pseudobulk(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), PB.HUMAN_KEYS)
+    # the build/score boundary: the matrix is written once (as the reference saves
+    # it between its layers) and read by the stats, the tiles and the grid
+    expr = cut_lineage(PB.complete_matrix(pb))
+    scores = R.scores_for(expr, _star_gene_families(spark, sf_dir), persist=False)
+    return _rnd(scores, {"score": SCORE_DIGITS})
+
+
 def q_kernel_cdf(spark, sf_dir):
     expr = fx.expr_dense(spark, sf_dir)
     return _rnd(kernel_cdf(expr, gene_stats(expr)), {"z": STAT_DIGITS})
@@ -270,6 +289,7 @@ QUERIES: dict[str, Query] = {
     "unit_labels_mouse": q_unit_labels_mouse,
     "cluster_normalise": q_cluster_normalise,
     "kernel_cdf": q_kernel_cdf,
+    "score_pseudobulk_star": q_score_pseudobulk_star,
     "score_long": q_score_long,
     "score_wide": q_score_wide,
     "score_ranking": q_score_ranking,
@@ -307,7 +327,9 @@ def _key_sql(keys) -> str:
     return " || '_' || ".join(f"coalesce(CAST({k} AS VARCHAR), 'NA')" for k in keys)
 
 
-def _pb_ctes(cells_sql: str, counts_sql: str, keys, filter_col: str, count_filter: str = "") -> list[str]:
+def _pb_ctes(cells_sql: str, counts_sql: str, keys, filter_col: str, count_filter: str = "",
+             digits: int | None = MEAN_DIGITS) -> list[str]:
+    mean = "s.s / z.cell_count" if digits is None else f"round(s.s / z.cell_count, {digits})"
     return [
         f"cells AS ({cells_sql})",
         f"counts0 AS ({counts_sql})",
@@ -316,7 +338,7 @@ def _pb_ctes(cells_sql: str, counts_sql: str, keys, filter_col: str, count_filte
         "sizes AS (SELECT stem, count(*) AS cell_count FROM keyed GROUP BY stem)",
         "sums AS (SELECT k.stem, c.gene, sum(c.value) AS s FROM counts c JOIN keyed k ON c.cell_id = k.cell_id GROUP BY k.stem, c.gene)",
         f"pb AS (SELECT s.gene, z.stem || '_' || CAST(z.cell_count AS VARCHAR) AS unit, "
-        f"round(s.s / z.cell_count, {MEAN_DIGITS}) AS mean_exp, z.cell_count FROM sums s JOIN sizes z ON s.stem = z.stem)",
+        f"{mean} AS mean_exp, z.cell_count FROM sums s JOIN sizes z ON s.stem = z.stem)",
     ]
 
 
@@ -334,12 +356,10 @@ def _human_label_cols(u: str = "unit", n_lead: int = 3, n_trail: int = 2, violin
             f"{L.sql_first_match(u, L.TIMEPOINT_RULES)} AS timepoint, {L.sql_first_match(u, rules)} AS cell_type")
 
 
-def _score_ctes(units_sql: str) -> list[str]:
+def _score_chain() -> list[str]:
+    """GSVA over CTEs ``expr(unit, gene, value)`` and ``sets(set_name, gene)``."""
     pen = "(CASE WHEN p = m THEN 0.0 ELSE (pos - k) / (p - m) END)"
     return [
-        f"units AS ({units_sql})",
-        f"expr AS ({fx.sql_expr_from('units')})",
-        f"sets AS ({fx.sql_demo_gene_sets_long()})",
         "gkeep AS (SELECT gene, count(value) AS n, stddev_samp(value) / 4.0 AS h FROM expr GROUP BY gene "
         "HAVING stddev_samp(value) > 0)",
         f"kz AS (SELECT a.unit, a.gene, sum({phi_sql('(a.value - b.value) / g.h')}) / g.n AS z "
@@ -362,6 +382,14 @@ def _score_ctes(units_sql: str) -> list[str]:
     ]
 
 
+def _score_ctes(units_sql: str) -> list[str]:
+    return [
+        f"units AS ({units_sql})",
+        f"expr AS ({fx.sql_expr_from('units')})",
+        f"sets AS ({fx.sql_demo_gene_sets_long()})",
+    ] + _score_chain()
+
+
 _HUMAN_SCORES = _score_ctes(fx.SQL_UNITS_DENSE)
 _MOUSE_SCORES = _score_ctes(fx.SQL_UNITS_MOUSE)
 
@@ -608,6 +636,13 @@ def _sql_catalog() -> dict[str, str]:
         sql[name] = _with(*_HUMAN_SCORES, _D1, _D1F) + " " + \
             _spearman_sql("d1f", facets, "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
     sql["score_fit"] = _fit_sql(["cell_type"])
+    gene_sql = "p_brand || CASE p_size % 3 WHEN 0 THEN '.' WHEN 1 THEN '-' ELSE '' END || p_type"
+    sql["score_pseudobulk_star"] = _with(
+        *_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster", digits=None),
+        "expr AS (SELECT u.unit, g.gene, coalesce(pb.mean_exp, 0.0) AS value FROM (SELECT DISTINCT gene FROM pb) g "
+        "CROSS JOIN (SELECT DISTINCT unit FROM pb) u LEFT JOIN pb ON pb.gene = g.gene AND pb.unit = u.unit)",
+        f"sets AS (SELECT DISTINCT p_type AS set_name, {gene_sql} AS gene FROM part)",
+        *_score_chain()) + f" SELECT unit, set_name, round(score, {SCORE_DIGITS}) AS score FROM scores"
     return sql
 
 

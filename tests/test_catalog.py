@@ -38,3 +38,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_but_rows_only_has_oracle():
     assert set(E.queries()) - set(E.oracle_sql()) == {"response_wilcoxon_exact", "score_fit_band"}
+    assert set(E.oracle_sql()) <= set(E.queries())
