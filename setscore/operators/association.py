@@ -25,17 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setscore.functions.stats import phi
+from setscore.operators import ranks
 from setscore.operators.joins import join_on_keys
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Rank within ``keys`` by ``value``, ties share the average rank."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(value))
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    """Rank within ``keys`` by ``value``, ties share the average rank.
+
+    Distributed (see operators.ranks): no facet is sorted in a single task.
+    """
+    return ranks.mid_rank(df, keys, value, out)
 
 
 def t_two_sided_p(t: Column, df: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscore.functions.labels import log_or_zero, not_matching
+from setscore.operators import ranks
 from setscore.operators.joins import broadcast_if_small, join_on_keys
 
 _NULL_KEY = "\u0000NULL"
@@ -70,13 +71,9 @@ def log_matrix(means: DataFrame, row: str, col: str, value: str = "mean_exp",
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per group n, quartiles (type 7), whiskers at 1.5 IQR, outlier count."""
+    """Per group n, quartiles (type 7, distributed), whiskers at 1.5 IQR, outlier count."""
     v = F.col(value)
-    q = (df.groupBy(*keys)
-           .agg(F.count(v).alias("n"),
-                F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")))
-    q = q.select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = ranks.quantiles(df, keys, value, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     fence_lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     fence_hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     j = join_on_keys(df.select(*keys, value), q, keys)
@@ -102,13 +99,13 @@ def violin_density(df: DataFrame, keys: Sequence[str], value: str, n_points: int
     """
     v = F.col(value)
     st = (df.groupBy(*keys)
-            .agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"),
-                 F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
-                 F.min(v).alias("lo"), F.max(v).alias("hi"))
+            .agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
             .where(F.col("n") >= 2))
-    st = st.withColumn("bw", _nrd0(F.col("sd"), F.col("_q")[1] - F.col("_q")[0], F.abs(F.col("lo")), F.col("n")))
+    quart = ranks.quantiles(df, keys, value, (0.25, 0.75), ("_q1", "_q3")).drop("n")
+    st = join_on_keys(st, quart, keys)
+    st = st.withColumn("bw", _nrd0(F.col("sd"), F.col("_q3") - F.col("_q1"), F.abs(F.col("lo")), F.col("n")))
     step = (F.col("hi") - F.col("lo")) / float(n_points - 1)
-    pts = (join_on_keys(df.select(*keys, value), st.drop("_q", "sd"), keys)
+    pts = (join_on_keys(df.select(*keys, value), st.drop("_q1", "_q3", "sd"), keys)
              .select(*keys, v.alias("v"), "lo", "bw", "n", step.alias("step"),
                      F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")))
     x = F.col("lo") + F.col("i") * F.col("step")

@@ -100,3 +100,30 @@ def test_density_matches_direct_sum(spark):
 def test_phi_accuracy():
     for u in (-3.0, -1.0, 0.0, 0.5, 2.0):
         assert abs(phi_py(u) - 0.5 * math.erfc(-u / math.sqrt(2))) < 7.5e-8
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_ranks_and_quantiles_both_plans(spark, limit):
+    """The distributed plan (limit 0) and the single-task plan give the same answers."""
+    import numpy as np
+    import pandas as pd
+    from setscore.operators import ranks
+    rng = np.random.default_rng(11)
+    rows = [(f, float(v)) for f, n in (("a", 300), ("b", 25), (None, 17), ("c", 1))
+            for v in rng.integers(0, 20, n)] + [("a", None)] * 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")   # runs span Arrow batches
+    try:
+        df = spark.createDataFrame(rows, "f string, v double")
+        got = ranks.mid_rank(df, ["f"], "v", "r", limit=limit).toPandas()
+        q = ranks.quantiles(df, ["f"], "v", (0.25, 0.5, 0.75), ("q1", "median", "q3"), limit=limit).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = pd.DataFrame(rows, columns=["f", "v"]).assign(fk=lambda d: d.f.fillna("~"))
+    pdf["r"] = pdf.groupby("fk")["v"].rank(method="average")
+    got = got.assign(fk=got.f.fillna("~"))
+    merged = got.merge(pdf.drop_duplicates(["fk", "v"]), on=["fk", "v"], suffixes=("", "_x"))
+    assert len(got) == len(rows) and np.allclose(merged.r, merged.r_x, equal_nan=True)
+    assert got[got.v.isna()].r.isna().all()
+    for _, r in q.iterrows():
+        vals = pdf[pdf.fk == (r.f if r.f is not None else "~")].v.dropna()
+        assert np.allclose([r.q1, r["median"], r.q3], np.percentile(vals, [25, 50, 75]))
