@@ -187,13 +187,16 @@ def contains_ci(c: str | Column, token: str) -> Column:
 def first_appearance_order(df: DataFrame, label: str, position: str) -> DataFrame:
     """Add ``<label>_ord``, the order in which each label first appears by ``position``.
 
-    NULL labels get no level (NULL), as factor() leaves NA out of its levels.
-    The label set is bounded by a rule table, so the window over it is tiny.
+    A NULL label is not a factor level; it is drawn last, so it takes the last
+    rank. The label set is bounded by a rule table, so the window over it is tiny.
     """
     from pyspark.sql import Window
-    firsts = (df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(position).alias("_first")))
-    ordered = firsts.select(label, F.dense_rank().over(Window.orderBy("_first")).alias(f"{label}_ord"))
-    return df.join(ordered, label, "left")
+
+    from setscore.operators.joins import join_on_keys
+    firsts = df.groupBy(label).agg(F.min(position).alias("_first"))
+    order = Window.orderBy(F.col(label).isNull(), F.col("_first"))
+    ordered = firsts.select(label, F.dense_rank().over(order).cast("long").alias(f"{label}_ord"))
+    return join_on_keys(df, ordered, [label], "left")
 
 
 def human_unit_labels(units: DataFrame, unit_col: str = "unit", n_lead: int = 3, n_trail: int = 2,

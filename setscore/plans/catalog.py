@@ -230,8 +230,7 @@ def q_heatmap_celltype_timepoint(spark, sf_dir):
 
 
 def q_heatmap_mouse(spark, sf_dir):
-    e = fx.expr_mouse(spark, sf_dir).withColumn("value", F.greatest(F.col("value"), F.lit(0.0)) * 100)
-    return _rnd(R.heatmap_celltype(e, _sets(spark), human=False), {"log_exp": STAT_DIGITS})
+    return _rnd(R.heatmap_celltype(_mouse_heat(spark, sf_dir), _sets(spark), human=False), {"log_exp": STAT_DIGITS})
 
 
 def q_heatmap_distance(spark, sf_dir):
@@ -265,6 +264,26 @@ def q_score_corr_both(spark, sf_dir):
     return _rnd(R.score_corr(_scores(spark, sf_dir), ["timepoint", "cell_type"]), _CORR)
 
 
+def _mouse_heat(spark, sf_dir):
+    return fx.expr_mouse(spark, sf_dir).withColumn("value", F.greatest(F.col("value"), F.lit(0.0)) * 100)
+
+
+def q_score_by_celltype_box_mouse(spark, sf_dir):
+    return _rnd(R.celltype_box(_scores(spark, sf_dir, "mouse"), human=False), _BOX)
+
+
+def q_corr_genes_mouse(spark, sf_dir):
+    return _rnd(R.corr_genes(_mouse_heat(spark, sf_dir), _sets(spark), human=False), {"corr": 6})
+
+
+def q_score_corr_mouse_samples(spark, sf_dir):
+    return _rnd(R.score_corr_samples(_scores(spark, sf_dir, "mouse"), human=False), _CORR)
+
+
+def q_score_corr_mouse_celltype(spark, sf_dir):
+    return _rnd(R.score_corr(_scores(spark, sf_dir, "mouse"), ["cell_type"], human=False), _CORR)
+
+
 def q_score_fit(spark, sf_dir):
     f = R.score_fit(_scores(spark, sf_dir), ["cell_type"]).select("cell_type", "n", "slope", "intercept", "sigma")
     return _rnd(f.withColumn("n", F.col("n").cast("long")),
@@ -311,6 +330,10 @@ QUERIES: dict[str, Query] = {
     "score_corr_celltype": q_score_corr_celltype,
     "score_corr_timepoint": q_score_corr_timepoint,
     "score_corr_both": q_score_corr_both,
+    "score_by_celltype_box_mouse": q_score_by_celltype_box_mouse,
+    "corr_genes_mouse": q_corr_genes_mouse,
+    "score_corr_mouse_samples": q_score_corr_mouse_samples,
+    "score_corr_mouse_celltype": q_score_corr_mouse_celltype,
     "score_fit": q_score_fit,
     "score_fit_band": q_score_fit_band,
 }
@@ -425,8 +448,8 @@ def _box_parts(src: str, keys) -> tuple[list[str], str]:
 
 
 # Order of first appearance of each cell type over units in name order
-_CT_ORD = ("ct_ord AS (SELECT cell_type, dense_rank() OVER (ORDER BY first_unit) AS cell_type_ord FROM "
-           "(SELECT cell_type, min(unit) AS first_unit FROM a1 WHERE cell_type IS NOT NULL GROUP BY cell_type))")
+_CT_ORD = ("ct_ord AS (SELECT cell_type, dense_rank() OVER (ORDER BY cell_type IS NULL, first_unit) AS cell_type_ord "
+           "FROM (SELECT cell_type, min(unit) AS first_unit FROM a1 GROUP BY cell_type))")
 
 
 def _t_p_sql(t: str, df: str) -> str:
@@ -547,7 +570,7 @@ def _density_sql() -> str:
         _CT_ORD,
     ) + (f" SELECT d.set_name, d.cell_type, CAST(i AS BIGINT) AS i, round(x, {r}) AS x, round(density, {r}) AS density, "
          f"round(density / max(density) OVER (PARTITION BY d.set_name, d.cell_type), {r}) AS scaled, o.cell_type_ord "
-         "FROM dens d LEFT JOIN ct_ord o ON d.cell_type = o.cell_type")
+         "FROM dens d LEFT JOIN ct_ord o ON d.cell_type IS NOT DISTINCT FROM o.cell_type")
 
 
 def _fit_sql(facets) -> str:
@@ -607,7 +630,7 @@ def _sql_catalog() -> dict[str, str]:
         f"{L.sql_first_match('unit', L.MOUSE_CELL_TYPE_RULES)} AS cell_type FROM wide")
     ctes, select = _box_parts("a1", ["set_name", "cell_type"])
     sql["score_by_celltype_box"] = _with(*_HUMAN_SCORES, _A1, _CT_ORD, *ctes, f"boxed AS ({select})") + \
-        " SELECT b.*, o.cell_type_ord FROM boxed b LEFT JOIN ct_ord o ON b.cell_type = o.cell_type"
+        " SELECT b.*, o.cell_type_ord FROM boxed b LEFT JOIN ct_ord o ON b.cell_type IS NOT DISTINCT FROM o.cell_type"
     sql["score_density"] = _density_sql()
     ctes, select = _box_parts("a1", ["set_name", "timepoint"])
     sql["score_by_timepoint"] = _with(*_HUMAN_SCORES, _A1, *ctes) + " " + select
@@ -636,6 +659,19 @@ def _sql_catalog() -> dict[str, str]:
         sql[name] = _with(*_HUMAN_SCORES, _D1, _D1F) + " " + \
             _spearman_sql("d1f", facets, "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
     sql["score_fit"] = _fit_sql(["cell_type"])
+    mouse_cols = (f"{L.sql_sample('{u}', 1, 1)} AS sample, "
+                  f"{L.sql_first_match('{u}', L.MOUSE_CELL_TYPE_RULES)} AS cell_type")
+    a1m = "a1 AS (SELECT s.*, " + mouse_cols.replace("{u}", "s.unit") + " FROM scores s)"
+    ctes, select = _box_parts("a1", ["set_name", "cell_type"])
+    sql["score_by_celltype_box_mouse"] = _with(*_MOUSE_SCORES, a1m, _CT_ORD, *ctes, f"boxed AS ({select})") + \
+        " SELECT b.*, o.cell_type_ord FROM boxed b LEFT JOIN ct_ord o ON b.cell_type IS NOT DISTINCT FROM o.cell_type"
+    sql["corr_genes_mouse"] = _heat_prefix("cell_type", units_sql=fx.SQL_UNITS_MOUSE, human=False) + " " + \
+        _pearson_sql("grp", "gene", "gene_a", "gene_b").replace("WITH ", ", ", 1)
+    d1m = "d1 AS (SELECT w.*, " + mouse_cols.replace("{u}", "w.unit") + " FROM wide w)"
+    sql["score_corr_mouse_samples"] = _with(*_MOUSE_SCORES, d1m, samples) + " " + \
+        _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
+    sql["score_corr_mouse_celltype"] = _with(*_MOUSE_SCORES, d1m, _D1F) + " " + \
+        _spearman_sql("d1f", ["cell_type"], "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
     gene_sql = "p_brand || CASE p_size % 3 WHEN 0 THEN '.' WHEN 1 THEN '-' ELSE '' END || p_type"
     sql["score_pseudobulk_star"] = _with(
         *_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster", digits=None),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from setscore.functions import labels as L
 from setscore.operators import association as A
 from setscore.operators import summaries as S
+from setscore.operators.joins import join_on_keys
 from setscore.operators.reshape import select_timepoint_units
 from setscore.operators.scoring import score_gene_sets, scores_wide
 from setscore.session import cut_lineage
@@ -84,8 +85,8 @@ def ranking_mouse(scores: DataFrame, digits: int = 3) -> DataFrame:
 def _with_celltype_order(stats: DataFrame, a1: DataFrame) -> DataFrame:
     """X-axis order of cell types = first appearance over units in name order."""
     order = L.first_appearance_order(a1.select("cell_type", "unit"), "cell_type", "unit")
-    order = order.select("cell_type", "cell_type_ord").where(F.col("cell_type").isNotNull()).distinct()
-    return stats.join(order, "cell_type", "left")
+    order = order.select("cell_type", "cell_type_ord").distinct()
+    return join_on_keys(stats, order, ["cell_type"], "left")
 
 
 def celltype_box(scores: DataFrame, human: bool = True) -> DataFrame:
@@ -153,10 +154,13 @@ def heatmap_celltype_timepoint(expr: DataFrame, gene_sets: DataFrame) -> DataFra
     return S.log_matrix(means, "gene", "cell_sample")
 
 
-def corr_genes(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
-    """R10 (T2): gene x gene Pearson r across cell type x timepoint groups."""
-    r2 = heatmap_celltype_timepoint(expr, gene_sets)
-    m = A.pearson_matrix(r2, "cell_sample", "gene", "log_exp")
+def corr_genes(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
+    """R10 (T2): gene x gene Pearson r across cell type x timepoint groups (mouse: cell types)."""
+    if human:
+        r2 = heatmap_celltype_timepoint(expr, gene_sets)
+        m = A.pearson_matrix(r2, "cell_sample", "gene", "log_exp")
+    else:
+        m = A.pearson_matrix(heatmap_celltype(expr, gene_sets, human=False), "cell_type", "gene", "log_exp")
     return m.select(F.col("var_a").alias("gene_a"), F.col("var_b").alias("gene_b"), "corr")
 
 
@@ -176,24 +180,25 @@ def heatmap_distance(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
 
 # ---- R12 - R15 score correlations -----------------------------------------------------------
 
-def sample_score_means(scores: DataFrame, n_lead: int = 3) -> DataFrame:
+def sample_score_means(scores: DataFrame, n_lead: int = 3, human: bool = True) -> DataFrame:
     """Mean of both scores per sample."""
-    d1 = labelled_wide(scores, True, n_lead, 2)
+    d1 = labelled_wide(scores, human, n_lead, 2)
     return d1.groupBy("sample").agg(F.avg(SET_1).alias("mean_gene1"), F.avg(SET_2).alias("mean_gene2"))
 
 
-def score_corr_samples(scores: DataFrame, n_lead: int = 3) -> DataFrame:
+def score_corr_samples(scores: DataFrame, n_lead: int = 3, human: bool = True) -> DataFrame:
     """R12 (T3): Spearman of the per-sample mean scores."""
-    return A.spearman(sample_score_means(scores, n_lead), [], "mean_gene1", "mean_gene2")
+    return A.spearman(sample_score_means(scores, n_lead, human), [], "mean_gene1", "mean_gene2")
 
 
-def _d1_filtered(scores: DataFrame) -> DataFrame:
-    return S.drop_patient_specific(labelled_wide(scores, True, 3, 2))
+def _d1_filtered(scores: DataFrame, human: bool = True) -> DataFrame:
+    # F6; for mouse labels no rule yields "Patient", so it keeps every row (Q16)
+    return S.drop_patient_specific(labelled_wide(scores, human, 3, 2))
 
 
-def score_corr(scores: DataFrame, facets: list[str]) -> DataFrame:
+def score_corr(scores: DataFrame, facets: list[str], human: bool = True) -> DataFrame:
     """R13-R15 (T3): Spearman of unit scores per facet, patient-specific types excluded."""
-    return A.spearman(_d1_filtered(scores), facets, SET_1, SET_2)
+    return A.spearman(_d1_filtered(scores, human), facets, SET_1, SET_2)
 
 
 def score_fit(scores: DataFrame, facets: list[str]) -> DataFrame:
