@@ -49,13 +49,22 @@ def group_mean(df: DataFrame, keys: Sequence[str], value: str, alias: str, stric
 def complete_grid(df: DataFrame, row: str, col: str, value: str, fill: float | None = None) -> DataFrame:
     """A5: every (row, col) pair of the keys present in ``df``; missing cells -> ``fill``.
 
-    The column keys are labels from a rule table, so their set is bounded; it
-    is gathered by a scalar subquery and exploded per row key. No cross join
-    and no pivot job.
+    Each distinct column key gets a dense 0-based index from the distributed
+    positions primitive (no key list passes through the driver, only their
+    count); every row key then explodes ``sequence(0, count - 1)`` and the index
+    joins back to the key. The grid is the output (the dense matrix), built
+    without a cross join.
     """
     keyed = df.withColumn(col, F.coalesce(F.col(col), F.lit(_NULL_KEY)))
-    col_keys = keyed.agg(F.array_sort(F.collect_set(col))).scalar()
-    grid = keyed.select(row).distinct().select(row, F.explode(col_keys).alias(col))
+    keys = keyed.select(col).distinct()
+    if ranks.facets_fit_one_task(keys, []):
+        index = keys.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("long").alias("_ix"))
+    else:
+        index = ranks.value_positions(keys, [], col).select(col, F.col("before").alias("_ix"))
+    n_keys = index.agg(F.count(F.lit(1))).scalar()
+    grid = (keyed.select(row).distinct()
+                 .select(row, F.explode(F.sequence(F.lit(0).cast("long"), n_keys - 1)).alias("_ix"))
+                 .join(index, "_ix").drop("_ix"))
     out = grid.join(keyed.select(row, col, value), [row, col], "left")
     out = out.withColumn(col, F.when(F.col(col) == _NULL_KEY, F.lit(None)).otherwise(F.col(col)))
     if fill is not None:
