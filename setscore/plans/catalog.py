@@ -156,9 +156,10 @@ def _star_gene_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_score_pseudobulk_star(spark, sf_dir):
     """R1 -> A5 -> G0: score gene families on the zero-filled pseudobulk matrix."""
-    pb = PB.pseudobulk(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), PB.HUMAN_KEYS)
-    # the build/score boundary: the matrix is written once (as the reference saves
-    # it between its layers) and read by the stats, the tiles and the grid
+    # the build/score boundary: the pseudobulk and its completed matrix are
+    # written once (as the reference saves its matrix between layers) and read
+    # by the grid, the gene statistics and the tiles
+    pb = cut_lineage(PB.pseudobulk(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), PB.HUMAN_KEYS))
     expr = cut_lineage(PB.complete_matrix(pb))
     scores = R.scores_for(expr, _star_gene_families(spark, sf_dir), persist=False)
     return _rnd(scores, {"score": SCORE_DIGITS})

@@ -143,7 +143,9 @@ def _heat_long(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> Dat
 def heatmap_celltype(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
     """R8 (T1, A3): (gene, cell_type, log_exp) complete grid."""
     means = S.group_mean(_heat_long(expr, gene_sets, human), ["gene", "cell_type"], "value", "mean_exp")
-    return S.log_matrix(means, "gene", "cell_type")
+    # genes of interest x groups: tiny, and read several times by the grid and
+    # the matrix statistics, so its lineage is cut once here
+    return S.log_matrix(cut_lineage(means), "gene", "cell_type")
 
 
 def heatmap_celltype_timepoint(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
@@ -151,29 +153,31 @@ def heatmap_celltype_timepoint(expr: DataFrame, gene_sets: DataFrame) -> DataFra
     h = _heat_long(expr, gene_sets, True)
     h = h.withColumn("cell_sample", L.composite_key(["cell_type", "timepoint"], sep=" "))
     means = S.group_mean(h, ["gene", "cell_sample"], "value", "mean_exp")
-    return S.log_matrix(means, "gene", "cell_sample")
+    return S.log_matrix(cut_lineage(means), "gene", "cell_sample")
 
 
 def corr_genes(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
     """R10 (T2): gene x gene Pearson r across cell type x timepoint groups (mouse: cell types)."""
+    # the matrix (genes of interest x groups) is read three times by the pair statistics
     if human:
-        r2 = heatmap_celltype_timepoint(expr, gene_sets)
+        r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
         m = A.pearson_matrix(r2, "cell_sample", "gene", "log_exp")
     else:
-        m = A.pearson_matrix(heatmap_celltype(expr, gene_sets, human=False), "cell_type", "gene", "log_exp")
+        r1 = cut_lineage(heatmap_celltype(expr, gene_sets, human=False))
+        m = A.pearson_matrix(r1, "cell_type", "gene", "log_exp")
     return m.select(F.col("var_a").alias("gene_a"), F.col("var_b").alias("gene_b"), "corr")
 
 
 def corr_groups(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """R11 (T2): group x group Pearson r across genes."""
-    r2 = heatmap_celltype_timepoint(expr, gene_sets)
+    r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
     m = A.pearson_matrix(r2, "gene", "cell_sample", "log_exp")
     return m.select(F.col("var_a").alias("group_a"), F.col("var_b").alias("group_b"), "corr")
 
 
 def heatmap_distance(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """Euclidean distances between heatmap rows (genes) of R9."""
-    r2 = heatmap_celltype_timepoint(expr, gene_sets)
+    r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
     d = A.euclidean_distances(r2, "cell_sample", "gene", "log_exp")
     return d.select(F.col("var_a").alias("gene_a"), F.col("var_b").alias("gene_b"), "distance")
 
