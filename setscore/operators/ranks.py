@@ -109,10 +109,15 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
-             limit: int = FACET_ROWS_IN_ONE_TASK) -> DataFrame:
-    """Rank of ``value`` within ``keys``, ties sharing the average rank (NULL stays NULL)."""
+             limit: int = FACET_ROWS_IN_ONE_TASK, fits: bool | None = None) -> DataFrame:
+    """Rank of ``value`` within ``keys``, ties sharing the average rank (NULL stays NULL).
+
+    ``fits`` passes an already computed :func:`facets_fit_one_task` answer.
+    """
     keys = list(keys)
-    if facets_fit_one_task(df, keys, limit):
+    if fits is None:
+        fits = facets_fit_one_task(df, keys, limit)
+    if fits:
         w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())   # NULLs take no rank
         ties = Window.partitionBy(*keys, value)
         r = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0

@@ -99,7 +99,8 @@ def q_pseudobulk_malignant(spark, sf_dir):
 
 
 def q_pseudobulk_wide(spark, sf_dir):
-    pb = q_pseudobulk_star(spark, sf_dir)
+    # the pivot first collects its keys in a separate job; both read the written long form
+    pb = cut_lineage(q_pseudobulk_star(spark, sf_dir))
     return long_to_wide(pb, "gene", "unit", "mean_exp")
 
 
