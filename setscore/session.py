@@ -27,6 +27,18 @@ LOCAL_DEFAULTS = {
 }
 
 
+# Sizing for large inputs on a cluster, applied only where the submitter left a
+# setting unset: large scan splits, a high initial shuffle width that AQE
+# coalesces to ~256 MB partitions, and skew splitting for hot join keys.
+CLUSTER_DEFAULTS = {
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "setscore") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -37,6 +49,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        submitted = dict(spark.sparkContext.getConf().getAll())
+        for key, value in CLUSTER_DEFAULTS.items():
+            if key not in submitted and not (key == "spark.sql.shuffle.partitions" and shuffle_partitions):
+                spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
