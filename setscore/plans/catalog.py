@@ -286,6 +286,35 @@ def q_score_corr_mouse_celltype(spark, sf_dir):
     return _rnd(R.score_corr(_scores(spark, sf_dir, "mouse"), ["cell_type"], human=False), _CORR)
 
 
+def q_heatmap_group_distance(spark, sf_dir):
+    return _rnd(R.heatmap_group_distance(fx.expr_heat(spark, sf_dir), _sets(spark)), {"distance": 6})
+
+
+def q_score_corr_samples_app(spark, sf_dir):
+    """R12 as the interactive view parses it: two leading tokens stripped (Q5)."""
+    return _rnd(R.score_corr_samples(_scores(spark, sf_dir), n_lead=2), _CORR)
+
+
+_FIT = {"slope": STAT_DIGITS, "intercept": STAT_DIGITS, "sigma": STAT_DIGITS}
+
+
+def _fit_out(f: DataFrame, facets: list[str]) -> DataFrame:
+    f = f.select(*facets, "n", "slope", "intercept", "sigma").withColumn("n", F.col("n").cast("long"))
+    return _rnd(f, _FIT)
+
+
+def q_score_fit_samples(spark, sf_dir):
+    return _fit_out(R.score_fit_samples(_scores(spark, sf_dir)), [])
+
+
+def q_score_fit_timepoint(spark, sf_dir):
+    return _fit_out(R.score_fit(_scores(spark, sf_dir), ["timepoint"]), ["timepoint"])
+
+
+def q_score_fit_both(spark, sf_dir):
+    return _fit_out(R.score_fit(_scores(spark, sf_dir), ["timepoint", "cell_type"]), ["timepoint", "cell_type"])
+
+
 def q_score_fit(spark, sf_dir):
     f = R.score_fit(_scores(spark, sf_dir), ["cell_type"]).select("cell_type", "n", "slope", "intercept", "sigma")
     return _rnd(f.withColumn("n", F.col("n").cast("long")),
@@ -336,6 +365,11 @@ QUERIES: dict[str, Query] = {
     "corr_genes_mouse": q_corr_genes_mouse,
     "score_corr_mouse_samples": q_score_corr_mouse_samples,
     "score_corr_mouse_celltype": q_score_corr_mouse_celltype,
+    "heatmap_group_distance": q_heatmap_group_distance,
+    "score_corr_samples_app": q_score_corr_samples_app,
+    "score_fit_samples": q_score_fit_samples,
+    "score_fit_timepoint": q_score_fit_timepoint,
+    "score_fit_both": q_score_fit_both,
     "score_fit": q_score_fit,
     "score_fit_band": q_score_fit_band,
 }
@@ -575,16 +609,18 @@ def _density_sql() -> str:
          "FROM dens d LEFT JOIN ct_ord o ON d.cell_type IS NOT DISTINCT FROM o.cell_type")
 
 
-def _fit_sql(facets) -> str:
+def _fit_sql(facets, src: str = "d1f", x: str = "gene_sig_score_1", y: str = "gene_sig_score_2",
+             ctes: tuple = ()) -> str:
     r = STAT_DIGITS
     fs = ", ".join(facets)
-    return _with(*_HUMAN_SCORES, _D1, _D1F,
-                 f"m AS (SELECT {fs}, regr_count(gene_sig_score_2, gene_sig_score_1) AS n, "
-                 "regr_slope(gene_sig_score_2, gene_sig_score_1) AS slope, "
-                 "regr_intercept(gene_sig_score_2, gene_sig_score_1) AS intercept, "
-                 "regr_syy(gene_sig_score_2, gene_sig_score_1) AS syy, regr_sxy(gene_sig_score_2, gene_sig_score_1) AS sxy "
-                 f"FROM d1f GROUP BY {fs})") + (
-        f" SELECT {fs}, CAST(n AS BIGINT) AS n, round(slope, {r}) AS slope, round(intercept, {r}) AS intercept, "
+    sel = f"{fs}, " if facets else ""
+    grp = f"GROUP BY {fs}" if facets else ""
+    ctes = ctes or (*_HUMAN_SCORES, _D1, _D1F)
+    return _with(*ctes,
+                 f"m AS (SELECT {sel}regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope, "
+                 f"regr_intercept({y}, {x}) AS intercept, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy "
+                 f"FROM {src} {grp})") + (
+        f" SELECT {sel}CAST(n AS BIGINT) AS n, round(slope, {r}) AS slope, round(intercept, {r}) AS intercept, "
         f"round(CASE WHEN n > 2 THEN sqrt(greatest(syy - slope * sxy, 0.0) / (n - 2)) END, {r}) AS sigma FROM m")
 
 
@@ -661,6 +697,15 @@ def _sql_catalog() -> dict[str, str]:
         sql[name] = _with(*_HUMAN_SCORES, _D1, _D1F) + " " + \
             _spearman_sql("d1f", facets, "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
     sql["score_fit"] = _fit_sql(["cell_type"])
+    sql["score_fit_timepoint"] = _fit_sql(["timepoint"])
+    sql["score_fit_both"] = _fit_sql(["timepoint", "cell_type"])
+    sql["score_fit_samples"] = _fit_sql([], "sm", "mean_gene1", "mean_gene2", (*_HUMAN_SCORES, _D1, samples))
+    d1_app = f"d1 AS (SELECT w.*, {_human_label_cols('w.unit', 2, 2, False)} FROM wide w)"
+    sql["score_corr_samples_app"] = _with(*_HUMAN_SCORES, d1_app, samples) + " " + \
+        _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
+    sql["heatmap_group_distance"] = _heat_prefix(_CELL_SAMPLE) + (
+        " SELECT a.grp AS group_a, b.grp AS group_b, round(sqrt(sum((a.log_exp - b.log_exp) * (a.log_exp - b.log_exp))), 6) "
+        "AS distance FROM r2 a JOIN r2 b ON a.gene = b.gene WHERE a.grp < b.grp GROUP BY a.grp, b.grp")
     mouse_cols = (f"{L.sql_sample('{u}', 1, 1)} AS sample, "
                   f"{L.sql_first_match('{u}', L.MOUSE_CELL_TYPE_RULES)} AS cell_type")
     a1m = "a1 AS (SELECT s.*, " + mouse_cols.replace("{u}", "s.unit") + " FROM scores s)"

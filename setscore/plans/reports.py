@@ -182,6 +182,13 @@ def heatmap_distance(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     return d.select(F.col("var_a").alias("gene_a"), F.col("var_b").alias("gene_b"), "distance")
 
 
+def heatmap_group_distance(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
+    """Euclidean distances between heatmap columns (cell type x timepoint groups) of R9."""
+    r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
+    d = A.euclidean_distances(r2, "gene", "cell_sample", "log_exp")
+    return d.select(F.col("var_a").alias("group_a"), F.col("var_b").alias("group_b"), "distance")
+
+
 # ---- R12 - R15 score correlations -----------------------------------------------------------
 
 def sample_score_means(scores: DataFrame, n_lead: int = 3, human: bool = True) -> DataFrame:
@@ -210,6 +217,11 @@ def score_fit(scores: DataFrame, facets: list[str]) -> DataFrame:
     return A.linear_fit(_d1_filtered(scores), facets, SET_1, SET_2)
 
 
+def score_fit_samples(scores: DataFrame, n_lead: int = 3, human: bool = True) -> DataFrame:
+    """T4 for R12: line through the per-sample mean scores."""
+    return A.linear_fit(sample_score_means(scores, n_lead, human), [], "mean_gene1", "mean_gene2")
+
+
 def score_fit_band(scores: DataFrame, facets: list[str], points: int = 80) -> DataFrame:
     """T4 band: fitted values and 95% confidence limits on a grid per facet."""
     return A.fit_band(score_fit(scores, facets), facets, points)
