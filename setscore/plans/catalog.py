@@ -201,6 +201,23 @@ def q_score_density(spark, sf_dir):
                 {"x": STAT_DIGITS, "density": STAT_DIGITS, "scaled": STAT_DIGITS})
 
 
+_DENS = {"x": STAT_DIGITS, "density": STAT_DIGITS, "scaled": STAT_DIGITS}
+
+
+def q_score_density_timepoint(spark, sf_dir):
+    d = R.timepoint_density(_scores(spark, sf_dir))
+    return _rnd(d.withColumn("i", F.col("i").cast("long")), _DENS)
+
+
+def q_response_box(spark, sf_dir):
+    return _rnd(R.response_box(_scores(spark, sf_dir)), _BOX)
+
+
+def q_response_density(spark, sf_dir):
+    d = R.response_density(_scores(spark, sf_dir))
+    return _rnd(d.withColumn("i", F.col("i").cast("long")), _DENS)
+
+
 def q_score_by_timepoint(spark, sf_dir):
     return _rnd(R.timepoint_box(_scores(spark, sf_dir)), _BOX)
 
@@ -347,6 +364,9 @@ QUERIES: dict[str, Query] = {
     "score_by_celltype_box": q_score_by_celltype_box,
     "score_density": q_score_density,
     "score_by_timepoint": q_score_by_timepoint,
+    "score_density_timepoint": q_score_density_timepoint,
+    "response_box": q_response_box,
+    "response_density": q_response_density,
     "score_by_sample_response": q_score_by_sample_response,
     "response_wilcoxon": q_response_wilcoxon,
     "response_wilcoxon_exact": q_response_wilcoxon_exact,
@@ -587,26 +607,33 @@ def _wilcoxon_sql() -> str:
          "tie > 0 AS has_ties FROM w1")
 
 
-def _density_sql() -> str:
+def _density_sql(ctes: tuple = (), src: str = "a1", keys=("set_name", "cell_type"), value: str = "score",
+                 order: bool = True) -> str:
     r = STAT_DIGITS
-    keys = ["set_name", "cell_type"]
+    keys = list(keys)
     ks = ", ".join(keys)
     lo = "least(sd, (q3 - q1) / 1.34)"
-    return _with(
-        *_HUMAN_SCORES, _A1,
-        f"st AS (SELECT {ks}, count(score) AS n, stddev_samp(score) AS sd, quantile_cont(score, 0.25) AS q1, "
-        f"quantile_cont(score, 0.75) AS q3, min(score) AS lo, max(score) AS hi FROM a1 GROUP BY {ks} HAVING count(score) >= 2)",
+    ctes = ctes or (*_HUMAN_SCORES, _A1)
+    body = _with(
+        *ctes,
+        f"st AS (SELECT {ks}, count({value}) AS n, stddev_samp({value}) AS sd, quantile_cont({value}, 0.25) AS q1, "
+        f"quantile_cont({value}, 0.75) AS q3, min({value}) AS lo, max({value}) AS hi FROM {src} GROUP BY {ks} "
+        f"HAVING count({value}) >= 2)",
         f"bw AS (SELECT *, 0.9 * (CASE WHEN {lo} > 0 THEN {lo} WHEN sd > 0 THEN sd WHEN abs(lo) > 0 THEN abs(lo) ELSE 1.0 END) "
         "* pow(CAST(n AS DOUBLE), -0.2) AS bw, (hi - lo) / 511.0 AS step FROM st)",
         "g AS (SELECT bw.*, t.i FROM bw, range(0, 512) AS t(i))",
         f"dens AS (SELECT {', '.join('g.' + k for k in keys)}, g.i, g.lo + g.i * g.step AS x, "
-        "sum(exp(-0.5 * ((g.lo + g.i * g.step - a.score) / g.bw) * ((g.lo + g.i * g.step - a.score) / g.bw))) "
-        f"/ (g.n * g.bw * 2.5066282746310002) AS density FROM g JOIN a1 a ON {_nse(keys, 'g', 'a')} "
+        f"sum(exp(-0.5 * ((g.lo + g.i * g.step - a.{value}) / g.bw) * ((g.lo + g.i * g.step - a.{value}) / g.bw))) "
+        f"/ (g.n * g.bw * 2.5066282746310002) AS density FROM g JOIN {src} a ON {_nse(keys, 'g', 'a')} "
         f"GROUP BY {', '.join('g.' + k for k in keys)}, g.i, g.lo, g.step, g.n, g.bw)",
-        _CT_ORD,
-    ) + (f" SELECT d.set_name, d.cell_type, CAST(i AS BIGINT) AS i, round(x, {r}) AS x, round(density, {r}) AS density, "
-         f"round(density / max(density) OVER (PARTITION BY d.set_name, d.cell_type), {r}) AS scaled, o.cell_type_ord "
-         "FROM dens d LEFT JOIN ct_ord o ON d.cell_type IS NOT DISTINCT FROM o.cell_type")
+        *((_CT_ORD,) if order else ()),
+    )
+    part = ", ".join("d." + k for k in keys)
+    sel = (f" SELECT {part}, CAST(i AS BIGINT) AS i, round(x, {r}) AS x, round(density, {r}) AS density, "
+           f"round(density / max(density) OVER (PARTITION BY {part}), {r}) AS scaled")
+    if order:
+        return body + sel + ", o.cell_type_ord FROM dens d LEFT JOIN ct_ord o ON d.cell_type IS NOT DISTINCT FROM o.cell_type"
+    return body + sel + " FROM dens d"
 
 
 def _fit_sql(facets, src: str = "d1f", x: str = "gene_sig_score_1", y: str = "gene_sig_score_2",
@@ -697,6 +724,13 @@ def _sql_catalog() -> dict[str, str]:
         sql[name] = _with(*_HUMAN_SCORES, _D1, _D1F) + " " + \
             _spearman_sql("d1f", facets, "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
     sql["score_fit"] = _fit_sql(["cell_type"])
+    sql["score_density_timepoint"] = _density_sql(keys=("set_name", "timepoint"), order=False)
+    a7 = (*_HUMAN_SCORES, _A1_3, _A7)
+    sql["response_density"] = _density_sql(a7, "means", ("set_name", "timepoint", "response"), "mean_expression",
+                                           order=False)
+    ctes, select = _box_parts("means2", ["set_name", "timepoint", "response"])
+    sql["response_box"] = _with(*a7, "means2 AS (SELECT set_name, timepoint, response, mean_expression AS score "
+                                     "FROM means)", *ctes) + " " + select
     sql["score_fit_timepoint"] = _fit_sql(["timepoint"])
     sql["score_fit_both"] = _fit_sql(["timepoint", "cell_type"])
     sql["score_fit_samples"] = _fit_sql([], "sm", "mean_gene1", "mean_gene2", (*_HUMAN_SCORES, _D1, samples))

@@ -107,6 +107,24 @@ def timepoint_box(scores: DataFrame) -> DataFrame:
     return S.box_stats(a1, ["set_name", "timepoint"], "score")
 
 
+def timepoint_density(scores: DataFrame, n_points: int = 512) -> DataFrame:
+    """R5 (T7): violin densities per set and timepoint."""
+    a1 = labelled_scores(scores, True, 2, 2, violin=True)
+    return S.violin_density(a1, ["set_name", "timepoint"], "score", n_points)
+
+
+def response_box(scores: DataFrame) -> DataFrame:
+    """R6 (T6): box statistics of the per-sample means per set, timepoint and response."""
+    means = sample_response_means(scores)
+    return S.box_stats(means, ["set_name", "timepoint", "response"], "mean_expression")
+
+
+def response_density(scores: DataFrame, n_points: int = 512) -> DataFrame:
+    """R6 / R7 (T7): violin densities of the per-sample means per set, timepoint and response."""
+    means = sample_response_means(scores)
+    return S.violin_density(means, ["set_name", "timepoint", "response"], "mean_expression", n_points)
+
+
 def sample_response_means(scores: DataFrame, n_lead: int = 3) -> DataFrame:
     """Mean score per (set, sample, response, timepoint)."""
     a1 = labelled_scores(scores, True, n_lead, 2, violin=True)
