@@ -27,7 +27,6 @@ import sys
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -21,7 +21,7 @@ from setscore.operators.scoring import gene_stats, kernel_cdf, scores_wide
 from setscore.plans import reports as R
 from setscore.session import cut_lineage
 from setscore.sources import fixtures as fx
-from setscore.sources.gene_sets import first_two, gene_set_table, score_sets
+from setscore.sources.gene_sets import gene_set_table, score_sets
 
 MEAN_DIGITS = 9
 SCORE_DIGITS = 6
