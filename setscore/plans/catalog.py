@@ -184,6 +184,11 @@ def q_score_ranking(spark, sf_dir):
     return R.ranking_human(_scores(spark, sf_dir))
 
 
+def q_score_ranking_top10(spark, sf_dir):
+    """W3 as a top-k report: the 10 highest-scoring units."""
+    return R.ranking_human(_scores(spark, sf_dir), top=10)
+
+
 def q_score_ranking_mouse(spark, sf_dir):
     return R.ranking_mouse(_scores(spark, sf_dir, "mouse"))
 
@@ -360,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "score_long": q_score_long,
     "score_wide": q_score_wide,
     "score_ranking": q_score_ranking,
+    "score_ranking_top10": q_score_ranking_top10,
     "score_ranking_mouse": q_score_ranking_mouse,
     "score_by_celltype_box": q_score_by_celltype_box,
     "score_density": q_score_density,
@@ -689,6 +695,10 @@ def _sql_catalog() -> dict[str, str]:
     sql["score_ranking"] = _with(*_HUMAN_SCORES) + (
         f" SELECT {L.sql_strip_last('unit', 2)} AS aggregated_sample_cell_type, {_human_label_cols('unit')}, "
         "round(gene_sig_score_1, 3) AS gene_sig_score_1, round(gene_sig_score_2, 3) AS gene_sig_score_2 FROM wide")
+    sql["score_ranking_top10"] = _with(*_HUMAN_SCORES) + (
+        f" SELECT {L.sql_strip_last('unit', 2)} AS aggregated_sample_cell_type, {_human_label_cols('unit')}, "
+        "round(gene_sig_score_1, 3) AS gene_sig_score_1, round(gene_sig_score_2, 3) AS gene_sig_score_2 FROM wide "
+        "ORDER BY wide.gene_sig_score_1 DESC NULLS LAST, unit ASC LIMIT 10")
     sql["score_ranking_mouse"] = _with(*_MOUSE_SCORES) + (
         " SELECT unit AS cell_name, round(gene_sig_score_1, 3) AS gene_sig_score_1, "
         f"round(gene_sig_score_2, 3) AS gene_sig_score_2, {L.sql_sample('unit', 1, 1)} AS sample, "

@@ -62,10 +62,16 @@ def labelled_wide(scores: DataFrame, human: bool = True, n_lead: int = 3, n_trai
 
 # ---- R3 ranking -----------------------------------------------------------------------------
 
-def ranking_human(scores: DataFrame, digits: int = 3) -> DataFrame:
-    """R3 (human): sorted by unrounded score 1 desc (ties by unit), then rounded."""
+def ranking_human(scores: DataFrame, digits: int = 3, top: int | None = None) -> DataFrame:
+    """R3 (human): sorted by unrounded score 1 desc (ties by unit), then rounded.
+
+    ``top`` keeps the first k rows (a top-k report: per-partition top-k then a
+    merge, no full sort).
+    """
     d = labelled_wide(scores, True, 3, 2)
     ordered = d.orderBy(F.col(SET_1).desc_nulls_last(), F.col("unit").asc())
+    if top is not None:
+        ordered = ordered.limit(top)
     return ordered.select(L.sample_cell_type("unit").alias("aggregated_sample_cell_type"),
                           "sample", "cell_type", "timepoint", "response",
                           F.round(SET_1, digits).alias(SET_1), F.round(SET_2, digits).alias(SET_2))
