@@ -35,7 +35,11 @@ def work_partitions(df: DataFrame, factor: int = 4) -> int:
     """
     spark = df.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism * factor)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext handle: fall back to the shuffle width
+        cores = 0
+    return max(shuffle, cores * factor)
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
