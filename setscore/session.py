@@ -62,13 +62,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names; set a scratch one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage. Only a local
-    session without that setting (tests, bench) gets a fresh folder under /tmp.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage (an
+    error otherwise). Only a local-mode session without that setting (tests,
+    bench) gets a fresh scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not reachable by other executors
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         current = tempfile.mkdtemp(prefix="setscore-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
