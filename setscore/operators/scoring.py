@@ -6,14 +6,17 @@ Output ``scores(unit, set_name, score)`` with scores in [-1, 1].
 
 Stages and their shuffles:
 
-* G1 ``gene_stats``      groupBy(gene): n, sample sd; constant genes dropped.
+* G1 ``gene_stats``      groupBy(gene) with partial aggregation: n, sample sd;
+  constant genes dropped. One row per gene, cached and broadcast (size-checked),
+  so the matrix itself is not shuffled to attach it.
 * G2 ``kernel_cdf``      z_gu = (1/n) sum_k Phi((x_gu - x_gk) / h_g), h_g = sd_g / 4.
   Each gene's units are hashed into blocks of about ``block_rows``; Spark
   shuffles (gene, block_j, block_k) tiles and a vectorised NumPy kernel sums
   one bounded tile per group. No per-pair rows are emitted and no gene is
-  ever held whole by one task. Partial sums are added back in Spark.
-* W4/G3 ``rank_genes``   shuffle on unit; position by z descending (ties: gene),
-  symmetric weight r = |p - pos + 1 - p/2| ** tau.
+  ever held whole by one task. Partial sums are shuffled once by unit and
+  added back in Spark.
+* W4/G3 ``rank_genes``   window over unit on that same partitioning (no new
+  shuffle); position by z descending (ties: gene), weight r = |p - pos + 1 - p/2| ** tau.
 * G4/G5 ``walk_scores``  hits only: with m set genes at positions l_1 < ... < l_m,
   W_k the normalised running weight and pen_k = (l_k - k)/(p - m), the walk's
   extremes are max_k(W_k - pen_k) and min_k(W_{k-1} - pen_k); the score is
