@@ -40,7 +40,11 @@ def upload_stream(spark: SparkSession, upload_dir: str, sep: str = ",", quote: s
 
 def score_uploads(spark: SparkSession, expr: DataFrame, upload_dir: str, output_dir: str,
                   sep: str = ",", quote: str = '"', header: bool = True, query_name: str = "uploads"):
-    """Start the stream; returns the StreamingQuery. ``expr`` should be persisted or checkpointed."""
+    """Start the stream; returns the StreamingQuery. ``expr`` should be persisted or checkpointed.
+
+    The stream's progress is kept under ``<spark.checkpoint.dir>/streams/<query_name>``:
+    restarting with the same name resumes and skips uploads already scored.
+    """
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         # one set per (upload, column): the upload path is part of the set key
         sets = (batch.select(F.concat_ws("\u0001", "upload", "set_name").alias("set_name"), "gene")

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from setscore.operators.scoring import score_gene_sets
 from setscore.sources import fixtures as fx
@@ -21,7 +22,8 @@ def test_stream_scores_each_upload(spark):
         with open(os.path.join(up, name), "w", encoding="utf-8", newline="") as fh:
             fh.write(text)
     expr = fx.expr_dense(spark, SF0001).cache()
-    q = score_uploads(spark, expr, up, out, query_name="test_uploads")
+    # a stream's identity is its checkpoint: a stable name resumes, so each test run uses its own
+    q = score_uploads(spark, expr, up, out, query_name=f"test_uploads_{uuid.uuid4().hex}")
     q.awaitTermination(600)
     got = spark.read.parquet(out).collect()
     assert {os.path.basename(r["upload"]) for r in got} == {"a.csv", "b.csv"}
