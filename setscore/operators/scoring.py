@@ -175,6 +175,15 @@ def walk_scores(ranked: DataFrame, gene_sets: DataFrame) -> DataFrame:
     return agg.select("unit", "set_name", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
+def rank_matrix(expr: DataFrame, tau: float = 1.0, block_rows: int = 2048) -> DataFrame:
+    """(unit, gene, z, pos, p, r), independent of any gene set.
+
+    Persist or checkpoint it to score many gene-set tables with
+    :func:`walk_scores` alone.
+    """
+    return rank_genes(kernel_cdf(expr, gene_stats(expr), block_rows=block_rows), tau)
+
+
 def score_gene_sets(expr: DataFrame, gene_sets: DataFrame, tau: float = 1.0,
                     block_rows: int = 2048) -> DataFrame:
     """GSVA scores (unit, set_name, score) of every set against a complete matrix.
