@@ -39,3 +39,18 @@ def test_entry_smoke(spark):
 def test_every_query_but_rows_only_has_oracle():
     assert set(E.queries()) - set(E.oracle_sql()) == {"response_wilcoxon_exact", "score_fit_band"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", ["pseudobulk_star", "kernel_cdf", "score_corr_both", "heatmap_celltype_timepoint"])
+def test_query_independent_of_shuffle_width(spark, name):
+    """Same rows whatever the shuffle width (the score cache is bypassed by a fresh folder key)."""
+    fn = E.queries()[name]
+    base = canon(fn(spark, SF0001).toPandas())
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        from setscore.plans import catalog
+        catalog._SCORE_CACHE.clear()
+        other = canon(fn(spark, SF0001).toPandas())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert base == other
