@@ -76,8 +76,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # a machine-local folder is not reachable by other executors
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         current = tempfile.mkdtemp(prefix="setscore-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
+        # spark.checkpoint.dir is a core setting (read-only at run time); the
+        # context's checkpoint folder is set directly instead
         spark.sparkContext.setCheckpointDir(current)
     return current
 

@@ -22,10 +22,18 @@ print("OK", len(rows), len(qs), len(sql), n)
 """
 
 
-def test_entry_from_foreign_cwd():
+import pytest
+
+
+@pytest.mark.parametrize("bare_conf", [False, True])
+def test_entry_from_foreign_cwd(bare_conf):
+    """Also with no Spark defaults at all, so no checkpoint folder is preset."""
     with tempfile.TemporaryDirectory(prefix="setscore-cwd-") as cwd:
+        env = dict(os.environ)
+        if bare_conf:
+            env["SPARK_CONF_DIR"] = cwd
         out = subprocess.run([sys.executable, "-c", SCRIPT, os.path.join(REPO, "__spark_entry__.py")],
-                             cwd=cwd, capture_output=True, text=True, timeout=900)
+                             cwd=cwd, capture_output=True, text=True, timeout=900, env=env)
     last = [ln for ln in out.stdout.splitlines() if ln.startswith("OK")]
     assert last, out.stderr[-3000:]
     _, rows, nq, nsql, n_pb = last[0].split()
