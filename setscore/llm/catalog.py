@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from setscore.llm import contamination, line_quality, mixing, pii, secrets, sharding, simhash, warc
+from setscore.llm import contamination, licenses, line_quality, mixing, pii, secrets, sharding, simhash, warc
 
-_MODULES = (contamination, line_quality, mixing, pii, secrets, sharding, simhash, warc)
+_MODULES = (contamination, licenses, line_quality, mixing, pii, secrets, sharding, simhash, warc)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
