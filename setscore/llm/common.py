@@ -118,6 +118,16 @@ class WordHasher:
             yield at, end
             at = end
 
+    def spans(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each given span's bytes, A-Z lower-cased."""
+        size = end - start
+        raw = np.frombuffer(data, dtype=np.uint8)
+        first = np.cumsum(size) - size
+        byte = raw[np.arange(int(size.sum())) - np.repeat(first, size) + np.repeat(start, size)]
+        self._powers(int(size.max(initial=0)) + 1)
+        place = np.arange(len(byte)) - np.repeat(first, size)
+        return np.add.reduceat(self.lower[byte] * self.up[place], first) if len(size) else np.zeros(0, np.uint64)
+
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start byte, end byte) of every word of ``data``, in order."""
         hashes, starts, ends = [], [], []
