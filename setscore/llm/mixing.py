@@ -28,7 +28,7 @@ from setscore.llm.common import SPACED_WORD, free_name, materialise, table
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5             # of all words
 MAX_EPOCHS = 2
-BUCKET_ROWS = 20_000     # rows sorted together within a source
+BUCKET_ROWS = 4_000     # rows sorted together within a source
 SEED = "mix-1"
 
 
