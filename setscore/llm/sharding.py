@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from setscore.llm.common import materialise, table
 
 SHARDS = 40
-BUCKET_BYTES = 32 << 20     # of records that one task shuffles in memory
+BUCKET_BYTES = 16 << 20     # of records that one task shuffles in memory
 SEED = 20_231
 OVERHEAD = 16               # bytes that a record counts besides its text
 
