@@ -253,8 +253,9 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", window: int = WINDOW,
                     shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a RESULT column ``name``: hit words, items, hit spans and the longest verbatim
+    """``docs`` with a RESULT column ``name`` (or name_1, ... if docs has that): hit words, items, hit spans and the longest verbatim
     matches with their places (word offsets)."""
+    name = free_name(docs, name)
     blocks = benchmark_blocks(benchmark, block_bytes) or [[]]
     out, parts = docs, []
     for items in blocks:

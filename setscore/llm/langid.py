@@ -244,7 +244,7 @@ def label_texts(texts: list[bytes], chain: Chain) -> list[dict]:
     best = total.argmax(axis=1)
     word = prob.argmax(axis=1)
     cut = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (document[1:] != document[:-1]))) if len(word) else np.zeros(0, np.int64)
-    stop = np.append(cut[1:], len(word))
+    stop = np.append(cut[1:], len(word)) if len(word) else cut
     first = np.cumsum(n) - n
     segments: list[list[dict]] = [[] for _ in texts]
     for a, b, d, k in zip(cut.tolist(), stop.tolist(), document[cut].tolist(), word[cut].tolist(), strict=True):

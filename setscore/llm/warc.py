@@ -107,17 +107,18 @@ def read_archive(source):
     trained = raw[:4] == struct.pack("<I", 0xEC30A437)
     d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_FULLDICT if trained else zstd.DICT_TYPE_RAWCONTENT)
     decompressor = zstd.ZstdDecompressor(dict_data=d)
-    frame, out = decompressor.decompressobj(), []
+    frame, out, begun = decompressor.decompressobj(), [], False
     data = source.read(READ_BYTES)
     while data:
         out.append(frame.decompress(data))
+        begun = not frame.eof
         if frame.eof:
             yield b"".join(out)
             data, frame, out = frame.unused_data, decompressor.decompressobj(), []
             if data:
                 continue
         data = source.read(READ_BYTES)
-    if any(out):
+    if begun:
         raise ValueError("the archive ends within a record")
 
 
