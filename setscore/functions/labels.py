@@ -161,12 +161,6 @@ def log_or_zero(c: str | Column) -> Column:
     return F.when(bad, F.lit(0.0)).otherwise(F.ln(x))
 
 
-def zero_if_not_finite(c: str | Column) -> Column:
-    """L11 alone."""
-    x = col_(c)
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.lit(0.0)).otherwise(x)
-
 
 def has_no_dot_or_dash(c: str | Column) -> Column:
     """F4 predicate: keep genes without '.' and without '-'."""

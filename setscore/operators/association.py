@@ -31,13 +31,9 @@ from setscore.operators.joins import join_on_keys
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
-             fits: bool | None = None) -> DataFrame:
-    """Rank within ``keys`` by ``value``, ties share the average rank.
-
-    A facet is sorted in one task only behind a size check (operators.ranks).
-    """
-    return ranks.mid_rank(df, keys, value, out, fits=fits)
+def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """W6, see :func:`setscore.operators.ranks.mid_rank`."""
+    return ranks.mid_rank(df, keys, value, out)
 
 
 def t_two_sided_p(t: Column, df: Column) -> Column:
@@ -76,8 +72,7 @@ def spearman(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:
     """Per facet n, Spearman r and its t-approximation p (n < 3 -> NULL p)."""
     facets = list(facets)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    fits = ranks.facets_fit_one_task(d, facets)          # one size check for both rankings
-    ranked = mid_rank(mid_rank(d, facets, x, "_rx", fits), facets, y, "_ry", fits)
+    ranked = mid_rank(mid_rank(d, facets, x, "_rx"), facets, y, "_ry")
     m = ranked.groupBy(*facets).agg(F.count(F.lit(1)).alias("n"),
                                     F.regr_sxy("_ry", "_rx").alias("sxy"),
                                     F.regr_sxx("_ry", "_rx").alias("sxx"),

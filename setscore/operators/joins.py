@@ -1,9 +1,7 @@
 """Join helpers.
 
-``broadcast()`` skips the shuffle of the big side but ships the small side to
-every executor, so it is only safe with a size bound. ``broadcast_if_small``
-checks the bound at run time and otherwise leaves the join to the planner
-(sort-merge or shuffled hash, re-planned by AQE from real shuffle sizes).
+No join here carries a broadcast hint: adaptive execution broadcasts a side
+whose measured size is below the session's threshold and shuffles both else.
 """
 
 from __future__ import annotations
@@ -11,20 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound for an explicit broadcast. Gene-set tables, label tables and
-# per-group statistics sit far below it; anything larger takes the shuffle path.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` when it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a LIMIT job), so it stays
-    cheap even when the side turns out to be big.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def work_partitions(df: DataFrame, factor: int = 4) -> int:
     """Partition count for compute-heavy, byte-light stages.

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setscore.functions.labels import composite_key, has_no_dot_or_dash, normalise_cluster, remove_spaces
-from setscore.operators.joins import broadcast_if_small
 
 # Key columns of the three reference builds.
 HUMAN_KEYS = ("cluster", "response", "timepoint", "ident", "patient")
@@ -57,7 +56,7 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, key_cols: Sequence[str] = HU
     """
     keyed = keyed_cells(cells, key_cols, filter_col, normalise)
     if gene_allowlist is not None:
-        counts = counts.join(broadcast_if_small(gene_allowlist.select("gene").distinct()), "gene", "left_semi")
+        counts = counts.join(gene_allowlist.select("gene").distinct(), "gene", "left_semi")
     if drop_dot_dash_genes:
         counts = counts.where(has_no_dot_or_dash("gene"))
     # Counts carry no unit, so the join precedes the aggregate. The cell side
@@ -81,8 +80,3 @@ def complete_matrix(pb: DataFrame) -> DataFrame:
     from setscore.operators.summaries import complete_grid
     grid = complete_grid(pb.select("gene", "unit", "mean_exp"), "gene", "unit", "mean_exp", fill=0.0)
     return grid.select("unit", "gene", F.col("mean_exp").alias("value"))
-
-
-def clean_genes(pb: DataFrame) -> DataFrame:
-    """F4 on a finished pseudobulk."""
-    return pb.where(has_no_dot_or_dash("gene"))

@@ -15,10 +15,10 @@ Mid-rank = before + (cnt + 1) / 2. The type-7 quantile at p reads the values
 at 0-based positions floor((n-1)p) and ceil((n-1)p), i.e. the distinct value
 whose interval [before, before + cnt) contains them.
 
-Like a broadcast, gathering a facet into one task is allowed only behind a
-size check: when every facet has at most ``FACET_ROWS_IN_ONE_TASK`` rows the
-plain window / percentile plan is used (fewer stages), otherwise the
-distributed plan above. Both give identical results (tests run both).
+One plan serves every size. The positions inside the ranges are written to the
+shared folder once, so that the totals and the rows that they are joined with
+come from the same ranges whatever the optimiser reuses. NULL takes no rank and
+no part; NaN is a value above all others; -0.0 equals 0.0.
 """
 
 from __future__ import annotations
@@ -27,61 +27,52 @@ import sys
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setscore.operators.joins import join_on_keys, work_partitions
+from setscore.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 _NULL = object()
 
-# Largest facet a single task may sort or buffer (rows).
-FACET_ROWS_IN_ONE_TASK = 1_000_000
-
-
-def facets_fit_one_task(df: DataFrame, keys: Sequence[str], limit: int = FACET_ROWS_IN_ONE_TASK) -> bool:
-    """True when no facet of ``keys`` has more than ``limit`` rows (one small job)."""
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.where(F.col("_n") > limit).limit(1).count() == 0
-
-
 def _local_before(keys: list[str]):
     """Per partition: count of rows of the same facet before each distinct value.
 
     Rows arrive sorted by (keys, value), so each facet is one contiguous run;
-    a run may continue from the previous Arrow batch.
+    a run may continue from the previous Arrow batch. Columns pass through as they are.
     """
     def run(batches):
         prev_key = None      # facet of the last row of the previous batch
         carry = 0            # rows of that facet already seen in this partition
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                yield pdf.assign(_lb=np.zeros(0, dtype=np.int64))
-                continue
-            cnt = pdf["_cnt"].to_numpy(dtype=np.int64)
-            cols = [pdf[k].astype(object).where(pdf[k].notna(), _NULL).to_numpy() for k in keys]
-            new = np.zeros(n, dtype=bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            first_key = tuple(c[0] for c in cols)
-            new[0] = prev_key is None or first_key != prev_key
-            excl = np.cumsum(cnt) - cnt                  # rows before, within the batch
-            run_id = np.cumsum(new)                      # 0 = continuation of the previous batch
-            starts = excl[new]                           # excl at the start of each new run
-            base = np.full(n, -carry, dtype=np.int64)
-            if starts.size:
-                later = run_id > 0
-                base[later] = starts[run_id[later] - 1]
-            before = excl - base
-            carry = int(before[-1] + cnt[-1])
-            prev_key = tuple(c[-1] for c in cols)
-            yield pdf.assign(_lb=before)
+        for batch in batches:
+            n = batch.num_rows
+            before = np.zeros(n, dtype=np.int64)
+            if n:
+                cnt = batch.column(batch.schema.get_field_index("_cnt")).to_numpy()
+                cols = [np.array([_NULL if v is None else v for v in batch.column(batch.schema.get_field_index(k)).to_pylist()], dtype=object)
+                        for k in keys]
+                new = np.zeros(n, dtype=bool)
+                for c in cols:
+                    new[1:] |= c[1:] != c[:-1]
+                first_key = tuple(c[0] for c in cols)
+                new[0] = prev_key is None or first_key != prev_key
+                excl = np.cumsum(cnt) - cnt                  # rows before, within the batch
+                run_id = np.cumsum(new)                      # 0 = continuation of the previous batch
+                starts = excl[new]                           # excl at the start of each new run
+                base = np.full(n, -carry, dtype=np.int64)
+                if starts.size:
+                    later = run_id > 0
+                    base[later] = starts[run_id[later] - 1]
+                before = excl - base
+                carry = int(before[-1] + cnt[-1])
+                prev_key = tuple(c[-1] for c in cols)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "_lb"])
     return run
 
 
@@ -97,7 +88,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str,
                  .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], F.col(value).asc())
                  .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ordered.schema.fields + [T.StructField("_lb", T.LongType())])
-    local = ordered.mapInPandas(_local_before(keys), schema)
+    local = cut_lineage(ordered.mapInArrow(_local_before(keys), schema))
     totals = local.groupBy("_pid", *keys).agg(F.sum("_cnt").alias("_tot"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -107,34 +98,18 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str,
     return j.select(*keys, value, F.col("_cnt").alias("cnt"), (F.col("_lb") + F.col("_off")).alias("before"), "n")
 
 
-def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
-             limit: int = FACET_ROWS_IN_ONE_TASK, fits: bool | None = None) -> DataFrame:
-    """Rank of ``value`` within ``keys``, ties sharing the average rank (NULL stays NULL).
-
-    ``fits`` passes an already computed :func:`facets_fit_one_task` answer.
-    """
+def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """Rank of ``value`` within ``keys``, ties sharing the average rank (NULL stays NULL)."""
     keys = list(keys)
-    if fits is None:
-        fits = facets_fit_one_task(df, keys, limit)
-    if fits:
-        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())   # NULLs take no rank
-        ties = Window.partitionBy(*keys, value)
-        r = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), r))
     pos = value_positions(df, keys, value)
     ranks = pos.select(*keys, value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out))
     return join_on_keys(df, ranks, [*keys, value], "left")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              names: Sequence[str], limit: int = FACET_ROWS_IN_ONE_TASK) -> DataFrame:
+              names: Sequence[str]) -> DataFrame:
     """Exact type-7 quantiles per facet: (keys, n, <names>...)."""
     keys = list(keys)
-    if facets_fit_one_task(df, keys, limit):
-        v = F.col(value)
-        q = (df.where(v.isNotNull()).groupBy(*keys)
-               .agg(F.count(v).alias("n"), F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")))
-        return q.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     pos = value_positions(df, keys, value)
     sizes = pos.select(*keys, "n").distinct()
     targets = sizes.select(*keys, "n", F.explode(F.array(*[
@@ -147,6 +122,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
                  .groupBy(*keys, "n", "q", "h", "k_lo")
                  .agg(F.max(F.when(inside("k_lo"), F.col(value))).alias("v_lo"),
                       F.max(F.when(inside("k_hi"), F.col(value))).alias("v_hi")))
-    qv = picked.select(*keys, "n", "q",
-                       (F.col("v_lo") + (F.col("h") - F.col("k_lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("v"))
+    between = F.col("v_lo") + (F.col("h") - F.col("k_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    qv = picked.select(*keys, "n", "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(between).alias("v"))
     return qv.groupBy(*keys, "n").pivot("q", list(names)).agg(F.first("v"))

@@ -16,22 +16,15 @@ from setscore.sources.expression import wide_to_long  # noqa: F401  (P4, re-expo
 
 
 def long_to_wide(df: DataFrame, id_col: str, key_col: str, value_col: str,
-                 values: Sequence[str] | None = None) -> DataFrame:
-    """One row per id, one column per key, NULL for missing cells.
+                 values: Sequence[str], fill: float | None = 0.0) -> DataFrame:
+    """One row per id, one column per key of ``values``; missing cells become ``fill``.
 
-    Without ``values`` Spark collects the distinct keys first (bounded by
-    ``spark.sql.pivotMaxValues``); pass them when they are known.
+    The keys are named by the caller: an open key set stays in the long form.
     """
-    g = df.groupBy(id_col)
-    g = g.pivot(key_col, list(values)) if values is not None else g.pivot(key_col)
-    return g.agg(F.first(value_col))
+    wide = df.groupBy(id_col).pivot(key_col, list(values)).agg(F.first(value_col))
+    return wide if fill is None else wide.fillna(fill, list(values))
 
 
 def select_timepoint_units(df: DataFrame, unit_col: str = "unit") -> DataFrame:
     """Long form of select(gene, contains("OT"), contains("BT")), case-insensitive."""
     return df.where(contains_ci(unit_col, "OT") | contains_ci(unit_col, "BT"))
-
-
-def swap_axes(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Transpose of a long matrix is a column swap."""
-    return df.withColumnRenamed(a, "__a").withColumnRenamed(b, a).withColumnRenamed("__a", b)

@@ -7,8 +7,8 @@ Output ``scores(unit, set_name, score)`` with scores in [-1, 1].
 Stages and their shuffles:
 
 * G1 ``gene_stats``      groupBy(gene) with partial aggregation: n, sample sd;
-  constant genes dropped. One row per gene, cached and broadcast (size-checked),
-  so the matrix itself is not shuffled to attach it.
+  constant genes dropped, NULL and NaN values left out. One row per gene, joined
+  back by size.
 * G2 ``kernel_cdf``      z_gu = (1/n) sum_k Phi((x_gu - x_gk) / h_g), h_g = sd_g / 4.
   Each gene's units are hashed into blocks of about ``block_rows``; Spark
   shuffles (gene, block_j, block_k) tiles and a vectorised NumPy kernel sums
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscore.functions.stats import AS_B, AS_P, INV_SQRT_2PI
-from setscore.operators.joins import broadcast_if_small, work_partitions
+from setscore.operators.joins import work_partitions
 
 # The tile kernel runs in Python workers. Pickle this module's functions by
 # value so workers need no copy of the package on their path.
@@ -45,9 +45,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Z_DIGITS = 9
 
 
+def _present(expr: DataFrame) -> DataFrame:
+    """Rows with a number: a NULL or NaN value takes no part in its gene's distribution."""
+    return expr.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
 def gene_stats(expr: DataFrame) -> DataFrame:
     """G1: (gene, n, sd, h) for genes that vary across units."""
-    s = expr.groupBy("gene").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"))
+    s = _present(expr).groupBy("gene").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"))
     return s.where(F.col("sd") > 0).withColumn("h", F.col("sd") / 4.0)
 
 
@@ -116,10 +121,8 @@ def kernel_cdf(expr: DataFrame, stats: DataFrame | None = None, block_rows: int
     that consumes it, so ranking needs no further shuffle.
     """
     stats = gene_stats(expr) if stats is None else stats
-    # One row per gene: cached, size-checked, then broadcast, so expr is never
-    # shuffled just to attach h (too many genes -> planner's shuffle join).
-    stats = broadcast_if_small(stats.select("gene", "n", "h").cache())
-    a = (expr.join(stats, "gene")
+    # one row per gene: adaptive execution broadcasts it while it is small
+    a = (_present(expr).join(stats.select("gene", "n", "h"), "gene")
              .withColumn("nb", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
              .withColumn("blk", F.pmod(F.xxhash64("unit"), F.col("nb")).cast("int")))
     # One pass emits both roles of a row: i < nb -> left row of tile (blk, i);
@@ -156,7 +159,7 @@ def rank_genes(z: DataFrame, tau: float = 1.0) -> DataFrame:
 
 def walk_scores(ranked: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """G4 + G5: (unit, set_name, score) from the hits of each set only."""
-    sets = broadcast_if_small(gene_sets.select("set_name", "gene").distinct())
+    sets = gene_sets.select("set_name", "gene").distinct()
     hits = ranked.join(sets, "gene")
     grp = Window.partitionBy("unit", "set_name")
     run = grp.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

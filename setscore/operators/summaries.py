@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from setscore.functions.labels import log_or_zero, not_matching
 from setscore.operators import ranks
-from setscore.operators.joins import broadcast_if_small, join_on_keys
+from setscore.operators.joins import join_on_keys
 
 _NULL_KEY = "\u0000NULL"
 
@@ -24,8 +24,8 @@ def genes_of_interest(gene_sets: DataFrame) -> DataFrame:
 
 
 def keep_genes(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
-    """left-semi join on the (size-checked broadcast) gene union."""
-    return expr.join(broadcast_if_small(genes_of_interest(gene_sets)), "gene", "left_semi")
+    """left-semi join on the gene union."""
+    return expr.join(genes_of_interest(gene_sets), "gene", "left_semi")
 
 
 def drop_patient_specific(df: DataFrame, col: str = "cell_type") -> DataFrame:
@@ -46,6 +46,18 @@ def group_mean(df: DataFrame, keys: Sequence[str], value: str, alias: str, stric
     return df.groupBy(*keys).agg(mean.alias(alias))
 
 
+def zero_filled_mean(sparse: DataFrame, units: DataFrame, row: str, group: str, value: str, alias: str) -> DataFrame:
+    """A3/A4 of a sparse matrix: (row, group, mean over all units of the group, absent cells counting as 0).
+
+    ``sparse(unit, row, value)`` lists the non-zero cells; ``units(unit, group)`` names every unit,
+    those without any cell too. Sums are pre-aggregated; nothing is made dense.
+    """
+    own = units.select("unit", group).distinct()
+    sums = sparse.join(own, "unit").groupBy(row, group).agg(F.sum(value).alias("_sum"))
+    sizes = own.groupBy(group).agg(F.count(F.lit(1)).alias("_units"))
+    return join_on_keys(sums, sizes, [group]).select(row, group, (F.col("_sum") / F.col("_units")).alias(alias))
+
+
 def complete_grid(df: DataFrame, row: str, col: str, value: str, fill: float | None = None) -> DataFrame:
     """A5: every (row, col) pair of the keys present in ``df``; missing cells -> ``fill``.
 
@@ -57,10 +69,7 @@ def complete_grid(df: DataFrame, row: str, col: str, value: str, fill: float | N
     """
     keyed = df.withColumn(col, F.coalesce(F.col(col), F.lit(_NULL_KEY)))
     keys = keyed.select(col).distinct()
-    if ranks.facets_fit_one_task(keys, []):
-        index = keys.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("long").alias("_ix"))
-    else:
-        index = ranks.value_positions(keys, [], col).select(col, F.col("before").alias("_ix"))
+    index = ranks.value_positions(keys, [], col).select(col, F.col("before").alias("_ix"))
     n_keys = index.agg(F.count(F.lit(1))).scalar()
     grid = (keyed.select(row).distinct()
                  .select(row, F.explode(F.sequence(F.lit(0).cast("long"), n_keys - 1)).alias("_ix"))
@@ -134,8 +143,3 @@ def ranking(wide_scores: DataFrame, score_cols: Sequence[str], digits: int = 3,
     ordered = wide_scores.orderBy(F.col(first).desc_nulls_last(), F.col(tie).asc())
     return ordered.select(*[F.round(F.col(c), digits).alias(c) if c in score_cols else F.col(c)
                             for c in wide_scores.columns])
-
-
-def select_set(scores: DataFrame, set_name: str) -> DataFrame:
-    """F5."""
-    return scores.where(F.col("set_name") == set_name)

@@ -98,10 +98,14 @@ def q_pseudobulk_malignant(spark, sf_dir):
     return _rnd(pb, {"mean_exp": MEAN_DIGITS})
 
 
+# Order priorities without blanks, the clusters of the star fixture.
+STAR_CLUSTERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOTSPECIFIED", "5-LOW"]
+
+
 def q_pseudobulk_wide(spark, sf_dir):
-    # the pivot first collects its keys in a separate job; both read the written long form
-    pb = cut_lineage(q_pseudobulk_star(spark, sf_dir))
-    return long_to_wide(pb, "gene", "unit", "mean_exp")
+    """Pseudobulk by cluster, one column per cluster, 0 where a gene has no count."""
+    pb = _rnd(PB.pseudobulk(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), ("cluster",)), {"mean_exp": MEAN_DIGITS})
+    return long_to_wide(pb.withColumn("stem", F.regexp_replace("unit", "_[0-9]+$", "")), "gene", "stem", "mean_exp", STAR_CLUSTERS)
 
 
 def q_pseudobulk_allowlist(spark, sf_dir):
@@ -110,6 +114,16 @@ def q_pseudobulk_allowlist(spark, sf_dir):
     return _rnd(pb, {"mean_exp": MEAN_DIGITS})
 
 
+def q_heatmap_from_pseudobulk(spark, sf_dir):
+    """R1 -> R8: counts to the sparse pseudobulk to the log heatmap of genes of interest."""
+    keys = ("cluster", "timepoint", "ident")
+    counts, cells = fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir)
+    units = PB.unit_sizes(PB.keyed_cells(cells, keys)).select("unit", F.split("stem", "_")[0].alias("cell_type"))
+    wanted = _star_gene_families(spark, sf_dir, max_size=10)
+    heat = R.heatmap_from_pseudobulk(PB.pseudobulk(counts, cells, keys), units, wanted)
+    return _rnd(heat, {"log_exp": STAT_DIGITS})
+
+
 def q_gene_name_clean(spark, sf_dir):
     pb = PB.pseudobulk(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), PB.HUMAN_KEYS,
                        drop_dot_dash_genes=True)
@@ -147,9 +161,11 @@ def q_cluster_normalise(spark, sf_dir):
     return cells.select("cell_id", "raw_cluster", L.normalise_cluster("raw_cluster").alias("cluster"))
 
 
-def _star_gene_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One gene set per part type: every star-fixture gene of that type."""
+def _star_gene_families(spark: SparkSession, sf_dir: str, max_size: int | None = None) -> DataFrame:
+    """One gene set per part type: every star-fixture gene of that type (of parts up to ``max_size``)."""
     part = fx.table(spark, sf_dir, "part")
+    if max_size is not None:
+        part = part.where(F.col("p_size") <= max_size)
     sep = F.when(F.col("p_size") % 3 == 0, ".").when(F.col("p_size") % 3 == 1, "-").otherwise("")
     return part.select(F.col("p_type").alias("set_name"),
                        F.concat(F.col("p_brand"), sep, F.col("p_type")).alias("gene")).distinct()
@@ -353,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "pseudobulk_text": q_pseudobulk_text,
     "pseudobulk_malignant": q_pseudobulk_malignant,
     "pseudobulk_wide": q_pseudobulk_wide,
+    "heatmap_from_pseudobulk": q_heatmap_from_pseudobulk,
     "pseudobulk_allowlist": q_pseudobulk_allowlist,
     "gene_name_clean": q_gene_name_clean,
     "gene_sets_long": q_gene_sets_long,
@@ -667,7 +684,14 @@ def _sql_catalog() -> dict[str, str]:
                  f"FROM ({fx.SQL_CELLS_STAR})")
     sql["pseudobulk_malignant"] = _with(*_pb_ctes(mal_cells, fx.SQL_COUNTS_STAR, PB.MOUSE_MALIGNANT_KEYS, "cluster")) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
-    sql["pseudobulk_wide"] = _with(*_PB_STAR) + " PIVOT (SELECT gene, unit, mean_exp FROM pb) ON unit USING first(mean_exp) GROUP BY gene"
+    sql["pseudobulk_wide"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, ("cluster",), "cluster")) + " SELECT gene, " + ", ".join(
+        f"coalesce(max(mean_exp) FILTER (regexp_replace(unit, '_[0-9]+$', '') = '{c}'), 0.0) AS \"{c}\"" for c in STAR_CLUSTERS) + " FROM pb GROUP BY gene"
+    sql["heatmap_from_pseudobulk"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, ("cluster", "timepoint", "ident"), "cluster", digits=None)) + f"""
+, units AS (SELECT stem || '_' || CAST(cell_count AS VARCHAR) AS unit, split_part(stem, '_', 1) AS cluster FROM sizes),
+genes AS (SELECT DISTINCT p_brand || CASE p_size % 3 WHEN 0 THEN '.' WHEN 1 THEN '-' ELSE '' END || p_type AS gene FROM part WHERE p_size <= 10),
+dense AS (SELECT g.gene, u.cluster, coalesce(pb.mean_exp, 0.0) AS v FROM genes g CROSS JOIN units u LEFT JOIN pb ON pb.gene = g.gene AND pb.unit = u.unit
+          WHERE g.gene IN (SELECT gene FROM pb))
+SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) ELSE 0.0 END, {r}) AS log_exp FROM dense GROUP BY gene, cluster"""
     allow = ("WHERE gene IN (SELECT gene FROM counts0 WHERE value <> 0 GROUP BY gene "
              f"HAVING count(*) >= {MIN_DETECTION_RATE!r} * (SELECT count(*) FROM cells))")
     sql["pseudobulk_allowlist"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster", allow)) + \

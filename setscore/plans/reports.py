@@ -172,6 +172,12 @@ def heatmap_celltype(expr: DataFrame, gene_sets: DataFrame, human: bool = True)
     return S.log_matrix(cut_lineage(means), "gene", "cell_type")
 
 
+def heatmap_from_pseudobulk(pb: DataFrame, units: DataFrame, gene_sets: DataFrame) -> DataFrame:
+    """R1 -> R8: the heatmap of a sparse pseudobulk; ``units(unit, cell_type)`` names all units."""
+    means = S.zero_filled_mean(S.keep_genes(pb, gene_sets), units, "gene", "cell_type", "mean_exp", "mean_exp")
+    return S.log_matrix(cut_lineage(means), "gene", "cell_type")
+
+
 def heatmap_celltype_timepoint(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """R9 (T1, A4): (gene, cell_sample, log_exp), cell_sample = "<cell type> <timepoint>"."""
     h = _heat_long(expr, gene_sets, True)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed session defaults for local runs; a cluster submit overrides them.
@@ -46,8 +47,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    submitted = dict(SparkConf().getAll())
     for key, value in LOCAL_DEFAULTS.items():
-        builder = builder.config(key, value)
+        # driver memory is the whole of a local run only
+        if key not in submitted and (key != "spark.driver.memory" or (master or submitted.get("spark.master", "local")).startswith("local")):
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

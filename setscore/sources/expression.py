@@ -7,6 +7,8 @@ only pivoted back at the edge.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +42,14 @@ def read_cells(spark: SparkSession, counts_path: str, cells_path: str) -> tuple[
     return counts, cells
 
 
-def write_pseudobulk(df: DataFrame, path: str, wide: bool = False) -> None:
-    """Write the long pseudobulk (or its pivot) as parquet."""
-    out = df
-    if wide:
+def write_pseudobulk(df: DataFrame, path: str, units: Sequence[str] | None = None) -> None:
+    """The pseudobulk as parquet that :func:`read_expression` reads back.
+
+    Long: (unit, gene, value, cell_count), the means above zero. With ``units``: one column
+    for each, absent means 0.
+    """
+    long = df.withColumnRenamed("mean_exp", "value")
+    if units is not None:
         from setscore.operators.reshape import long_to_wide
-        out = long_to_wide(df, "gene", "unit", "mean_exp")
-    out.write.mode("overwrite").parquet(path)
+        long = long_to_wide(long, "gene", "unit", "value", units)
+    long.write.mode("overwrite").parquet(path)

@@ -41,21 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-partitioned scan across the cluster.
-
-    A table stored as one row group scans as one task; operators that expand
-    each row (word explode, joins feeding aggregates) would then run serially.
-    At scale, scans already yield many partitions and this is a no-op.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave the scan as planned
-        return df
-    return df.repartition(target) if current < target else df
-
-
 def _lookup(key: Column, values: list[str]) -> Column:
     """CASE key WHEN 0 THEN values[0] ... ELSE values[-1] END."""
     expr = None
@@ -124,7 +109,7 @@ def cells_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counts_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gene, cell_id, value) non-zero triples: part names as genes, order lines as counts."""
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     sep = F.when(F.col("p_size") % 3 == 0, ".").when(F.col("p_size") % 3 == 1, "-").otherwise("")
     gene = F.concat(F.col("p_brand"), sep, F.col("p_type"))
@@ -140,10 +125,10 @@ def cells_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gene, cell_id, value): word counts per document over the whole text."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = d.select("doc_id", F.explode(F.split("text", " ")).alias("gene"))
-    return (words.where(F.col("gene").rlike("^[a-z]+$"))
+    """(gene, cell_id, value): counts of every word (between ASCII blanks) of the whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = d.select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("gene"))
+    return (words.where(F.col("gene") != "")
                  .groupBy("gene", F.col("doc_id").cast("string").alias("cell_id"))
                  .agg(F.count(F.lit(1)).cast("double").alias("value")))
 
@@ -202,8 +187,8 @@ SELECT CAST(doc_id AS VARCHAR) AS cell_id, lang AS cluster, source AS ident FROM
 
 SQL_COUNTS_TEXT = """
 SELECT gene, CAST(doc_id AS VARCHAR) AS cell_id, CAST(count(*) AS DOUBLE) AS value
-FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS gene FROM documents) t
-WHERE regexp_full_match(gene, '[a-z]+') GROUP BY gene, doc_id"""
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS gene FROM documents) t
+GROUP BY gene, doc_id"""
 
 
 def sql_demo_gene_sets_long() -> str:
@@ -211,11 +196,3 @@ def sql_demo_gene_sets_long() -> str:
     rows = [("gene_sig_score_1", g) for g in DEMO_GENE_SET_1] + [("gene_sig_score_2", g) for g in DEMO_GENE_SET_2]
     vals = ", ".join(f"('{s}', '{g}')" for s, g in rows)
     return f"SELECT * FROM (VALUES {vals}) AS t(set_name, gene)"
-
-
-def sql_demo_gene_sets_wide() -> str:
-    n = max(len(DEMO_GENE_SET_1), len(DEMO_GENE_SET_2))
-    def q(lst, i):
-        return f"'{lst[i]}'" if i < len(lst) else "NULL"
-    vals = ", ".join(f"({i}, {q(DEMO_GENE_SET_1, i)}, {q(DEMO_GENE_SET_2, i)})" for i in range(n))
-    return f"SELECT * FROM (VALUES {vals}) AS t(rn, gene1, gene2)"

@@ -102,9 +102,29 @@ def test_phi_accuracy():
         assert abs(phi_py(u) - 0.5 * math.erfc(-u / math.sqrt(2))) < 7.5e-8
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_ranks_and_quantiles_both_plans(spark, limit):
-    """The distributed plan (limit 0) and the single-task plan give the same answers."""
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_odd_values_rank_alike_with_and_without_exchange_reuse(spark, reuse):
+    """NaN is above all, NULL has no rank, zeros of either sign tie, and a hot value is one tie."""
+    from setscore.operators import ranks
+    nan = float("nan")
+    rows = [("a", v) for v in (nan, 1.0, 1.0, -0.0, 0.0, None)] + [("b", 5.0)] * 400 + [("b", 1.0), ("b", nan)] + [("c", None)]
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.createDataFrame(rows, "f string, v double").repartition(7)
+        got = {(r.f, str(r.v).replace("-0.0", "0.0")): r.r for r in ranks.mid_rank(df, ["f"], "v", "r").collect()}
+        q = {r.f: (r.n, r.lo, r.hi) for r in ranks.quantiles(df, ["f"], "v", (0.0, 0.5), ("lo", "hi")).collect()}
+        big = spark.range(30_003).selectExpr("id % 3 AS f", "pmod(xxhash64(id), 5000) / 7.0 AS v")
+        wrong = (ranks.mid_rank(big, ["f"], "v", "r")
+                 .selectExpr("r", "rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2 AS w").where("r <> w").count())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {("a", "nan"): 5.0, ("a", "1.0"): 3.5, ("a", "0.0"): 1.5, ("a", "None"): None,
+                   ("b", "5.0"): 201.5, ("b", "1.0"): 1.0, ("b", "nan"): 402.0, ("c", "None"): None}
+    assert q == {"a": (5, 0.0, 1.0), "b": (402, 1.0, 5.0)} and wrong == 0
+
+
+def test_ranks_and_quantiles(spark):
+    """Against pandas ranks and NumPy quantiles."""
     import numpy as np
     import pandas as pd
     from setscore.operators import ranks
@@ -114,8 +134,8 @@ def test_ranks_and_quantiles_both_plans(spark, limit):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")   # runs span Arrow batches
     try:
         df = spark.createDataFrame(rows, "f string, v double")
-        got = ranks.mid_rank(df, ["f"], "v", "r", limit=limit).toPandas()
-        q = ranks.quantiles(df, ["f"], "v", (0.25, 0.5, 0.75), ("q1", "median", "q3"), limit=limit).toPandas()
+        got = ranks.mid_rank(df, ["f"], "v", "r").toPandas()
+        q = ranks.quantiles(df, ["f"], "v", (0.25, 0.5, 0.75), ("q1", "median", "q3")).toPandas()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     pdf = pd.DataFrame(rows, columns=["f", "v"]).assign(fk=lambda d: d.f.fillna("~"))

@@ -1,8 +1,7 @@
-"""Helpers behind the scale rules: checkpoint folder, size-checked broadcast, input spreading."""
+"""Helpers behind the scale rules: checkpoint folder, partition counts."""
 
-from setscore.operators.joins import broadcast_if_small, work_partitions
+from setscore.operators.joins import work_partitions
 from setscore.session import ensure_checkpoint_dir
-from setscore.sources.fixtures import spread
 
 
 def test_checkpoint_dir_is_kept_when_set(spark):
@@ -11,22 +10,5 @@ def test_checkpoint_dir_is_kept_when_set(spark):
     assert ensure_checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")   # stable, never replaced
 
 
-def test_broadcast_only_under_the_bound(spark):
-    df = spark.range(5)
-    assert broadcast_if_small(df, max_rows=2) is df                 # too big: planner decides
-    hinted = broadcast_if_small(df, max_rows=10)
-    assert hinted is not df
-    joined = spark.range(100).join(hinted, "id")
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
-
-
-def test_spread_only_under_partitioned_inputs(spark):
-    target = spark.sparkContext.defaultParallelism
-    one = spark.range(0, 100, 1, 1)
-    assert spread(one).rdd.getNumPartitions() == target
-    many = spark.range(0, 100, 1, target * 2)
-    assert spread(many) is many
-
-
 def test_work_partitions_not_below_shuffle_width(spark):
     assert work_partitions(spark.range(1)) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
