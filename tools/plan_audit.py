@@ -1,6 +1,7 @@
 """Summarise the executed (adaptive) physical plan of every registered query.
 
 Usage: python tools/plan_audit.py [sf_dir] > PLANS.md
+Results are collected, so use a small folder.
 For each query: shuffle exchanges, broadcast exchanges, sort-merge joins,
 Python (pandas) stages, windows, parquet scans and whether every scan reads a
 pruned column set.
@@ -22,19 +23,22 @@ PATTERNS = {
     "broadcasts": r"BroadcastExchange",
     "smj": r"SortMergeJoin",
     "bhj": r"BroadcastHashJoin",
-    "pandas": r"(FlatMapGroupsInPandas|MapInPandas|ArrowEvalPython)",
+    "pandas": r"(FlatMapGroupsInPandas|MapInPandas|MapInArrow|ArrowEvalPython)",
     "windows": r"\bWindow\b",
     "scans": r"FileScan parquet",
 }
 
 
 def plan_text(df) -> str:
-    df.write.format("noop").mode("overwrite").save()          # run it, so AQE fixes the final plan
-    return df._jdf.queryExecution().executedPlan().toString()
+    df.collect()          # of this very query execution, so that adaptive execution has settled its plan
+    text = df._jdf.queryExecution().executedPlan().toString()
+    if "isFinalPlan=false" in text:
+        raise RuntimeError("the plan is not the executed one")
+    return text.split("== Initial Plan ==")[0]
 
 
 def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", 16)
     rows = []
     for name, fn in QUERIES.items():
@@ -46,7 +50,7 @@ def main() -> None:
     print("# Executed plans at", os.path.basename(sf_dir.rstrip("/")))
     print()
     print("Counts from the final adaptive plan of each registered query (after it ran).")
-    print("Scalar subqueries and size-check jobs are separate jobs and not counted.")
+    print("Reused exchanges count once; jobs that write intermediate tables are not counted.")
     print()
     print("| query | shuffles | broadcasts | sort-merge joins | broadcast joins | pandas stages | windows | parquet scans | pruned reads |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
