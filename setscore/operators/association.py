@@ -4,11 +4,11 @@ Ranks, moments and sums run as Spark aggregates; only one row per facet
 reaches a tail function. p-values:
 
 * T3 Spearman: t = r * sqrt((n - 2) / (1 - r^2)), df n - 2, two-sided; the
-  Student CDF for integer df is the finite series of Abramowitz & Stegun
-  26.7.3-4, evaluated with one array aggregate per facet.
+  Student tail is integrated with a fixed number of nodes, whatever df.
 * T5 Wilcoxon rank-sum: normal approximation with tie and continuity
   correction; the exact null distribution (both groups < 50, no ties) comes
-  from a per-facet counting recursion in :func:`wilcoxon_exact`.
+  from a per-facet counting recursion in :func:`wilcoxon_p`.
+* T2 and T8 pair statistics: block tiles of variables and observations.
 """
 
 from __future__ import annotations
@@ -36,31 +36,43 @@ def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFr
     return ranks.mid_rank(df, keys, value, out)
 
 
+# Gauss-Legendre nodes and weights on [0, 1].
+_NODES = [((x + 1) / 2, w / 2) for x, w in zip(*np.polynomial.legendre.leggauss(64), strict=True)]
+_CUT = 41.0        # the tail is cut where the density has fallen by exp(-41)
+
+
+def _log_cosh(u: Column) -> Column:
+    return F.log1p(F.sinh(u) * F.sinh(u)) / 2
+
+
+def _falling_integral(start: Column | float, nu: Column) -> Column:
+    """Integral of (cosh(u) / cosh(start)) ** -nu from ``start`` on, by 64 nodes whatever ``nu``."""
+    start = F.lit(start) if isinstance(start, float) else start
+    width = F.acosh(F.cosh(start) * F.exp(_CUT / nu)) - start
+    nodes = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in _NODES])
+    return width * F.aggregate(nodes, F.lit(0.0), lambda acc, k: acc + k["w"] * F.exp(
+        -nu * (_log_cosh(start + width * k["x"]) - _log_cosh(start))))
+
+
 def t_two_sided_p(t: Column, df: Column) -> Column:
-    """Two-sided Student-t tail for integer df >= 1 (NULL when df < 1)."""
+    """Two-sided Student-t tail for df >= 1 (NULL when df < 1).
+
+    With t = sqrt(df) sinh(u) the density is proportional to cosh(u) ** -df, so the tail is a
+    quotient of two integrals; the work is the same for every df.
+    """
     nu = df.cast("double")
-    tt = F.abs(t)
-    theta = F.atan(tt / F.sqrt(nu))
-    c = nu / (nu + tt * tt)                         # cos^2(theta)
-    s = tt / F.sqrt(nu + tt * tt)                   # sin(theta)
-    even = (df % 2) == 0
-    kmax = F.when(even, (df - 2) / 2).otherwise((df - 3) / 2).cast("int")
-    ks = F.when(kmax >= 1, F.sequence(F.lit(1), kmax)).otherwise(F.array().cast("array<int>"))
-    init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def step(acc, k):
-        kd = k.cast("double")
-        ratio = F.when(even, (2 * kd - 1) / (2 * kd)).otherwise((2 * kd) / (2 * kd + 1))
-        term = acc["term"] * ratio * c
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(ks, init, step)["total"]
-    a_even = s * series
-    a_odd = F.when(df == 1, 2 * theta / math.pi).otherwise(
-        (2 / math.pi) * (theta + s * F.sqrt(c) * series))
-    a = F.when(even, a_even).otherwise(a_odd)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - a))
-    return F.when(df >= 1, F.when(F.isnan(t) | (tt == float("inf")), F.lit(0.0)).otherwise(p))
+    start = F.asinh(F.abs(t) / F.sqrt(nu))
+    p = F.exp(-nu * _log_cosh(start)) * _falling_integral(start, nu) / _falling_integral(0.0, nu)
+    return F.when(df >= 1, F.when(F.isnan(t) | (F.abs(t) == float("inf")), F.lit(0.0)).otherwise(F.least(F.lit(1.0), p)))
+
+
+def t_quantile(p: float, df: Column) -> Column:
+    """Upper quantile of Student t (p > 0.5; NULL when df < 1): 52 halvings of atan(t / sqrt(df))."""
+    root = F.sqrt(df.cast("double"))
+    widths = [math.pi / 2 ** k for k in range(2, 54)]
+    angle = F.aggregate(F.array(*map(F.lit, widths)), F.lit(0.0), lambda lo, w: lo + F.when(
+        t_two_sided_p(root * F.tan(lo + w), df) > 2 * (1 - p), w).otherwise(0.0))
+    return F.when(df >= 1, root * F.tan(angle))
 
 
 def _corr(sxy: Column, sxx: Column, syy: Column) -> Column:
@@ -100,52 +112,10 @@ def linear_fit(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFram
     return m.select(*facets, "n", "slope", "intercept", sigma.alias("sigma"), "xbar", "sxx", "xmin", "xmax")
 
 
-def _t_quantile(p: float, df: int) -> float:
-    """Upper quantile of Student t by bisection on the closed-form CDF."""
-    def two_sided(t: float) -> float:
-        theta = math.atan(t / math.sqrt(df))
-        c = math.cos(theta) ** 2
-        s = math.sin(theta)
-        if df % 2 == 0:
-            term, total = 1.0, 1.0
-            for k in range(1, (df - 2) // 2 + 1):
-                term *= (2 * k - 1) / (2 * k) * c
-                total += term
-            a = s * total
-        elif df == 1:
-            a = 2 * theta / math.pi
-        else:
-            term, total = 1.0, 1.0
-            for k in range(1, (df - 3) // 2 + 1):
-                term *= (2 * k) / (2 * k + 1) * c
-                total += term
-            a = 2 / math.pi * (theta + s * math.sqrt(c) * total)
-        return 1 - a
-    target = 2 * (1 - p)
-    lo, hi = 0.0, 1.0
-    while two_sided(hi) > target:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if two_sided(mid) > target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
-def _t975(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.copy()
-    pdf["tq"] = [(_t_quantile(0.975, int(n) - 2) if n is not None and n > 2 else float("nan"))
-                 for n in pdf["n"]]
-    return pdf
-
-
 def fit_band(fit: DataFrame, facets: Sequence[str], points: int = 80) -> DataFrame:
     """T4 band: fitted line and 95% confidence band on ``points`` x positions per facet."""
     facets = list(facets)
-    schema = T.StructType(fit.schema.fields + [T.StructField("tq", T.DoubleType())])
-    withq = fit.groupBy(*facets).applyInPandas(_t975, schema)
+    withq = fit.withColumn("tq", t_quantile(0.975, F.col("n") - 2))
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     g = withq.select("*", i)
     xg = F.col("xmin") + (F.col("xmax") - F.col("xmin")) * F.col("i") / float(points - 1)
@@ -206,55 +176,115 @@ def _pwilcox_counts(n1: int, n2: int) -> np.ndarray:
 
 
 def _exact_p(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Two-sided p of each facet's w from the null distribution of its group sizes."""
     out = []
-    for n1, n2, w, ties in zip(pdf["n1"], pdf["n2"], pdf["w"], pdf["has_ties"]):
-        if not (n1 and n2) or ties or n1 >= 50 or n2 >= 50 or w is None or np.isnan(w):
-            out.append(float("nan"))
-            continue
+    for n1, n2, w in zip(pdf["n1"], pdf["n2"], pdf["w"], strict=True):
         counts = _pwilcox_counts(int(n1), int(n2))
         cdf = np.cumsum(counts) / counts.sum()
         q = int(round(w))
-        if q > n1 * n2 / 2:
-            p = 1 - cdf[q - 1]
-        else:
-            p = cdf[q]
-        out.append(min(1.0, 2 * p))
-    res = pdf.copy()
-    res["p_exact"] = out
-    return res
+        out.append(min(1.0, 2 * (1 - cdf[q - 1] if q > n1 * n2 / 2 else cdf[q])))
+    return pdf.assign(p=out)
+
+
+# Fixed value: groups below this size have an exact p by the reference's rule.
+EXACT_BELOW = 50
 
 
-def wilcoxon_exact(stats: DataFrame, facets: Sequence[str]) -> DataFrame:
-    """T5 exact p for tie-free facets with both groups below 50 (NaN otherwise)."""
-    schema = T.StructType(stats.schema.fields + [T.StructField("p_exact", T.DoubleType())])
-    return stats.groupBy(*list(facets)).applyInPandas(_exact_p, schema)
+def wilcoxon_p(stats: DataFrame, facets: Sequence[str], p_method: str = "reference") -> DataFrame:
+    """T5: ``stats`` with p and the method that gave it, p_method.
+
+    ``normal``: the corrected normal approximation. ``reference``: the exact null distribution for
+    facets without ties whose groups are both below 50, the normal approximation for the rest.
+    A facet that lacks a group has no test: p and p_method are NULL.
+    """
+    if p_method not in ("normal", "reference"):
+        raise ValueError(f"unknown p_method {p_method!r}")
+    tested = F.col("w").isNotNull()
+    exact = (tested & ~F.col("has_ties") & (F.col("n1") < EXACT_BELOW) & (F.col("n2") < EXACT_BELOW)
+             if p_method == "reference" else F.lit(False))
+    marked = stats.withColumn("p_method", F.when(exact, "exact").when(tested, "normal"))
+    normal = marked.where(~F.coalesce(exact, F.lit(False))).withColumn("p", F.col("p_normal"))
+    if p_method == "normal":
+        return normal
+    schema = T.StructType([*marked.schema.fields, T.StructField("p", T.DoubleType())])
+    return marked.where(exact).groupBy(*list(facets)).applyInPandas(_exact_p, schema).unionByName(normal)
+
+
+# Sides of a tile of the pair statistics: variables of a block, observations of a chunk.
+BLOCK_VARIABLES = 512
+CHUNK_OBSERVATIONS = 4_096
+_NULL_VARIABLE = "\u0000NULL"
+
+
+def _tile_pairs(square: bool):
+    """Kernel of one tile: (a, b, s, n, shared) of its pairs of variables, a <= b by value. s sums the
+    products (``square``: squared differences) over observations that both have a value for, n counts
+    them, and shared counts those that both have a row for."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, v = np.unique(pdf["v"].to_numpy(), return_inverse=True)
+        o = pd.factorize(pdf["o"], use_na_sentinel=False)[0]
+        x = np.full((len(names), o.max() + 1), np.nan)
+        x[v, o] = pdf["x"].to_numpy(dtype=np.float64)
+        row = np.zeros(x.shape)
+        row[v, o] = 1
+        known = (~np.isnan(x)).astype(float)
+        x = np.nan_to_num(x, nan=0.0)
+        block = np.zeros(len(names), dtype=np.int64)
+        block[v] = pdf["blk"].to_numpy()
+        if square:
+            s = np.stack([(((x - x[i]) ** 2) * known * known[i]).sum(axis=1) for i in range(len(names))])
+        else:
+            s = x @ x.T
+        n, shared = known @ known.T, row @ row.T
+        first, last = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
+        # pairs inside a block belong to its own tile alone
+        a, b = np.nonzero(np.triu((shared > 0) & ((first == last) | (block[:, None] != block[None, :]))))
+        return pd.DataFrame({"var_a": names[a], "var_b": names[b], "s": s[a, b],
+                             "n": n[a, b].astype(np.int64), "shared": shared[a, b].astype(np.int64)})
+    return run
+
+
+def _pair_sums(df: DataFrame, obs: str, var: str, value: str, square: bool) -> DataFrame:
+    """(var_a, var_b, s, n, shared) of every pair of variables that share an observation.
+
+    Variables are hashed into blocks and observations into chunks; a row goes once to each tile of
+    its block with another. A tile is a bounded matrix, whatever observation is hot; only its pair
+    sums leave it. NULL is an observation, or a variable (of strings), like any other; it sorts first.
+    """
+    d = df.select(F.col(obs).alias("o"), F.coalesce(F.col(var), F.lit(_NULL_VARIABLE)).alias("v"), F.col(value).cast("double").alias("x"))
+    count = lambda c, size: d.select(c).distinct().agg(F.ceil(F.count(F.lit(1)) / size)).scalar()
+    blocks, chunks = count("v", BLOCK_VARIABLES), count("o", CHUNK_OBSERVATIONS)
+    rows = d.select("*", F.pmod(F.xxhash64("v"), blocks).alias("blk"), F.pmod(F.xxhash64("o"), chunks).alias("chunk"))
+    tiles = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")).select(
+        "o", "v", "x", "blk", "chunk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+    partial = tiles.groupBy("bi", "bj", "chunk").applyInPandas(
+        _tile_pairs(square), "var_a string, var_b string, s double, n long, shared long")
+    name = lambda c: F.when(F.col(c) != _NULL_VARIABLE, F.col(c)).alias(c)
+    return (partial.groupBy("var_a", "var_b").agg(*[F.sum(c).alias(c) for c in ("s", "n", "shared")])
+                   .select(name("var_a"), name("var_b"), "s", "n", "shared"))
 
 
 def pearson_matrix(df: DataFrame, obs: str, var: str, value: str) -> DataFrame:
     """Pearson r of every pair of variables across observations, both orders.
 
-    Standardise per variable, self-join on the observation key with a <= b,
-    sum products, mirror. A zero-variance variable gives NULL, not an error.
+    Variables are centred and scaled to unit length, so that r is the sum of products. A
+    zero-variance variable gives NULL, not an error.
     """
     st = df.groupBy(var).agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"),
                              F.count(value).alias("n"))
-    z = (df.join(st, var)
-           .select(obs, var, F.try_divide(F.col(value) - F.col("mu"), F.col("sd")).alias("z"),
-                   (F.col("n") - 1).alias("dof")))
-    a = z.select(obs, F.col(var).alias("var_a"), F.col("z").alias("za"), "dof")
-    b = z.select(obs, F.col(var).alias("var_b"), F.col("z").alias("zb"))
-    pairs = (a.join(b, obs).where(F.col("var_a") <= F.col("var_b"))
-              .groupBy("var_a", "var_b")
-              .agg(F.try_divide(F.sum(F.col("za") * F.col("zb")), F.first("dof")).alias("corr")))
-    mirror = pairs.where(F.col("var_a") < F.col("var_b")).select(
-        F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "corr")
-    return pairs.unionByName(mirror)
+    z = (join_on_keys(df, st, [var])
+           .select(obs, var, F.try_divide(F.col(value) - F.col("mu"), F.col("sd") * F.sqrt(F.col("n") - 1)).alias("z")))
+    pairs = _pair_sums(z, obs, var, "z", square=False)
+    both = lambda a, b: F.struct(F.col(a).alias("var_a"), F.col(b).alias("var_b"))
+    orders = F.when(F.col("var_a").eqNullSafe(F.col("var_b")), F.array(both("var_a", "var_b"))).otherwise(
+        F.array(both("var_a", "var_b"), both("var_b", "var_a")))
+    return pairs.select(F.explode(orders).alias("pair"), F.when(F.col("n") > 0, F.col("s")).alias("corr")).select("pair.*", "corr")
 
 
 def euclidean_distances(df: DataFrame, obs: str, var: str, value: str) -> DataFrame:
-    """Distance between every pair of variables (a < b) over shared observations."""
-    a = df.select(obs, F.col(var).alias("var_a"), F.col(value).alias("va"))
-    b = df.select(obs, F.col(var).alias("var_b"), F.col(value).alias("vb"))
-    return (a.join(b, obs).where(F.col("var_a") < F.col("var_b"))
-             .groupBy("var_a", "var_b")
-             .agg(F.sqrt(F.sum(F.pow(F.col("va") - F.col("vb"), 2))).alias("distance")))
+    """Distance between every pair of variables (a < b) over shared observations.
+
+    Observations without a value on either side are left out and the sum is scaled up for them.
+    """
+    pairs = _pair_sums(df, obs, var, value, square=True).where(~F.col("var_a").eqNullSafe(F.col("var_b")))
+    return pairs.select("var_a", "var_b", F.sqrt(F.try_divide(F.col("s") * F.col("shared"), F.col("n"))).alias("distance"))

@@ -113,15 +113,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     pos = value_positions(df, keys, value)
     sizes = pos.select(*keys, "n").distinct()
     targets = sizes.select(*keys, "n", F.explode(F.array(*[
-        F.struct(F.lit(nm).alias("q"), ((F.col("n") - 1) * float(p)).alias("h")) for p, nm in zip(probs, names)
-    ])).alias("t")).select(*keys, "n", "t.q", "t.h")
-    targets = targets.withColumn("k_lo", F.floor("h")).withColumn("k_hi", F.ceil("h"))
+        F.struct(F.lit(nm).alias("q"), ((F.col("n") - 1) * float(p)).alias("h")) for p, nm in zip(probs, names, strict=True)
+    ])).alias("_t")).select(*keys, "n", F.col("_t.q").alias("_q"), F.col("_t.h").alias("_h"))
+    targets = targets.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
     hit = join_on_keys(pos.select(*keys, value, "cnt", "before"), targets, keys)
     inside = lambda k: (F.col(k) >= F.col("before")) & (F.col(k) < F.col("before") + F.col("cnt"))
-    picked = (hit.where(inside("k_lo") | inside("k_hi"))
-                 .groupBy(*keys, "n", "q", "h", "k_lo")
-                 .agg(F.max(F.when(inside("k_lo"), F.col(value))).alias("v_lo"),
-                      F.max(F.when(inside("k_hi"), F.col(value))).alias("v_hi")))
-    between = F.col("v_lo") + (F.col("h") - F.col("k_lo")) * (F.col("v_hi") - F.col("v_lo"))
-    qv = picked.select(*keys, "n", "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(between).alias("v"))
-    return qv.groupBy(*keys, "n").pivot("q", list(names)).agg(F.first("v"))
+    picked = (hit.where(inside("_lo") | inside("_hi"))
+                 .groupBy(*keys, "n", "_q", "_h", "_lo")
+                 .agg(F.max(F.when(inside("_lo"), F.col(value))).alias("_v_lo"),
+                      F.max(F.when(inside("_hi"), F.col(value))).alias("_v_hi")))
+    between = F.col("_v_lo") + (F.col("_h") - F.col("_lo")) * (F.col("_v_hi") - F.col("_v_lo"))
+    qv = picked.select(*keys, "n", "_q", F.when(F.col("_v_lo") == F.col("_v_hi"), F.col("_v_lo")).otherwise(between).alias("_v"))
+    return qv.groupBy(*keys, "n").pivot("_q", list(names)).agg(F.first("_v"))

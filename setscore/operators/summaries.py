@@ -6,15 +6,22 @@ number of pseudobulk groups times sets or genes, never the cell count.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setscore.functions.labels import log_or_zero, not_matching
 from setscore.operators import ranks
 from setscore.operators.joins import join_on_keys
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NULL_KEY = "\u0000NULL"
 
 
@@ -109,29 +116,53 @@ def _nrd0(sd: Column, iqr: Column, first_abs: Column, n: Column) -> Column:
     return 0.9 * lo * F.pow(n.cast("double"), F.lit(-0.2))
 
 
+def _density_sums(keys: Sequence[str], n_points: int):
+    """Per Arrow batch and group: the sums of exp(-u^2 / 2) at the group's grid points, one row each."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            codes = np.stack([get(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys], axis=1)
+            _, first, group = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+            v, lo, step, bw = (get(c).to_numpy(zero_copy_only=False) for c in ("v", "lo", "step", "bw"))
+            sums = []
+            for g, at in enumerate(first):
+                x = (lo[at] + step[at] * np.arange(n_points)) / bw[at]
+                own = v[group.ravel() == g] / bw[at]
+                total = np.zeros(n_points)
+                for k in range(0, len(own), 512):
+                    u = np.subtract.outer(own[k:k + 512], x)
+                    total += np.exp(-0.5 * u * u).sum(axis=0)
+                sums.append(total)
+            names = [*keys, "lo", "step", "bw", "n"]
+            yield pa.RecordBatch.from_arrays([*[get(c).take(pa.array(first)) for c in names], pa.array(sums, type=pa.list_(pa.float64()))],
+                                             names=[*names, "sums"])
+    return run
+
+
 def violin_density(df: DataFrame, keys: Sequence[str], value: str, n_points: int = 512) -> DataFrame:
     """Gaussian KDE per group on ``n_points`` between the group's min and max.
 
-    Each value contributes to every grid point of its group: n_points rows per
-    input row, partial-aggregated by (group, point) before the shuffle.
+    Every task adds up its rows' contributions to the grid of each group; only those vectors are
+    shuffled, ``n_points`` numbers per batch and group.
     """
+    keys = list(keys)
     v = F.col(value)
     st = (df.groupBy(*keys)
             .agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
             .where(F.col("n") >= 2))
     quart = ranks.quantiles(df, keys, value, (0.25, 0.75), ("_q1", "_q3")).drop("n")
     st = join_on_keys(st, quart, keys)
-    st = st.withColumn("bw", _nrd0(F.col("sd"), F.col("_q3") - F.col("_q1"), F.abs(F.col("lo")), F.col("n")))
-    step = (F.col("hi") - F.col("lo")) / float(n_points - 1)
-    pts = (join_on_keys(df.select(*keys, value), st.drop("_q1", "_q3", "sd"), keys)
-             .select(*keys, v.alias("v"), "lo", "bw", "n", step.alias("step"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")))
-    x = F.col("lo") + F.col("i") * F.col("step")
-    u = (x - F.col("v")) / F.col("bw")
-    dens = (pts.groupBy(*keys, "i")
-               .agg(F.first(x).alias("x"),
-                    (F.sum(F.exp(-0.5 * u * u)) / (F.first("n") * F.first("bw") * F.lit(2.5066282746310002)))
-                    .alias("density")))
+    bw = _nrd0(F.col("sd"), F.col("_q3") - F.col("_q1"), F.abs(F.col("lo")), F.col("n"))
+    st = st.select(*keys, "lo", ((F.col("hi") - F.col("lo")) / float(n_points - 1)).alias("step"), bw.alias("bw"), "n")
+    rows = join_on_keys(df.where(v.isNotNull()).select(*keys, v.cast("double").alias("v")), st, keys)
+    schema = T.StructType([*st.schema.fields, T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    sums = rows.mapInArrow(_density_sums(keys, n_points), schema)
+    points = sums.select(*keys, "lo", "step", "bw", "n", F.posexplode("sums").alias("i", "s"))
+    dens = points.groupBy(*keys, "i").agg(
+        F.first(F.col("lo") + F.col("i") * F.col("step")).alias("x"),
+        (F.sum("s") / (F.first("n") * F.first("bw") * F.lit(2.5066282746310002))).alias("density"))
     scaled = F.col("density") / F.max("density").over(Window.partitionBy(*keys))
     return dens.withColumn("scaled", scaled)
 

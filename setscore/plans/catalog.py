@@ -19,9 +19,10 @@ from setscore.operators import pseudobulk as PB
 from setscore.operators.reshape import long_to_wide
 from setscore.operators.scoring import gene_stats, kernel_cdf, scores_wide
 from setscore.plans import reports as R
-from setscore.session import cut_lineage
+from setscore.session import cut_lineage, file_state, scratch_folder
 from setscore.sources import fixtures as fx
-from setscore.sources.gene_sets import gene_set_table, score_sets
+from setscore.sources.expression import read_cells, read_expression, write_pseudobulk
+from setscore.sources.gene_sets import gene_set_table, read_gene_sets, score_sets
 
 MEAN_DIGITS = 9
 SCORE_DIGITS = 6
@@ -30,17 +31,17 @@ STAT_DIGITS = 9
 Query = Callable[[SparkSession, str], DataFrame]
 
 # ---------------------------------------------------------------------------------------------
-# Shared Spark inputs (scores are computed once per session and data folder, X5)
+# Shared Spark inputs (scores are computed once per session and state of the input files, X5)
 
-_SCORE_CACHE: dict[tuple, DataFrame] = {}
+_SCORES: dict[tuple, DataFrame] = {}
 
 
 def _scores(spark: SparkSession, sf_dir: str, kind: str = "human") -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _SCORE_CACHE:
+    key = (spark.sparkContext.applicationId, kind, file_state(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _SCORES:
         expr = fx.expr_dense(spark, sf_dir) if kind == "human" else fx.expr_mouse(spark, sf_dir)
-        _SCORE_CACHE[key] = R.scores_for(expr, score_sets(fx.demo_gene_sets_wide(spark)))
-    return _SCORE_CACHE[key]
+        _SCORES[key] = R.scores_for(expr, score_sets(fx.demo_gene_sets_wide(spark)))
+    return _SCORES[key]
 
 
 def _sets(spark: SparkSession) -> DataFrame:
@@ -252,8 +253,15 @@ def q_response_wilcoxon(spark, sf_dir):
 
 
 def q_response_wilcoxon_exact(spark, sf_dir):
-    return _rnd(R.response_wilcoxon(_scores(spark, sf_dir), exact=True),
-                {"w": STAT_DIGITS, "p_normal": STAT_DIGITS, "p_exact": STAT_DIGITS})
+    """R7 with the p that the reference reports: exact for small groups without ties."""
+    return _rnd(R.response_wilcoxon(_scores(spark, sf_dir), p_method="reference"),
+                {"w": STAT_DIGITS, "p_normal": STAT_DIGITS, "p": STAT_DIGITS})
+
+
+def q_response_wilcoxon_single(spark, sf_dir):
+    """R7 of one signature."""
+    return _rnd(R.response_wilcoxon(_scores(spark, sf_dir), p_method="normal", set_name=R.SET_2),
+                {"w": STAT_DIGITS, "p_normal": STAT_DIGITS, "p": STAT_DIGITS})
 
 
 def q_response_mean_marker(spark, sf_dir):
@@ -364,6 +372,102 @@ def q_score_fit_band(spark, sf_dir):
                 {"x": STAT_DIGITS, "fit": STAT_DIGITS, "lower": STAT_DIGITS, "upper": STAT_DIGITS})
 
 
+_BAND = {"x": STAT_DIGITS, "fit": STAT_DIGITS, "lower": STAT_DIGITS, "upper": STAT_DIGITS}
+
+
+def q_score_fit_band_samples(spark, sf_dir):
+    return _rnd(R.score_fit_band_samples(_scores(spark, sf_dir)), _BAND)
+
+
+def q_score_fit_band_timepoint(spark, sf_dir):
+    return _rnd(R.score_fit_band(_scores(spark, sf_dir), ["timepoint"]), _BAND)
+
+
+def q_score_fit_band_both(spark, sf_dir):
+    return _rnd(R.score_fit_band(_scores(spark, sf_dir), ["timepoint", "cell_type"]), _BAND)
+
+
+def q_score_fit_band_mouse_samples(spark, sf_dir):
+    return _rnd(R.score_fit_band_samples(_scores(spark, sf_dir, "mouse"), human=False), _BAND)
+
+
+def q_score_fit_band_mouse_celltype(spark, sf_dir):
+    return _rnd(R.score_fit_band(_scores(spark, sf_dir, "mouse"), ["cell_type"], human=False), _BAND)
+
+
+def q_score_fit_mouse_samples(spark, sf_dir):
+    return _fit_out(R.score_fit_samples(_scores(spark, sf_dir, "mouse"), human=False), [])
+
+
+def q_score_fit_mouse_celltype(spark, sf_dir):
+    return _fit_out(R.score_fit(_scores(spark, sf_dir, "mouse"), ["cell_type"], human=False), ["cell_type"])
+
+
+def q_score_density_mouse(spark, sf_dir):
+    d = R.celltype_density(_scores(spark, sf_dir, "mouse"), human=False)
+    return _rnd(d.withColumn("i", F.col("i").cast("long")), _DENS)
+
+
+def q_corr_groups_mouse(spark, sf_dir):
+    return _rnd(R.corr_groups(_mouse_heat(spark, sf_dir), _sets(spark), human=False), {"corr": 6})
+
+
+def q_celltype_heatmap_distance(spark, sf_dir):
+    return _rnd(R.celltype_heatmap_distance(fx.expr_heat(spark, sf_dir), _sets(spark)), {"distance": 6})
+
+
+def q_celltype_heatmap_group_distance(spark, sf_dir):
+    return _rnd(R.celltype_heatmap_group_distance(fx.expr_heat(spark, sf_dir), _sets(spark)), {"distance": 6})
+
+
+def q_celltype_heatmap_group_distance_mouse(spark, sf_dir):
+    return _rnd(R.celltype_heatmap_group_distance(_mouse_heat(spark, sf_dir), _sets(spark), human=False), {"distance": 6})
+
+
+def q_corr_genes_distance(spark, sf_dir):
+    return _rnd(R.corr_distance(R.corr_genes(fx.expr_heat(spark, sf_dir), _sets(spark)), "gene"), {"distance": 6})
+
+
+def q_corr_groups_distance(spark, sf_dir):
+    return _rnd(R.corr_distance(R.corr_groups(fx.expr_heat(spark, sf_dir), _sets(spark)), "group"), {"distance": 6})
+
+
+def q_score_ranking_positions(spark, sf_dir):
+    return R.ranking_positions(_scores(spark, sf_dir))
+
+
+def _mouse_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.cells_star(spark, sf_dir).select("cell_id", F.col("cluster").alias("cell_type"), F.col("ident").alias("sample"))
+
+
+def q_pseudobulk_mouse_all(spark, sf_dir):
+    pb = PB.pseudobulk(fx.counts_star(spark, sf_dir), _mouse_all_cells(spark, sf_dir), PB.MOUSE_ALL_KEYS)
+    return _rnd(pb, {"mean_exp": MEAN_DIGITS})
+
+
+def q_source_expression(spark, sf_dir):
+    """S5 -> S1: the pseudobulk, saved and read back."""
+    path = scratch_folder(spark, "expression") + "/long"
+    write_pseudobulk(q_pseudobulk_mouse_all(spark, sf_dir), path)
+    return read_expression(spark, path)
+
+
+def q_source_cells(spark, sf_dir):
+    """Saved counts and cells, read back into the pseudobulk."""
+    folder = scratch_folder(spark, "cells")
+    fx.counts_star(spark, sf_dir).withColumn("value", F.col("value").cast("double")).write.parquet(f"{folder}/counts")
+    fx.cells_star(spark, sf_dir).write.parquet(f"{folder}/cells")
+    counts, cells = read_cells(spark, f"{folder}/counts", f"{folder}/cells")
+    return _rnd(PB.pseudobulk(counts, cells, PB.MOUSE_MALIGNANT_KEYS, filter_col="cluster"), {"mean_exp": MEAN_DIGITS})
+
+
+def q_source_gene_sets(spark, sf_dir):
+    """S3: a saved two-column table of text, separated by semicolons, read back into sets."""
+    path = scratch_folder(spark, "gene-sets") + "/csv"
+    _star_marker_table(spark, sf_dir).write.option("sep", ";").option("header", "true").csv(path)
+    return score_sets(read_gene_sets(spark, path, sep=";"))
+
+
 QUERIES: dict[str, Query] = {
     "pseudobulk_star": q_pseudobulk_star,
     "pseudobulk_text": q_pseudobulk_text,
@@ -415,6 +519,26 @@ QUERIES: dict[str, Query] = {
     "score_fit_both": q_score_fit_both,
     "score_fit": q_score_fit,
     "score_fit_band": q_score_fit_band,
+    "score_fit_band_samples": q_score_fit_band_samples,
+    "score_fit_band_timepoint": q_score_fit_band_timepoint,
+    "score_fit_band_both": q_score_fit_band_both,
+    "score_fit_band_mouse_samples": q_score_fit_band_mouse_samples,
+    "score_fit_band_mouse_celltype": q_score_fit_band_mouse_celltype,
+    "score_fit_mouse_samples": q_score_fit_mouse_samples,
+    "score_fit_mouse_celltype": q_score_fit_mouse_celltype,
+    "score_density_mouse": q_score_density_mouse,
+    "response_wilcoxon_single": q_response_wilcoxon_single,
+    "corr_groups_mouse": q_corr_groups_mouse,
+    "celltype_heatmap_distance": q_celltype_heatmap_distance,
+    "celltype_heatmap_group_distance": q_celltype_heatmap_group_distance,
+    "celltype_heatmap_group_distance_mouse": q_celltype_heatmap_group_distance_mouse,
+    "corr_genes_distance": q_corr_genes_distance,
+    "corr_groups_distance": q_corr_groups_distance,
+    "score_ranking_positions": q_score_ranking_positions,
+    "pseudobulk_mouse_all": q_pseudobulk_mouse_all,
+    "source_expression": q_source_expression,
+    "source_cells": q_source_cells,
+    "source_gene_sets": q_source_gene_sets,
 }
 
 # ---------------------------------------------------------------------------------------------
@@ -591,11 +715,72 @@ def _pearson_sql(obs: str, var: str, a_name: str, b_name: str) -> str:
     return _with(
         f"st AS (SELECT {var} AS v, avg(log_exp) AS mu, stddev_samp(log_exp) AS sd, count(log_exp) AS n FROM r2 GROUP BY {var})",
         f"z AS (SELECT r2.{obs} AS o, r2.{var} AS v, CASE WHEN st.sd <> 0 THEN (r2.log_exp - st.mu) / st.sd END AS z, "
-        f"st.n - 1 AS dof FROM r2 JOIN st ON r2.{var} = st.v)",
-        "pairs AS (SELECT a.v AS va, b.v AS vb, sum(a.z * b.z) / first(a.dof) AS corr FROM z a JOIN z b ON a.o = b.o "
-        "WHERE a.v <= b.v GROUP BY a.v, b.v)",
-    ) + (f" SELECT va AS {a_name}, vb AS {b_name}, round(corr, 6) AS corr FROM pairs "
-         f"UNION ALL SELECT vb AS {a_name}, va AS {b_name}, round(corr, 6) AS corr FROM pairs WHERE va < vb")
+        f"st.n - 1 AS dof FROM r2 JOIN st ON r2.{var} IS NOT DISTINCT FROM st.v)",
+        f"corr AS (SELECT a.v AS {a_name}, b.v AS {b_name}, sum(a.z * b.z) / first(a.dof) AS corr FROM z a JOIN z b "
+        "ON a.o IS NOT DISTINCT FROM b.o GROUP BY a.v, b.v)",
+    ) + f" SELECT {a_name}, {b_name}, round(corr, 6) AS corr FROM corr"
+
+
+def _distance_sql(src: str, obs: str, var: str, value: str, name: str) -> str:
+    return (f" SELECT a.{var} AS {name}_a, b.{var} AS {name}_b, round(sqrt(sum((a.{value} - b.{value}) * (a.{value} - b.{value}))"
+            f" * count(*) / nullif(count(a.{value} - b.{value}), 0)), 6) AS distance FROM {src} a JOIN {src} b ON a.{obs} IS NOT DISTINCT FROM b.{obs} "
+            f"WHERE coalesce(a.{var}, '') < coalesce(b.{var}, '') GROUP BY a.{var}, b.{var}")
+
+
+def _exact_wilcoxon_sql() -> str:
+    """The rank-sum p by the reference's rule; the null distribution counts subsets of the ranks 1..n1+n2."""
+    r = STAT_DIGITS
+    base = _wilcoxon_sql().replace("WITH ", "WITH RECURSIVE ", 1)
+    at = base.rindex(" SELECT set_name, timepoint, n1, n2,")
+    ctes, select = base[:at], base[at:]
+    return ctes + f""",
+test AS ({select}),
+small AS (SELECT DISTINCT n1, n2 FROM test WHERE w IS NOT NULL AND NOT has_ties AND n1 < 50 AND n2 < 50),
+sums(n1, n2, i, j, s, c) AS (
+    SELECT n1, n2, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM small
+    UNION ALL
+    SELECT n1, n2, i + 1, j + d, s + d * (i + 1), sum(c) FROM sums, (VALUES (0), (1)) AS pick(d)
+    WHERE i < n1 + n2 AND j + d <= n1 GROUP BY n1, n2, i + 1, j + d, s + d * (i + 1)),
+dist AS (SELECT n1, n2, s - n1 * (n1 + 1) / 2 AS u, c FROM sums WHERE i = n1 + n2 AND j = n1),
+tail AS (SELECT t.set_name, t.timepoint, sum(c) FILTER (u <= t.w) / sum(c) AS low, sum(c) FILTER (u >= t.w) / sum(c) AS high
+         FROM test t JOIN dist ON t.n1 = dist.n1 AND t.n2 = dist.n2 WHERE NOT t.has_ties GROUP BY t.set_name, t.timepoint, t.w)
+SELECT t.*, CASE WHEN t.w IS NULL THEN NULL WHEN tail.low IS NULL THEN 'normal' ELSE 'exact' END AS p_method,
+       CASE WHEN tail.low IS NULL THEN t.p_normal ELSE round(least(1.0, 2 * least(tail.low, tail.high)), {r}) END AS p
+FROM test t LEFT JOIN tail ON t.set_name = tail.set_name AND t.timepoint IS NOT DISTINCT FROM tail.timepoint"""
+
+
+def _t_series_sql(t: str, df: str) -> str:
+    """Two-sided Student-t p as a finite series over a list (no correlated subquery)."""
+    c = f"({df} / ({df} + ({t}) * ({t})))"
+    s = f"(abs({t}) / sqrt({df} + ({t}) * ({t})))"
+    theta = f"atan(abs({t}) / sqrt({df}))"
+    even = (f"coalesce(list_sum(list_transform(range(0, ({df} - 2) // 2 + 1), "
+            f"lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + k * ln({c})))), 0.0)")
+    odd = (f"coalesce(list_sum(list_transform(range(0, ({df} - 3) // 2 + 1), "
+           f"lambda k: exp(lgamma(k + 1) + 0.5 * ln(pi()) - ln(2) - lgamma(k + 1.5) + k * ln({c})))), 0.0)")
+    return (f"(1 - CASE WHEN {df} % 2 = 0 THEN {s} * {even} WHEN {df} = 1 THEN 2 * {theta} / pi() "
+            f"ELSE 2 / pi() * ({theta} + {s} * sqrt({c}) * {odd}) END)")
+
+
+def _band_sql(facets, src: str = "d1f", x: str = "gene_sig_score_1", y: str = "gene_sig_score_2", ctes: tuple = ()) -> str:
+    """T4 band: the 97.5% point of Student t by bisection of its angle."""
+    r = STAT_DIGITS
+    fs = "".join(f"{f}, " for f in facets)
+    grp = f"GROUP BY {', '.join(facets)}" if facets else ""
+    p = _t_series_sql("sqrt(df) * tan((lo + hi) / 2)", "df")
+    return _with(*(ctes or (*_HUMAN_SCORES, _D1, _D1F)),
+                 f"m AS (SELECT {fs}regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, "
+                 f"regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy, regr_sxx({y}, {x}) AS sxx, regr_avgx({y}, {x}) AS xbar, "
+                 f"min({x}) FILTER ({y} IS NOT NULL) AS xmin, max({x}) FILTER ({y} IS NOT NULL) AS xmax FROM {src} {grp})",
+                 "q(df, step, lo, hi) AS (SELECT DISTINCT n::BIGINT - 2, 0, 0.0::DOUBLE, pi() / 2 FROM m WHERE n > 2 UNION ALL "
+                 f"SELECT df, step + 1, CASE WHEN {p} > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {p} > 0.05 THEN hi ELSE (lo + hi) / 2 END "
+                 "FROM q WHERE step < 52)",
+                 "tq AS (SELECT df, sqrt(df) * tan(lo) AS tq FROM q WHERE step = 52)",
+                 "g AS (SELECT m.*, tq.tq, i, xmin + (xmax - xmin) * i / 79.0 AS x, sqrt(greatest(syy - slope * sxy, 0.0) / nullif(n - 2, 0)) AS sigma "
+                 "FROM m LEFT JOIN tq ON tq.df = m.n - 2, range(0, 80) AS t(i))",
+                 "b AS (SELECT *, intercept + slope * x AS fit, tq * CASE WHEN n > 2 THEN sigma END * sqrt(1.0 / n + (x - xbar) * (x - xbar) / sxx) AS half FROM g)",
+                 ).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f" SELECT {fs}CAST(i AS INTEGER) AS i, round(x, {r}) AS x, round(fit, {r}) AS fit, round(fit - half, {r}) AS lower, round(fit + half, {r}) AS upper FROM b")
 
 
 def _heat_prefix(group_expr: str, **kw) -> str:
@@ -744,9 +929,7 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
         f" SELECT gene, grp AS cell_sample, round(log_exp, {r}) AS log_exp FROM r2"
     sql["heatmap_mouse"] = _heat_prefix("cell_type", units_sql=fx.SQL_UNITS_MOUSE, human=False) + \
         f" SELECT gene, grp AS cell_type, round(log_exp, {r}) AS log_exp FROM r2"
-    sql["heatmap_distance"] = _heat_prefix(_CELL_SAMPLE) + (
-        " SELECT a.gene AS gene_a, b.gene AS gene_b, round(sqrt(sum((a.log_exp - b.log_exp) * (a.log_exp - b.log_exp))), 6) "
-        "AS distance FROM r2 a JOIN r2 b ON a.grp = b.grp WHERE a.gene < b.gene GROUP BY a.gene, b.gene")
+    sql["heatmap_distance"] = _heat_prefix(_CELL_SAMPLE) + _distance_sql("r2", "grp", "gene", "log_exp", "gene")
     sql["corr_genes"] = _heat_prefix(_CELL_SAMPLE) + " " + _pearson_sql("grp", "gene", "gene_a", "gene_b").replace("WITH ", ", ", 1)
     sql["corr_groups"] = _heat_prefix(_CELL_SAMPLE) + " " + _pearson_sql("gene", "grp", "group_a", "group_b").replace("WITH ", ", ", 1)
     samples = ("sm AS (SELECT sample, avg(gene_sig_score_1) AS mean_gene1, avg(gene_sig_score_2) AS mean_gene2 "
@@ -771,9 +954,31 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     d1_app = f"d1 AS (SELECT w.*, {_human_label_cols('w.unit', 2, 2, False)} FROM wide w)"
     sql["score_corr_samples_app"] = _with(*_HUMAN_SCORES, d1_app, samples) + " " + \
         _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
-    sql["heatmap_group_distance"] = _heat_prefix(_CELL_SAMPLE) + (
-        " SELECT a.grp AS group_a, b.grp AS group_b, round(sqrt(sum((a.log_exp - b.log_exp) * (a.log_exp - b.log_exp))), 6) "
-        "AS distance FROM r2 a JOIN r2 b ON a.gene = b.gene WHERE a.grp < b.grp GROUP BY a.grp, b.grp")
+    sql["heatmap_group_distance"] = _heat_prefix(_CELL_SAMPLE) + _distance_sql("r2", "gene", "grp", "log_exp", "group")
+    sql["celltype_heatmap_distance"] = _heat_prefix("cell_type") + _distance_sql("r2", "grp", "gene", "log_exp", "gene")
+    sql["celltype_heatmap_group_distance"] = _heat_prefix("cell_type") + _distance_sql("r2", "gene", "grp", "log_exp", "group")
+    sql["celltype_heatmap_group_distance_mouse"] = (_heat_prefix("cell_type", units_sql=fx.SQL_UNITS_MOUSE, human=False)
+                                                    + _distance_sql("r2", "gene", "grp", "log_exp", "group"))
+    for key, obs, var in (("gene", "grp", "gene"), ("group", "gene", "grp")):
+        matrix = _heat_prefix(_CELL_SAMPLE) + " " + _pearson_sql(obs, var, f"{key}_a", f"{key}_b").replace("WITH ", ", ", 1)
+        matrix = matrix[:matrix.rindex(" SELECT ")]
+        sql[f"corr_{key}s_distance"] = matrix + _distance_sql("corr", f"{key}_b", f"{key}_a", "corr", key)
+    sql["response_wilcoxon_exact"] = _exact_wilcoxon_sql()
+    sql["response_wilcoxon_single"] = (f"SELECT *, p_normal AS p, CASE WHEN w IS NOT NULL THEN 'normal' END AS p_method "
+                                       f"FROM ({_wilcoxon_sql()}) WHERE set_name = 'gene_sig_score_2'")
+    sql["score_ranking_positions"] = _with(*_HUMAN_SCORES) + (
+        " SELECT unit, row_number() OVER (ORDER BY gene_sig_score_1 DESC NULLS LAST, unit) AS rank FROM wide")
+    all_cells = f"SELECT cell_id, cluster AS cell_type, ident AS sample FROM ({fx.SQL_CELLS_STAR})"
+    mouse_all = _with(*_pb_ctes(all_cells, fx.SQL_COUNTS_STAR, PB.MOUSE_ALL_KEYS, "cell_type"))
+    sql["pseudobulk_mouse_all"] = mouse_all + " SELECT gene, unit, mean_exp, cell_count FROM pb"
+    sql["source_expression"] = mouse_all + " SELECT unit, gene, mean_exp AS value FROM pb"
+    sql["source_cells"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.MOUSE_MALIGNANT_KEYS, "cluster")) + \
+        " SELECT gene, unit, mean_exp, cell_count FROM pb"
+    sql["source_gene_sets"] = sql["gene_sets_long"]
+    sql["score_fit_band"] = _band_sql(["cell_type"])
+    sql["score_fit_band_timepoint"] = _band_sql(["timepoint"])
+    sql["score_fit_band_both"] = _band_sql(["timepoint", "cell_type"])
+    sql["score_fit_band_samples"] = _band_sql([], "sm", "mean_gene1", "mean_gene2", (*_HUMAN_SCORES, _D1, samples))
     mouse_cols = (f"{L.sql_sample('{u}', 1, 1)} AS sample, "
                   f"{L.sql_first_match('{u}', L.MOUSE_CELL_TYPE_RULES)} AS cell_type")
     a1m = "a1 AS (SELECT s.*, " + mouse_cols.replace("{u}", "s.unit") + " FROM scores s)"
@@ -787,6 +992,13 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
         _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
     sql["score_corr_mouse_celltype"] = _with(*_MOUSE_SCORES, d1m, _D1F) + " " + \
         _spearman_sql("d1f", ["cell_type"], "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
+    sql["score_fit_mouse_samples"] = _fit_sql([], "sm", "mean_gene1", "mean_gene2", (*_MOUSE_SCORES, d1m, samples))
+    sql["score_fit_mouse_celltype"] = _fit_sql(["cell_type"], ctes=(*_MOUSE_SCORES, d1m, _D1F))
+    sql["score_fit_band_mouse_samples"] = _band_sql([], "sm", "mean_gene1", "mean_gene2", (*_MOUSE_SCORES, d1m, samples))
+    sql["score_fit_band_mouse_celltype"] = _band_sql(["cell_type"], ctes=(*_MOUSE_SCORES, d1m, _D1F))
+    sql["score_density_mouse"] = _density_sql((*_MOUSE_SCORES, a1m))
+    sql["corr_groups_mouse"] = _heat_prefix("cell_type", units_sql=fx.SQL_UNITS_MOUSE, human=False) + " " + \
+        _pearson_sql("gene", "grp", "group_a", "group_b").replace("WITH ", ", ", 1)
     gene_sql = "p_brand || CASE p_size % 3 WHEN 0 THEN '.' WHEN 1 THEN '-' ELSE '' END || p_type"
     sql["score_pseudobulk_star"] = _with(
         *_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster", digits=None),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from setscore.functions import labels as L
 from setscore.operators import association as A
+from setscore.operators import ranks
 from setscore.operators import summaries as S
 from setscore.operators.joins import join_on_keys
 from setscore.operators.reshape import select_timepoint_units
@@ -86,6 +87,13 @@ def ranking_mouse(scores: DataFrame, digits: int = 3) -> DataFrame:
                           "sample", "cell_type")
 
 
+def ranking_positions(scores: DataFrame) -> DataFrame:
+    """R3's order (W3) as numbers: (unit, rank), rank 1 = largest unrounded score 1, ties by unit."""
+    d = labelled_wide(scores).select("unit", F.struct(F.col(SET_1).isNull().alias("none"), (-F.col(SET_1)).alias("down"), "unit").alias("place"))
+    at = ranks.value_positions(d, [], "place")
+    return at.select(F.col("place.unit").alias("unit"), (F.col("before") + 1).alias("rank"))
+
+
 # ---- R4 / R5 / R6 / R7 distributions --------------------------------------------------------
 
 def _with_celltype_order(stats: DataFrame, a1: DataFrame) -> DataFrame:
@@ -137,12 +145,16 @@ def sample_response_means(scores: DataFrame, n_lead: int = 3) -> DataFrame:
     return S.group_mean(a1, ["set_name", "sample", "response", "timepoint"], "score", "mean_expression")
 
 
-def response_wilcoxon(scores: DataFrame, exact: bool = False) -> DataFrame:
-    """Non Responders vs Responders per set and timepoint."""
-    means = sample_response_means(scores)
+def response_wilcoxon(scores: DataFrame, p_method: str | None = None, set_name: str | None = None) -> DataFrame:
+    """Non Responders vs Responders per set and timepoint.
+
+    ``p_method`` (see :func:`A.wilcoxon_p`) adds the columns p and p_method; ``set_name`` keeps one
+    signature (F5).
+    """
+    means = sample_response_means(scores if set_name is None else scores.where(F.col("set_name") == set_name))
     stats = A.wilcoxon(means, ["set_name", "timepoint"], "response", "mean_expression",
                        ("Non Responders", "Responders"))
-    return A.wilcoxon_exact(stats, ["set_name", "timepoint"]) if exact else stats
+    return stats if p_method is None else A.wilcoxon_p(stats, ["set_name", "timepoint"], p_method)
 
 
 def response_mean_marker(scores: DataFrame) -> DataFrame:
@@ -198,25 +210,43 @@ def corr_genes(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> Dat
     return m.select(F.col("var_a").alias("gene_a"), F.col("var_b").alias("gene_b"), "corr")
 
 
-def corr_groups(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
-    """R11 (T2): group x group Pearson r across genes."""
-    r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
-    m = A.pearson_matrix(r2, "gene", "cell_sample", "log_exp")
+def corr_groups(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
+    """R11 (T2): group x group Pearson r across genes (mouse: cell types)."""
+    if human:
+        m = A.pearson_matrix(cut_lineage(heatmap_celltype_timepoint(expr, gene_sets)), "gene", "cell_sample", "log_exp")
+    else:
+        m = A.pearson_matrix(cut_lineage(heatmap_celltype(expr, gene_sets, human=False)), "gene", "cell_type", "log_exp")
     return m.select(F.col("var_a").alias("group_a"), F.col("var_b").alias("group_b"), "corr")
 
 
+def _distances(matrix: DataFrame, obs: str, var: str, value: str, name: str) -> DataFrame:
+    d = A.euclidean_distances(matrix, obs, var, value)
+    return d.select(F.col("var_a").alias(f"{name}_a"), F.col("var_b").alias(f"{name}_b"), "distance")
+
+
 def heatmap_distance(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """Euclidean distances between heatmap rows (genes) of R9."""
-    r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
-    d = A.euclidean_distances(r2, "cell_sample", "gene", "log_exp")
-    return d.select(F.col("var_a").alias("gene_a"), F.col("var_b").alias("gene_b"), "distance")
+    return _distances(cut_lineage(heatmap_celltype_timepoint(expr, gene_sets)), "cell_sample", "gene", "log_exp", "gene")
 
 
 def heatmap_group_distance(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """Euclidean distances between heatmap columns (cell type x timepoint groups) of R9."""
-    r2 = cut_lineage(heatmap_celltype_timepoint(expr, gene_sets))
-    d = A.euclidean_distances(r2, "gene", "cell_sample", "log_exp")
-    return d.select(F.col("var_a").alias("group_a"), F.col("var_b").alias("group_b"), "distance")
+    return _distances(cut_lineage(heatmap_celltype_timepoint(expr, gene_sets)), "gene", "cell_sample", "log_exp", "group")
+
+
+def celltype_heatmap_distance(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
+    """Euclidean distances between heatmap rows (genes) of R8."""
+    return _distances(cut_lineage(heatmap_celltype(expr, gene_sets, human)), "cell_type", "gene", "log_exp", "gene")
+
+
+def celltype_heatmap_group_distance(expr: DataFrame, gene_sets: DataFrame, human: bool = True) -> DataFrame:
+    """Euclidean distances between heatmap columns (cell types) of R8."""
+    return _distances(cut_lineage(heatmap_celltype(expr, gene_sets, human)), "gene", "cell_type", "log_exp", "group")
+
+
+def corr_distance(corr: DataFrame, name: str) -> DataFrame:
+    """Euclidean distances between the rows of a correlation matrix (R10: gene, R11: group)."""
+    return _distances(cut_lineage(corr), f"{name}_b", f"{name}_a", "corr", name)
 
 
 # ---- R12 - R15 score correlations -----------------------------------------------------------
@@ -242,9 +272,9 @@ def score_corr(scores: DataFrame, facets: list[str], human: bool = True) -> Data
     return A.spearman(_d1_filtered(scores, human), facets, SET_1, SET_2)
 
 
-def score_fit(scores: DataFrame, facets: list[str]) -> DataFrame:
+def score_fit(scores: DataFrame, facets: list[str], human: bool = True) -> DataFrame:
     """T4: least-squares line of score 2 on score 1 per facet."""
-    return A.linear_fit(_d1_filtered(scores), facets, SET_1, SET_2)
+    return A.linear_fit(_d1_filtered(scores, human), facets, SET_1, SET_2)
 
 
 def score_fit_samples(scores: DataFrame, n_lead: int = 3, human: bool = True) -> DataFrame:
@@ -252,6 +282,11 @@ def score_fit_samples(scores: DataFrame, n_lead: int = 3, human: bool = True) ->
     return A.linear_fit(sample_score_means(scores, n_lead, human), [], "mean_gene1", "mean_gene2")
 
 
-def score_fit_band(scores: DataFrame, facets: list[str], points: int = 80) -> DataFrame:
-    """T4 band: fitted values and 95% confidence limits on a grid per facet."""
-    return A.fit_band(score_fit(scores, facets), facets, points)
+def score_fit_band(scores: DataFrame, facets: list[str], points: int = 80, human: bool = True) -> DataFrame:
+    """T4 band of R13-R15: fitted values and 95% confidence limits on a grid per facet."""
+    return A.fit_band(score_fit(scores, facets, human), facets, points)
+
+
+def score_fit_band_samples(scores: DataFrame, points: int = 80, human: bool = True) -> DataFrame:
+    """T4 band of R12."""
+    return A.fit_band(score_fit_samples(scores, human=human), [], points)

@@ -27,24 +27,49 @@ def _t_two_sided_numeric(t, df):
 
 
 @pytest.mark.parametrize("df_", [1, 2, 3, 4, 7, 10, 31, 60])
-def test_t_tail_closed_form(spark, df_):
+def test_t_tail_and_quantile(spark, df_):
     t = 1.7
     got = spark.range(1).select(A.t_two_sided_p(F.lit(t), F.lit(df_)).alias("p")).collect()[0]["p"]
     assert got == pytest.approx(_t_two_sided_numeric(t, df_), abs=1e-9)
-    assert A._t_quantile(0.975, df_) == pytest.approx(
+    assert spark.range(1).select(A.t_quantile(0.975, F.lit(df_))).first()[0] == pytest.approx(
         {1: 12.7062, 2: 4.3027, 3: 3.1824, 4: 2.7764, 7: 2.3646, 10: 2.2281, 31: 2.0395, 60: 2.0003}[df_], abs=1e-4)
 
 
+def test_t_tail_of_ten_million_degrees(spark):
+    """The normal tail plus its first correction; the work doesn't grow with the degrees of freedom."""
+    t, nu = 1.7, 10 ** 7
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    want = math.erfc(t / math.sqrt(2)) + 2 * density * (t ** 3 + t) / (4 * nu)
+    row = spark.range(1).select(A.t_two_sided_p(F.lit(t), F.lit(nu)).alias("p"), A.t_quantile(0.975, F.lit(nu)).alias("q"),
+                                A.t_two_sided_p(F.lit(t), F.lit(0)).alias("none"), A.t_quantile(0.975, F.lit(0)).alias("none_q"),
+                                A.t_two_sided_p(F.lit(float("inf")), F.lit(5)).alias("far")).first()
+    assert row.p == pytest.approx(want, abs=1e-13) and row.q == pytest.approx(1.959964 + 2.4e-7, abs=1e-6)
+    assert row.none is None and row.none_q is None and row.far == 0.0
+
+
 def test_wilcoxon_golden(spark):
     rows = [("f", "x", v) for v in (1.0, 2.0, 3.0)] + [("f", "y", v) for v in (4.0, 5.0)]
     df = spark.createDataFrame(rows, "facet string, grp string, v double")
     st = A.wilcoxon(df, ["facet"], "grp", "v", ("x", "y"))
-    row = A.wilcoxon_exact(st, ["facet"]).collect()[0]
+    row = A.wilcoxon_p(st, ["facet"]).collect()[0]
     assert row["w"] == 0.0
-    assert row["p_exact"] == pytest.approx(0.2)
+    assert row["p"] == pytest.approx(0.2) and row["p_method"] == "exact"
     assert row["p_normal"] == pytest.approx(0.1489, abs=1e-4)
 
 
+def test_wilcoxon_methods(spark):
+    """Ties and large groups take the normal p, a facet without a second group has none, and normal is as asked."""
+    rows = ([("ties", "x", 1.0), ("ties", "x", 2.0), ("ties", "y", 2.0)] + [("lone", "x", 1.0)] + [(None, "x", 1.0), (None, "y", 2.0)]
+            + [("big", "x" if k % 3 else "y", float(k)) for k in range(90)])
+    st = A.wilcoxon(spark.createDataFrame(rows, "facet string, grp string, v double"), ["facet"], "grp", "v", ("x", "y"))
+    got = {r.facet: r for r in A.wilcoxon_p(st, ["facet"]).collect()}
+    assert {k: r.p_method for k, r in got.items()} == {"ties": "normal", "lone": None, None: "exact", "big": "normal"}
+    assert got["lone"].p is None and got[None].p == 1.0 and got["big"].p == got["big"].p_normal
+    assert {r.p_method for r in A.wilcoxon_p(st, ["facet"], "normal").collect()} == {"normal", None}
+    with pytest.raises(ValueError):
+        A.wilcoxon_p(st, ["facet"], "other")
+
+
 def test_wilcoxon_exact_counts():
     counts = A._pwilcox_counts(3, 2)
     assert counts.sum() == math.comb(5, 3)
@@ -74,6 +99,31 @@ def test_pearson_constant_is_null_not_error(spark):
     assert got[("a", "c")] == pytest.approx(got[("c", "a")])
 
 
+def test_pair_statistics_over_many_tiles(spark, monkeypatch):
+    """Against NumPy, with blocks and chunks so small that every tile is partial; NULLs and gaps included."""
+    import numpy as np
+    monkeypatch.setattr(A, "BLOCK_VARIABLES", 3)
+    monkeypatch.setattr(A, "CHUNK_OBSERVATIONS", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10, 13))
+    rows = [(None if o == 0 else f"o{o}", None if v == 0 else f"v{v:02d}", float(x[v, o])) for v in range(10) for o in range(13)]
+    name = lambda v: None if v == 0 else f"v{v:02d}"
+    df = spark.createDataFrame(rows, "o string, v string, x double")
+    corr = {(r.var_a, r.var_b): r["corr"] for r in A.pearson_matrix(df, "o", "v", "x").collect()}
+    want = np.corrcoef(x)
+    assert len(corr) == 100 and all(abs(corr[name(a), name(b)] - want[a, b]) < 1e-12 for a in range(10) for b in range(10))
+    far = A.euclidean_distances(df, "o", "v", "x").collect()
+    assert len(far) == 45
+    for r in far:
+        a, b = (0 if k is None else int(k[1:]) for k in (r.var_a, r.var_b))
+        assert a < b and abs(r.distance - np.linalg.norm(x[a] - x[b])) < 1e-12
+    gaps = spark.createDataFrame([("p", "a", 0.0), ("q", "a", None), ("p", "b", 3.0), ("q", "b", 1.0), ("p", "c", None), ("q", "d", 1.0)],
+                                 "o string, v string, x double")
+    got = {(r.var_a, r.var_b): r.distance for r in A.euclidean_distances(gaps, "o", "v", "x").collect()}
+    assert got == {("a", "b"): pytest.approx(3 * 2 ** 0.5), ("a", "c"): None, ("a", "d"): None, ("b", "c"): None, ("b", "d"): 0.0}
+    assert A.pearson_matrix(df.limit(0), "o", "v", "x").count() == 0
+
+
 def test_ranking_sorts_before_rounding(spark):
     # W3 golden: 0.1234 and 0.1231 both print 0.123, in that order
     df = spark.createDataFrame([("u2", 0.1231, 0.0), ("u1", 0.1234, 0.0)], "unit string, s1 double, s2 double")
@@ -97,6 +147,13 @@ def test_density_matches_direct_sum(spark):
     assert max(r[3] for r in d) == pytest.approx(1.0)
 
 
+def test_density_of_null_keys_and_values(spark):
+    rows = [(None, "a", 1.0), (None, "a", 2.0), ("a", None, 1.0), ("a", None, 3.0), ("a", None, None), ("b", "b", 1.0)]
+    d = S.violin_density(spark.createDataFrame(rows, "g string, h string, v double"), ["g", "h"], "v", 16)
+    got = {(r.g, r.h): r.top for r in d.groupBy("g", "h").agg(F.max("x").alias("top")).collect()}
+    assert got == {(None, "a"): pytest.approx(2.0), ("a", None): pytest.approx(3.0)}
+
+
 def test_phi_accuracy():
     for u in (-3.0, -1.0, 0.0, 0.5, 2.0):
         assert abs(phi_py(u) - 0.5 * math.erfc(-u / math.sqrt(2))) < 7.5e-8

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from setscore.plans.catalog import ORACLE_SQL, QUERIES
 from tools.check_oracle import TABLES, canon
 
 from .conftest import SF0001
@@ -17,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     got = E.queries()[name](spark, SF0001).toPandas()
     assert len(got) > 0
@@ -36,9 +37,20 @@ def test_entry_smoke(spark):
     assert df.count() == 500
 
 
-def test_every_query_but_rows_only_has_oracle():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"response_wilcoxon_exact", "score_fit_band"}
-    assert set(E.oracle_sql()) <= set(E.queries())
+def test_every_query_has_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_rewritten_input_gives_new_scores(spark, tmp_path):
+    """Scores are shared only while the input's files stay as they are."""
+    from setscore.plans import catalog
+    source = spark.read.parquet(f"{SF0001}/embeddings.parquet").where("vec_id < 40")
+    path = str(tmp_path / "embeddings.parquet")
+    source.write.parquet(path)
+    first = catalog.QUERIES["score_long"](spark, str(tmp_path)).count()
+    source.where("vec_id < 20").write.mode("overwrite").parquet(path)
+    assert (first, catalog.QUERIES["score_long"](spark, str(tmp_path)).count()) == (80, 40)
 
 
 @pytest.mark.parametrize("name", ["pseudobulk_star", "kernel_cdf", "score_corr_both", "heatmap_celltype_timepoint"])
@@ -49,7 +61,7 @@ def test_query_independent_of_shuffle_width(spark, name):
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         from setscore.plans import catalog
-        catalog._SCORE_CACHE.clear()
+        catalog._SCORES.clear()
         other = canon(fn(spark, SF0001).toPandas())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
