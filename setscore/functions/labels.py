@@ -60,7 +60,7 @@ CLUSTER_REWRITES = [
     ("Stress(p53Response)", "Stressp53Response"),
 ]
 
-# Regexes of the two name-trimming steps.
+# Regexes of the two name-trimming steps.
 TRAILING_TOKEN = "_[^_]+$"      # L1: drop the last "_token"
 LEADING_TOKEN = "^[^_]*."       # L2: drop the first token and one more character
 
@@ -208,37 +208,3 @@ def mouse_unit_labels(units: DataFrame, unit_col: str = "unit") -> DataFrame:
     """L3 (1 lead, 1 trail) and L8 over a frame of distinct units."""
     u = F.col(unit_col)
     return units.select(unit_col, sample_of(u, 1, 1).alias("sample"), mouse_cell_type(u).alias("cell_type"))
-
-
-# ---- SQL twins for the DuckDB oracle --------------------------------------------------------
-
-def sql_first_match(expr: str, rules: Sequence[tuple[str, str]]) -> str:
-    arms = " ".join(f"WHEN contains({expr}, '{p}') THEN '{lab}'" for p, lab in rules)
-    return f"(CASE {arms} END)"
-
-
-def sql_strip_last(expr: str, times: int) -> str:
-    for _ in range(times):
-        expr = f"regexp_replace({expr}, '{TRAILING_TOKEN}', '')"
-    return expr
-
-
-def sql_strip_first(expr: str, times: int) -> str:
-    for _ in range(times):
-        expr = f"regexp_replace({expr}, '{LEADING_TOKEN}', '')"
-    return expr
-
-
-def sql_sample(expr: str, n_lead: int, n_trail: int) -> str:
-    return sql_strip_first(sql_strip_last(expr, n_trail), n_lead)
-
-
-def sql_log_or_zero(expr: str) -> str:
-    return (f"(CASE WHEN {expr} IS NULL OR isnan({expr}) OR {expr} <= 0 OR isinf({expr}) "
-            f"THEN 0.0 ELSE ln({expr}) END)")
-
-
-def sql_normalise_cluster(expr: str) -> str:
-    for search, repl in CLUSTER_REWRITES:
-        expr = f"replace({expr}, '{search}', '{repl}')"
-    return expr

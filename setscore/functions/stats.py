@@ -1,9 +1,7 @@
 """Distribution functions written as Spark Columns (JVM-side, no UDF).
 
 Neither Spark nor DuckDB ships erf / a normal CDF, so the standard normal CDF
-is the Abramowitz & Stegun 26.2.17 polynomial (absolute error < 7.5e-8). The
-same arithmetic is emitted as SQL text for the DuckDB oracle, so both sides
-compute identical kernel values.
+is the Abramowitz & Stegun 26.2.17 polynomial (absolute error < 7.5e-8).
 """
 
 from __future__ import annotations
@@ -33,15 +31,6 @@ def phi(u: Column) -> Column:
     return F.when(u >= 0, _lit(1.0) - tail).otherwise(tail)
 
 
-def phi_sql(u: str) -> str:
-    """The same polynomial as SQL text (DuckDB / Spark SQL)."""
-    b1, b2, b3, b4, b5 = AS_B
-    t = f"(1.0 / (1.0 + {AS_P!r} * abs({u})))"
-    poly = f"({t} * ({b1!r} + {t} * ({b2!r} + {t} * ({b3!r} + {t} * ({b4!r} + {t} * {b5!r})))))"
-    tail = f"(exp(-abs({u}) * abs({u}) / 2.0) * {INV_SQRT_2PI!r} * {poly})"
-    return f"(CASE WHEN ({u}) >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
-
-
 def phi_py(u: float) -> float:
     """Scalar twin of :func:`phi` for tests and driver-side tails."""
     a = abs(u)

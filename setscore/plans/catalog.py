@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setscore.functions import labels as L
-from setscore.functions.stats import phi_sql
 from setscore.operators import pseudobulk as PB
 from setscore.operators.reshape import long_to_wide
 from setscore.operators.scoring import gene_stats, kernel_cdf, scores_wide
@@ -542,7 +541,78 @@ QUERIES: dict[str, Query] = {
 }
 
 # ---------------------------------------------------------------------------------------------
-# Oracle SQL (DuckDB over the raw tables)
+# Oracle SQL (DuckDB over the raw tables). Rules, patterns and constants are written out here, not
+# taken from the code that they check.
+
+# The label rules, as SQL over a unit name u.
+_SQL_ANTIGEN = "WHEN contains({u}, 'AntigenPresentation') THEN 'Antigen Presentation'"
+_SQL_ANTIGEN_VIOLIN = "WHEN contains({u}, 'Antigen') THEN 'Antigen Presentation'"
+_SQL_HUMAN_CELL_TYPES = """
+ WHEN contains({u}, 'Interferon') THEN 'Interferon Alpha Beta Response'
+ WHEN contains({u}, 'Melanocytic') THEN 'Melanocytic'
+ WHEN contains({u}, 'Mesenchymallike') THEN 'Mesenchymal like'
+ WHEN contains({u}, 'Mitochondrial') THEN 'Mitochondrial low quality'
+ WHEN contains({u}, 'Mitotic') THEN 'Mitotic'
+ WHEN contains({u}, 'NeuralCrestlike') THEN 'Neural Crest like'
+ WHEN contains({u}, 'PatientspecificA') THEN 'Patient specific A'
+ WHEN contains({u}, 'PatientspecificB') THEN 'Patient specific B'
+ WHEN contains({u}, 'Hypoxia') THEN 'Stress Hypoxia Response'
+ WHEN contains({u}, 'p53') THEN 'Stress p53 Response'"""
+_SQL_MOUSE_CELL_TYPES = """
+ WHEN contains({u}, 'B-cell') THEN 'B-cell'
+ WHEN contains({u}, 'CAF') THEN 'CAF'
+ WHEN contains({u}, 'DC') THEN 'DC'
+ WHEN contains({u}, 'EC') THEN 'EC'
+ WHEN contains({u}, 'Malignant') THEN 'Malignant'
+ WHEN contains({u}, 'Monocyte') THEN 'Monocyte/macrophage'
+ WHEN contains({u}, 'Pericyte') THEN 'Pericyte'
+ WHEN contains({u}, 'NKcell') THEN 'T/NKcell'"""
+_SQL_TIMEPOINT = "(CASE WHEN contains({u}, 'BT') THEN 'BT' WHEN contains({u}, 'OT') THEN 'OT' END)"
+_SQL_RESPONSE = ("(CASE WHEN contains({u}, '_NonResponders') THEN 'Non Responders' "
+                 "WHEN contains({u}, '_Responders') THEN 'Responders' END)")
+# Cluster rewrites, innermost first.
+_SQL_REWRITES = """replace(replace(replace(replace(replace(replace(replace(replace({c},
+ 'Antigen_Presentation', 'AntigenPresentation'),
+ 'Interferon_Alpha_Beta_Response', 'InterferonAlphaBetaResponse'),
+ 'Mesenchymal_like', 'Mesenchymallike'),
+ 'Mitochondrial(low_quality)', 'Mitochondriallowquality'),
+ 'Neural_Crest_like', 'NeuralCrestlike'),
+ 'Patient_specific_', 'Patientspecific'),
+ 'Stress(HypoxiaResponse)', 'StressHypoxiaResponse'),
+ 'Stress(p53Response)', 'Stressp53Response')"""
+# The key columns of the pseudobulk builds.
+_SQL_HUMAN_KEYS = ("cluster", "response", "timepoint", "ident", "patient")
+_SQL_MOUSE_KEYS = ("cell_type", "sample")
+_SQL_MALIGNANT_KEYS = ("ident", "cluster")
+
+
+def _sql_cell_type(u: str, human: bool = True, violin: bool = False) -> str:
+    if not human:
+        return "(CASE" + _SQL_MOUSE_CELL_TYPES.replace("{u}", u) + " END)"
+    first = _SQL_ANTIGEN_VIOLIN if violin else _SQL_ANTIGEN
+    return "(CASE " + (first + _SQL_HUMAN_CELL_TYPES).replace("{u}", u) + " END)"
+
+
+def _sql_less_last(u: str, times: int) -> str:
+    """A name without its last ``times`` tokens: every token but them, joined again."""
+    return f"array_to_string(string_split({u}, '_')[:-{times + 1}], '_')"
+
+
+def _sql_sample(u: str, n_lead: int, n_trail: int) -> str:
+    return f"array_to_string(string_split({u}, '_')[{n_lead + 1}:-{n_trail + 1}], '_')"
+
+
+def _sql_log(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 AND isfinite({x}) THEN ln({x}) ELSE 0.0 END)"
+
+
+def _sql_phi(u: str) -> str:
+    """Normal distribution function, Abramowitz and Stegun 26.2.17."""
+    t = f"(1.0 / (1.0 + 0.2316419 * abs({u})))"
+    series = (f"(0.319381530 * {t} - 0.356563782 * {t} ** 2 + 1.781477937 * {t} ** 3 "
+              f"- 1.821255978 * {t} ** 4 + 1.330274429 * {t} ** 5)")
+    tail = f"(exp(-({u}) * ({u}) / 2) / sqrt(2 * pi()) * {series})"
+    return f"(CASE WHEN ({u}) >= 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
 def _with(*ctes: str) -> str:
@@ -568,7 +638,7 @@ def _pb_ctes(cells_sql: str, counts_sql: str, keys, filter_col: str, count_filte
     ]
 
 
-_PB_STAR = _pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster")
+_PB_STAR = _pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, _SQL_HUMAN_KEYS, "cluster")
 
 _MARKER_SQL = """
 marker AS (SELECT max(CASE WHEN k.timepoint = 'BT' THEN c.gene END) AS bt_genes,
@@ -577,9 +647,8 @@ marker AS (SELECT max(CASE WHEN k.timepoint = 'BT' THEN c.gene END) AS bt_genes,
 
 
 def _human_label_cols(u: str = "unit", n_lead: int = 3, n_trail: int = 2, violin: bool = False) -> str:
-    rules = L.HUMAN_CELL_TYPE_RULES_VIOLIN if violin else L.HUMAN_CELL_TYPE_RULES
-    return (f"{L.sql_sample(u, n_lead, n_trail)} AS sample, {L.sql_first_match(u, L.RESPONSE_RULES)} AS response, "
-            f"{L.sql_first_match(u, L.TIMEPOINT_RULES)} AS timepoint, {L.sql_first_match(u, rules)} AS cell_type")
+    return (f"{_sql_sample(u, n_lead, n_trail)} AS sample, {_SQL_RESPONSE.replace('{u}', u)} AS response, "
+            f"{_SQL_TIMEPOINT.replace('{u}', u)} AS timepoint, {_sql_cell_type(u, True, violin)} AS cell_type")
 
 
 def _score_chain() -> list[str]:
@@ -588,7 +657,7 @@ def _score_chain() -> list[str]:
     return [
         "gkeep AS (SELECT gene, count(value) AS n, stddev_samp(value) / 4.0 AS h FROM expr GROUP BY gene "
         "HAVING stddev_samp(value) > 0)",
-        f"kz AS (SELECT a.unit, a.gene, sum({phi_sql('(a.value - b.value) / g.h')}) / g.n AS z "
+        f"kz AS (SELECT a.unit, a.gene, sum({_sql_phi('(a.value - b.value) / g.h')}) / g.n AS z "
         "FROM expr a JOIN gkeep g ON a.gene = g.gene JOIN expr b ON b.gene = a.gene GROUP BY a.unit, a.gene, g.n)",
         "ranked AS (SELECT unit, gene, z, row_number() OVER (PARTITION BY unit ORDER BY round(z, 9) DESC, gene ASC) AS pos, "
         "count(*) OVER (PARTITION BY unit) AS p FROM kz)",
@@ -692,18 +761,17 @@ def _spearman_sql(src: str, facets, x: str, y: str) -> str:
 
 def _heat_ctes(group_expr: str, units_sql: str = fx.SQL_UNITS_DENSE, human: bool = True) -> list[str]:
     sel = (" AND (contains(lower(e.unit), 'ot') OR contains(lower(e.unit), 'bt'))" if human else "")
-    rules = L.HUMAN_CELL_TYPE_RULES if human else L.MOUSE_CELL_TYPE_RULES
-    tp = L.sql_first_match("e.unit", L.TIMEPOINT_RULES) if human else "CAST(NULL AS VARCHAR)"
+    tp = _SQL_TIMEPOINT.replace("{u}", "e.unit") if human else "CAST(NULL AS VARCHAR)"
     return [
         f"units AS ({units_sql})",
         f"expr0 AS ({fx.sql_expr_from('units')})",
         "expr AS (SELECT unit, gene, greatest(value, 0.0) * 100 AS value FROM expr0)",
         f"sets AS ({fx.sql_demo_gene_sets_long()})",
-        f"h AS (SELECT e.gene, e.unit, e.value, {tp} AS timepoint, {L.sql_first_match('e.unit', rules)} AS cell_type "
+        f"h AS (SELECT e.gene, e.unit, e.value, {tp} AS timepoint, {_sql_cell_type('e.unit', human)} AS cell_type "
         f"FROM expr e WHERE e.gene IN (SELECT gene FROM sets){sel})",
         f"means AS (SELECT gene, {group_expr} AS grp, avg(value) AS mean_exp FROM h GROUP BY gene, {group_expr})",
         "grid AS (SELECT g.gene, c.grp FROM (SELECT DISTINCT gene FROM means) g CROSS JOIN (SELECT DISTINCT grp FROM means) c)",
-        f"r2 AS (SELECT grid.gene, grid.grp, {L.sql_log_or_zero('m.mean_exp')} AS log_exp FROM grid "
+        f"r2 AS (SELECT grid.gene, grid.grp, {_sql_log('m.mean_exp')} AS log_exp FROM grid "
         "LEFT JOIN means m ON grid.gene = m.gene AND grid.grp IS NOT DISTINCT FROM m.grp)",
     ]
 
@@ -794,7 +862,7 @@ _A7 = ("means AS (SELECT set_name, sample, response, timepoint, avg(score) AS me
 def _wilcoxon_sql() -> str:
     r = STAT_DIGITS
     fk = ["set_name", "timepoint"]
-    phi_z = phi_sql("z")
+    phi_z = _sql_phi("z")
     return _with(
         *_HUMAN_SCORES, _A1_3, _A7,
         "d AS (SELECT set_name, timepoint, response, mean_expression AS v FROM means "
@@ -867,7 +935,7 @@ def _sql_catalog() -> dict[str, str]:
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
     mal_cells = (f"SELECT cell_id, ident, 'cluster_' || coalesce(substr(cluster, 1, 1), 'NA') AS cluster "
                  f"FROM ({fx.SQL_CELLS_STAR})")
-    sql["pseudobulk_malignant"] = _with(*_pb_ctes(mal_cells, fx.SQL_COUNTS_STAR, PB.MOUSE_MALIGNANT_KEYS, "cluster")) + \
+    sql["pseudobulk_malignant"] = _with(*_pb_ctes(mal_cells, fx.SQL_COUNTS_STAR, _SQL_MALIGNANT_KEYS, "cluster")) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
     sql["pseudobulk_wide"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, ("cluster",), "cluster")) + " SELECT gene, " + ", ".join(
         f"coalesce(max(mean_exp) FILTER (regexp_replace(unit, '_[0-9]+$', '') = '{c}'), 0.0) AS \"{c}\"" for c in STAR_CLUSTERS) + " FROM pb GROUP BY gene"
@@ -879,9 +947,9 @@ dense AS (SELECT g.gene, u.cluster, coalesce(pb.mean_exp, 0.0) AS v FROM genes g
 SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) ELSE 0.0 END, {r}) AS log_exp FROM dense GROUP BY gene, cluster"""
     allow = ("WHERE gene IN (SELECT gene FROM counts0 WHERE value <> 0 GROUP BY gene "
              f"HAVING count(*) >= {MIN_DETECTION_RATE!r} * (SELECT count(*) FROM cells))")
-    sql["pseudobulk_allowlist"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster", allow)) + \
+    sql["pseudobulk_allowlist"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, _SQL_HUMAN_KEYS, "cluster", allow)) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
-    sql["gene_name_clean"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster",
+    sql["gene_name_clean"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, _SQL_HUMAN_KEYS, "cluster",
                                              "WHERE NOT contains(gene, '.') AND NOT contains(gene, '-')")) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
     star_base = [f"cells AS ({fx.SQL_CELLS_STAR})", f"counts AS ({fx.SQL_COUNTS_STAR})", _MARKER_SQL]
@@ -891,27 +959,27 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     sql["gene_set_table"] = _with(*star_base) + \
         " SELECT bt_genes AS gene_signature_1, ot_genes AS gene_signature_2 FROM marker"
     sql["unit_labels_human"] = f"SELECT unit, {_human_label_cols('unit')} FROM ({fx.SQL_UNITS_DENSE})"
-    sql["unit_labels_mouse"] = (f"SELECT unit, {L.sql_sample('unit', 1, 1)} AS sample, "
-                                f"{L.sql_first_match('unit', L.MOUSE_CELL_TYPE_RULES)} AS cell_type FROM ({fx.SQL_UNITS_MOUSE})")
+    sql["unit_labels_mouse"] = (f"SELECT unit, {_sql_sample('unit', 1, 1)} AS sample, "
+                                f"{_sql_cell_type('unit', False)} AS cell_type FROM ({fx.SQL_UNITS_MOUSE})")
     raw = fx._case_sql("label", RAW_CLUSTERS)
     sql["cluster_normalise"] = (f"SELECT CAST(vec_id AS VARCHAR) AS cell_id, {raw} AS raw_cluster, "
-                                f"{L.sql_normalise_cluster(raw)} AS cluster FROM embeddings")
+                                f"{_SQL_REWRITES.replace("{c}", raw)} AS cluster FROM embeddings")
     sql["kernel_cdf"] = _with(*_HUMAN_SCORES[:5]) + f" SELECT unit, gene, round(z, {r}) AS z FROM kz"
     sql["score_long"] = _with(*_HUMAN_SCORES) + f" SELECT unit, set_name, round(score, {SCORE_DIGITS}) AS score FROM scores"
     sql["score_wide"] = _with(*_HUMAN_SCORES) + (
         f" SELECT unit, round(gene_sig_score_1, {SCORE_DIGITS}) AS gene_sig_score_1, "
         f"round(gene_sig_score_2, {SCORE_DIGITS}) AS gene_sig_score_2 FROM wide")
     sql["score_ranking"] = _with(*_HUMAN_SCORES) + (
-        f" SELECT {L.sql_strip_last('unit', 2)} AS aggregated_sample_cell_type, {_human_label_cols('unit')}, "
+        f" SELECT {_sql_less_last('unit', 2)} AS aggregated_sample_cell_type, {_human_label_cols('unit')}, "
         "round(gene_sig_score_1, 3) AS gene_sig_score_1, round(gene_sig_score_2, 3) AS gene_sig_score_2 FROM wide")
     sql["score_ranking_top10"] = _with(*_HUMAN_SCORES) + (
-        f" SELECT {L.sql_strip_last('unit', 2)} AS aggregated_sample_cell_type, {_human_label_cols('unit')}, "
+        f" SELECT {_sql_less_last('unit', 2)} AS aggregated_sample_cell_type, {_human_label_cols('unit')}, "
         "round(gene_sig_score_1, 3) AS gene_sig_score_1, round(gene_sig_score_2, 3) AS gene_sig_score_2 FROM wide "
         "ORDER BY wide.gene_sig_score_1 DESC NULLS LAST, unit ASC LIMIT 10")
     sql["score_ranking_mouse"] = _with(*_MOUSE_SCORES) + (
         " SELECT unit AS cell_name, round(gene_sig_score_1, 3) AS gene_sig_score_1, "
-        f"round(gene_sig_score_2, 3) AS gene_sig_score_2, {L.sql_sample('unit', 1, 1)} AS sample, "
-        f"{L.sql_first_match('unit', L.MOUSE_CELL_TYPE_RULES)} AS cell_type FROM wide")
+        f"round(gene_sig_score_2, 3) AS gene_sig_score_2, {_sql_sample('unit', 1, 1)} AS sample, "
+        f"{_sql_cell_type('unit', False)} AS cell_type FROM wide")
     ctes, select = _box_parts("a1", ["set_name", "cell_type"])
     sql["score_by_celltype_box"] = _with(*_HUMAN_SCORES, _A1, _CT_ORD, *ctes, f"boxed AS ({select})") + \
         " SELECT b.*, o.cell_type_ord FROM boxed b LEFT JOIN ct_ord o ON b.cell_type IS NOT DISTINCT FROM o.cell_type"
@@ -969,18 +1037,18 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     sql["score_ranking_positions"] = _with(*_HUMAN_SCORES) + (
         " SELECT unit, row_number() OVER (ORDER BY gene_sig_score_1 DESC NULLS LAST, unit) AS rank FROM wide")
     all_cells = f"SELECT cell_id, cluster AS cell_type, ident AS sample FROM ({fx.SQL_CELLS_STAR})"
-    mouse_all = _with(*_pb_ctes(all_cells, fx.SQL_COUNTS_STAR, PB.MOUSE_ALL_KEYS, "cell_type"))
+    mouse_all = _with(*_pb_ctes(all_cells, fx.SQL_COUNTS_STAR, _SQL_MOUSE_KEYS, "cell_type"))
     sql["pseudobulk_mouse_all"] = mouse_all + " SELECT gene, unit, mean_exp, cell_count FROM pb"
     sql["source_expression"] = mouse_all + " SELECT unit, gene, mean_exp AS value FROM pb"
-    sql["source_cells"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.MOUSE_MALIGNANT_KEYS, "cluster")) + \
+    sql["source_cells"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, _SQL_MALIGNANT_KEYS, "cluster")) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
     sql["source_gene_sets"] = sql["gene_sets_long"]
     sql["score_fit_band"] = _band_sql(["cell_type"])
     sql["score_fit_band_timepoint"] = _band_sql(["timepoint"])
     sql["score_fit_band_both"] = _band_sql(["timepoint", "cell_type"])
     sql["score_fit_band_samples"] = _band_sql([], "sm", "mean_gene1", "mean_gene2", (*_HUMAN_SCORES, _D1, samples))
-    mouse_cols = (f"{L.sql_sample('{u}', 1, 1)} AS sample, "
-                  f"{L.sql_first_match('{u}', L.MOUSE_CELL_TYPE_RULES)} AS cell_type")
+    mouse_cols = (f"{_sql_sample('{u}', 1, 1)} AS sample, "
+                  f"{_sql_cell_type('{u}', False)} AS cell_type")
     a1m = "a1 AS (SELECT s.*, " + mouse_cols.replace("{u}", "s.unit") + " FROM scores s)"
     ctes, select = _box_parts("a1", ["set_name", "cell_type"])
     sql["score_by_celltype_box_mouse"] = _with(*_MOUSE_SCORES, a1m, _CT_ORD, *ctes, f"boxed AS ({select})") + \
@@ -1001,7 +1069,7 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
         _pearson_sql("gene", "grp", "group_a", "group_b").replace("WITH ", ", ", 1)
     gene_sql = "p_brand || CASE p_size % 3 WHEN 0 THEN '.' WHEN 1 THEN '-' ELSE '' END || p_type"
     sql["score_pseudobulk_star"] = _with(
-        *_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, PB.HUMAN_KEYS, "cluster", digits=None),
+        *_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, _SQL_HUMAN_KEYS, "cluster", digits=None),
         "expr AS (SELECT u.unit, g.gene, coalesce(pb.mean_exp, 0.0) AS value FROM (SELECT DISTINCT gene FROM pb) g "
         "CROSS JOIN (SELECT DISTINCT unit FROM pb) u LEFT JOIN pb ON pb.gene = g.gene AND pb.unit = u.unit)",
         f"sets AS (SELECT DISTINCT p_type AS set_name, {gene_sql} AS gene FROM part)",
