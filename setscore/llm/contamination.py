@@ -242,13 +242,14 @@ def search_batch(texts: list[bytes], tests: TestSet, shard_words: int) -> list[d
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int):
     """The items, dealt by hash into blocks of about ``block_bytes``; one block at a time is fetched."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, n)))
-    return [[(r.item, r.text) for r in items.where(block == k).collect()] for k in range(n)]
+    n = max(1, -(-size // block_bytes))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    for k in range(n):
+        yield [(r.item, r.text) for r in items.where(block == k).collect()]
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", window: int = WINDOW,
@@ -256,9 +257,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, name: str = "contamin
     """``docs`` with a RESULT column ``name`` (or name_1, ... if docs has that): hit words, items, hit spans and the longest verbatim
     matches with their places (word offsets)."""
     name = free_name(docs, name)
-    blocks = benchmark_blocks(benchmark, block_bytes) or [[]]
     out, parts = docs, []
-    for items in blocks:
+    for items in benchmark_blocks(benchmark, block_bytes):
         tests = test_set(items, window)
 
         def run(column, tests=tests):

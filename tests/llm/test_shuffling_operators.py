@@ -80,6 +80,7 @@ def _times(plan, odd) -> Counter:
 
 def test_mix_with_small_buckets_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixing, "RUN", 3)
     rows = [(i, "w " * (i % 13 + 1), None, f"s{i % 5}" if i % 2 else "s0", 0) for i in range(300)] + [(7, "hot row", None, "s0", 0)] * 150
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     check_mix(rows, mixing.mix_plan(df).collect())
