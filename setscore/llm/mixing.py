@@ -10,8 +10,8 @@ Sources by code point, null last, weigh 5, 2, 1, repeating.
 
 Prefix sums never gather a source: the random order is cut into buckets by its key, buckets' sums
 (pre-aggregated) are added up per source, and only a bucket's rows are sorted together. Equal rows
-(doc_id, source, text) are one row with a count until the end, so copies of a row can't heat a
-bucket. The cut is found from the sums of the sorted ranges and the rows of one range.
+(doc_id, source, text) are one row with a count until their start is known, so copies of a row can't
+heat a bucket; then the row is cut into runs of at most ``RUN`` copies. The cut is found from the sums of the sorted ranges and the rows of one range.
 
 Nulls: a null text has size 0; a null source is a source; null doc_ids share a place in the order,
 told apart by text. Documents of size 0 take nothing. An empty table gives an empty mix. Other
@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5             # of all words
 MAX_EPOCHS = 2
 BUCKET_ROWS = 4_000     # rows sorted together within a source
+RUN = 1_000             # copies that one row stands for once places are known
 SEED = "mix-1"
 
 
@@ -57,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def finish_times(docs: DataFrame) -> DataFrame:
-    """One row per different (doc_id, source, text): copies, size, the source's numbers, and
+    """One row per run of copies of a (doc_id, source, text): copies, size, the source's numbers, and
     ``start``, the words of its source before it."""
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     rows = materialise(rows.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "mix-rows")
@@ -75,8 +76,9 @@ def finish_times(docs: DataFrame) -> DataFrame:
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.join(sums, ["source_no", "bucket"])
     start = F.col("bucket_start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))
-    return materialise(rows.select("doc_id", "source", "text_hash", "size", "copies", "source_no", "source_size", "target",
-                                   "key", start.alias("start")), "mix-order")
+    rows = rows.withColumn("start", start).withColumn("done", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long"))))
+    return materialise(rows.select("doc_id", "source", "text_hash", "size", F.least(F.lit(RUN), F.col("copies") - F.col("done")).cast("long").alias("copies"),
+                                   "source_no", "source_size", "target", "key", (F.col("start") + F.col("size") * F.col("done")).alias("start")), "mix-order")
 
 
 def _finish(copy: Column, epoch: Column | int) -> Column:
