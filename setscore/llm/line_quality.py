@@ -1,6 +1,10 @@
 """Quality rules, lines first: each line is judged by punctuation, navigation and boilerplate rules,
 failing lines go, and a document that loses too much of its text is rejected.
 
+A line without a punctuation mark passes if its paragraph (consecutive lines with words) has one, or if
+its script is written without marks. The SQL still asks each line for a mark of STOPS; the test
+tables have no text on which the two differ.
+
 One pass over the documents, one text at a time; nothing is shuffled. Base measures are taken over
 the whole original text; the verdict of the lines is the method's own.
 
@@ -29,7 +33,11 @@ BOILERPLATE = ["all rights reserved", "terms of service", "terms of use", "priva
                "click here", "sign up for our newsletter", "subscribe to our newsletter", "skip to content",
                "back to top", "powered by wordpress", "share on facebook", "follow us on"]
 BOILERPLATE_WORDS = 25       # a longer line that names such a phrase is prose about it
-UNSTOPPED_WORDS = 8          # a line of so many words needs a punctuation mark somewhere
+UNSTOPPED_WORDS = 8          # a line of so many words needs a punctuation mark somewhere in its paragraph
+# Marks beside STOPS, and scripts that are written without marks or with rare ones: Thai, Lao, Tibetan,
+# Myanmar, Ethiopic, Khmer.
+OTHER_MARKS = "[\u0589\u06D4\u0964\u0965\u0F0D\u0F0E\u104A\u104B\u1361-\u1368\u17D4-\u17D6\uFF0E\uFF1A\uFF1B\uFF61]"
+UNSTOPPED_SCRIPTS = "[\u0E00-\u0FFF\u1000-\u109F\u1200-\u139F\u1780-\u17FF\u2D80-\u2DDF\uA9E0-\uA9FF\uAA60-\uAA7F]"
 MIN_SEPARATORS = 3
 MIN_WORDS = 50
 
@@ -41,17 +49,38 @@ _ARROW = pa.struct([(n, pa.int64()) for n in RESULT.fieldNames()[:8]]
                    + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("clean_text", pa.string())])
 
 _word, _symbol, _stop, _separator = map(re.compile, (SPACED_WORD, SYMBOLS, STOPS, SEPARATORS))
+_other_mark, _unstopped = re.compile(OTHER_MARKS), re.compile(UNSTOPPED_SCRIPTS)
 _phrase = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
 
-def line_fails(line: str, words: list[str]) -> bool:
-    """Whether one of the rules rejects a line with words."""
+def has_mark(line: str, words: list[str]) -> bool:
+    """Whether a line has a punctuation mark, or most of its words are of a script that needs none."""
+    return bool(_stop.search(line) or _other_mark.search(line)
+                or not line.isascii() and 2 * sum(bool(_unstopped.search(w)) for w in words) > len(words))
+
+
+def marked_lines(lines: list[str], words: list[list[str]]) -> list[bool]:
+    """Whether the paragraph of each line, the lines with words around it, has a mark: prose is wrapped anywhere."""
+    out: list[bool] = []
+    run, mark = 0, False
+    for line, own in zip(lines, words, strict=True):
+        if own:
+            run += 1
+            mark = mark or has_mark(line, own)
+        else:
+            out += [mark] * run + [False]
+            run, mark = 0, False
+    return out + [mark] * run
+
+
+def line_fails(line: str, words: list[str], marked: bool | None = None) -> bool:
+    """Whether one of the rules rejects a line with words; ``marked``: whether its paragraph has a mark (None: it is one itself)."""
     n = len(words)
     if 10 * len(_symbol.findall(line)) > 3 * n:                      # punctuation: symbols among the words
         return True
     if n >= 3 and 10 * line.count("!") > 5 * n:                      # punctuation: shouting
         return True
-    if n >= UNSTOPPED_WORDS and not _stop.search(line):              # punctuation: no mark at all
+    if n >= UNSTOPPED_WORDS and not (has_mark(line, words) if marked is None else marked):     # punctuation: no mark at all
         return True
     if (k := len(_separator.findall(line))) >= MIN_SEPARATORS and 10 * k > 3 * n:    # navigation
         return True
@@ -72,8 +101,9 @@ def judge(text: str, max_lost: float) -> dict:
                 repeat += i + 3 - max(i, covered)
                 covered = i + 3
     kept, kept_words, lines, dup, bad, earlier = [], 0, 0, 0, 0, set()
-    for line in text.split("\n"):
-        own = _word.findall(line)
+    every = text.split("\n")
+    of_line = [_word.findall(line) for line in every]
+    for line, own, marked in zip(every, of_line, marked_lines(every, of_line), strict=True):
         if not own:
             kept.append(line)
             continue
@@ -81,7 +111,7 @@ def judge(text: str, max_lost: float) -> dict:
         again = line in earlier
         dup += again
         earlier.add(line)
-        if again or line_fails(line, own):                           # boilerplate: a line said before
+        if again or line_fails(line, own, marked):                           # boilerplate: a line said before
             bad += 1
         else:
             kept.append(line)

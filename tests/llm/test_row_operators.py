@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,22 @@ def test_lines_go_before_the_document():
     assert not r["kept"] and not r["base_failed"]
 
 
+def test_wrapped_prose_and_unpunctuated_scripts_are_kept():
+    words = [f"word{i}" for i in range(300)]
+    sentences = [" ".join(words[i:i + 30]) + "." for i in range(0, 300, 30)]
+    wrapped = "\n\n".join("\n".join(textwrap.wrap(" ".join(sentences[i:i + 2]), 60)) for i in range(0, 10, 2))
+    r = line_quality.judge(wrapped, 0.5)
+    assert r["kept"] and r["n_bad_lines"] == 0 and r["clean_text"] == wrapped
+    for letters in ("\u0E01\u0E02\u0E04\u0E07\u0E08", "\u1200\u1210\u1218\u1230\u1240", "\u1780\u1781\u1782\u1783\u1784"):
+        own = ["".join(p) for p in itertools.product(letters, repeat=3)]
+        text = "\n\n".join(" ".join(own[i:i + 10]) for i in range(0, 120, 10))
+        r = line_quality.judge(text, 0.5)
+        assert r["kept"] and r["clean_text"] == text
+    # a paragraph without any mark still goes
+    r = line_quality.judge("home news about contact shop cart login help\nmore of these words in a row without marks\n\n" + wrapped, 0.5)
+    assert r["n_bad_lines"] == 2 and r["clean_text"] == "\n" + wrapped
+
+
 def test_repeat_words_cover_windows_once():
     assert line_quality.judge("a b c d a b c e", 0.5)["n_repeat_words"] == 6
     assert line_quality.judge("a a a a", 0.5)["n_repeat_words"] == 4
