@@ -2,7 +2,8 @@
 
 Every licence of a table gives rules by five templates (identifier tag, grant, name, address,
 header), each with a priority and a confidence. A rule runs only on texts that hold its keyword;
-one Aho-Corasick pass finds all keywords of a text. Detections are taken by priority, then length;
+one Aho-Corasick pass finds all keywords of a text, both with every run of other characters than letters
+and digits as one blank, so that wrapped and commented names count. Detections are taken by priority, then length;
 one that overlaps what is already taken, or lies within it, is suppressed.
 
 Base labels are places of three fixed word phrases; they always stay, beside the rules' labels.
@@ -107,6 +108,7 @@ TEMPLATES = [
 ]
 BASE_CONFIDENCE = 0.9
 _GAP = "[^a-z0-9]{1,4}"
+_blank = re.compile("[^a-z0-9]+")
 
 PLACE = T.StructType([T.StructField("label", T.StringType()), T.StructField("rule", T.StringType()),
                       T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -130,6 +132,7 @@ def rules() -> list[tuple[str, str, str, re.Pattern, int, float]]:
     for kind, template, keyword, priority, confidence in TEMPLATES:
         for label, own, name, url in LICENSES:
             word = keyword or (url.split("/")[0] if kind == "address" else own)
+            word = _blank.sub(" ", word)
             out.append((label, kind, word, re.compile(f"(?<![a-z0-9]){fill(template, label, name, url)}(?![a-z0-9])"), priority, confidence))
     return sorted(out, key=lambda r: -r[4])
 
@@ -160,9 +163,10 @@ class Scanner:
                 at += 1
         return out
 
-    def detections(self, text: str) -> list[tuple[int, int, str, str, float]]:
-        """(start, end, label, rule, confidence) by start, overlaps resolved; ``text`` is lower-cased."""
-        present = {word for _, word in self.keywords.iter(text)}
+    def detections(self, text: str, prefilter: bool = True) -> list[tuple[int, int, str, str, float]]:
+        """(start, end, label, rule, confidence) by start, overlaps resolved; ``text`` is lower-cased.
+        Without ``prefilter`` all rules run."""
+        present = {word for _, word in self.keywords.iter(_blank.sub(" ", text))} if prefilter else {r[2] for r in self.rules}
         if not present:
             return []
         found = [(-priority, m.start() - m.end(), m.start(), m.end(), k) for k, (_, _, word, pattern, priority, _) in enumerate(self.rules)

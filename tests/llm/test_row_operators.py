@@ -91,6 +91,29 @@ def test_labels(text, labels):
     assert licenses.Scanner().scan(text)["labels"] == labels
 
 
+def example(pattern: str) -> str:
+    """A text that a licence's name pattern matches."""
+    pattern = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", pattern)
+    return re.sub(r"\bV\b", "version", pattern.replace("LIC", "license")).replace(" ?", " ").replace("?", "").replace("[1-4]", "4")
+
+
+@pytest.mark.parametrize("gap", ["\n * ", "  ", "\n# ", "\r\n//", "-", " "])
+def test_prefilter_is_necessary(gap):
+    scanner = licenses.Scanner()
+    missed = []
+    for label, _, name, url in licenses.LICENSES:
+        for text in (f"spdx license identifier {label}", f"licensed under the {example(name)}", f"https://www.{url}", f"license is {example(name)}", example(name)):
+            low = text if url in text else text.replace(" ", gap)
+            off = scanner.detections(low, prefilter=False)
+            if not off or scanner.detections(low) != off:
+                missed.append((label, low))
+    assert missed == []
+
+
+def test_wrapped_header():
+    assert licenses.Scanner().scan("This is under the GNU General\n * Public License, version 3 of it")["labels"] == ["gpl-3.0"]
+
+
 def test_rules_find_their_own_names_and_none_overlap():
     s = licenses.Scanner()
     assert len(s.rules) >= 200
