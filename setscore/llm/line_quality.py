@@ -80,7 +80,8 @@ def line_fails(line: str, words: list[str], marked: bool | None = None) -> bool:
         return True
     if n >= 3 and 10 * line.count("!") > 5 * n:                      # punctuation: shouting
         return True
-    if n >= UNSTOPPED_WORDS and not (has_mark(line, words) if marked is None else marked):     # punctuation: no mark at all
+    # punctuation: no mark at all; a line that mostly repeats words can't use a mark of its paragraph
+    if n >= UNSTOPPED_WORDS and not (marked and 2 * len(set(words)) > n or has_mark(line, words)):
         return True
     if (k := len(_separator.findall(line))) >= MIN_SEPARATORS and 10 * k > 3 * n:    # navigation
         return True
