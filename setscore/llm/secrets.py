@@ -30,7 +30,8 @@ from setscore.llm.common import materialise, table
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}"
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+# '=' is padding at a token's end only, so the value of name=value is a token of its own
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 KEYWORD = "(?i)password|passwd|secret|token|api_?key"
 KINDS = ["assign", "access", "hex", "random"]
 
