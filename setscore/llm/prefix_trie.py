@@ -29,6 +29,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setscore.llm.common import materialise, shared_folder, table
 
@@ -216,7 +217,7 @@ def trie(conversations: DataFrame) -> DataFrame:
         nodes = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
     if nodes is None:
         return spark.createDataFrame([], RESULT)
-    every = spark.read.schema(schema.add("depth", "long")).parquet(folder)
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("depth", T.LongType())])).parquet(folder)
     every = every.select(*_NODE[1:], "depth", last["key"].alias("key"), F.when(F.size("chain") > 1, F.element_at("chain", -2)["key"]).alias("parent_key"))
     parents = every.where("n_children > 0").select(F.col("key").alias("of"), F.col("conv_id").alias("parent_conv_id"))
     empty = hashlib.sha256(b"").hexdigest()
@@ -251,7 +252,7 @@ z AS (SELECT conv_id, max(depth) AS depth FROM pre GROUP BY 1),
 n AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM pre GROUP BY key),
 k AS (SELECT substr(key, 1, length(key) - 64) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
 u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
-s AS (SELECT pre.key, sum((u.n_convs - 1) * u.size)::BIGINT AS saved_tokens, count(*) FILTER (u.n_children = 0) AS n_leaves
+s AS (SELECT pre.key, sum((u.n_convs - 1) * u.size)::BIGINT AS saved_tokens, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves
       FROM u JOIN pre ON pre.conv_id = u.conv_id AND pre.depth <= u.depth GROUP BY pre.key),
 e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM pre JOIN z USING (conv_id, depth) GROUP BY key)
 SELECT u.conv_id, u.depth, q.conv_id AS parent_conv_id, u.n_convs, u.n_children, s.n_leaves, s.saved_tokens,
