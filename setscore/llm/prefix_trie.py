@@ -1,19 +1,21 @@
 """Prefix trie of conversations by truncation peeling.
 
 Every turn becomes a digest, every conversation a chain of keys: a key stands for all turns up to its
-own. Peeling begins at the greatest depth. A level groups the conversations that end there with what
-the level below left, which gives the level's nodes and adds up their subtrees at once; then every
-node loses its last turn and goes on to the next level as one row. A conversation is therefore one row
-where it ends, and a common beginning one row per level, however many conversations share it.
+own. Peeling begins at the greatest depth: the conversations that end at a depth and what the depth
+below left are grouped, which gives nodes and adds up their subtrees at once; then every node loses its
+last turn and goes on as one row. A conversation is therefore one row where it ends, and a common
+beginning one row per level, however many conversations share it.
 
-Chains are kept in segments of ``SPAN`` turns. A node carries the keys of its segment; where these are
-used up, the segment above comes from the node's smallest member by a join. So a level moves a bounded
-row per node. Each level is a written stage; there are as many as the longest conversation has turns.
+Depths at which nothing merges need no regrouping: a depth where the different keys are as many as the
+keys below it and the ends at it together. Between two merging depths a row is stripped of all its turns
+in one step, and the nodes on its way come from the turns of its smallest member, with the same members
+and leaves, and savings by prefix sums of the turns' bytes. So there is one stage per merging depth, not
+per turn of the longest conversation, and every turn is read once.
 
 The turns of a conversation and of those that borrow from it meet in one partition and are streamed
-in order; a task holds the first turns of one conversation and a segment, whatever the lengths. Ends
-are hashed from a range sort: runs of ids are joined to chunks by many tasks, and a node's chunks are
-fed through SHA-256 in order, so no list of ids is held.
+in order; a task holds the first turns of one conversation, whatever the lengths. Ends are hashed from
+a range sort: runs of ids are joined to chunks by many tasks, and a node's chunks are fed through
+SHA-256 in order, so no list of ids is held.
 
 Nulls: a null role or text is empty, a null turn comes first; rows with a null conv_id belong to no
 conversation and are left out. Turns of equal number are ordered by the digest of their role and text;
@@ -25,48 +27,44 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from setscore.llm.common import materialise, shared_folder, table
+from setscore.llm.common import materialise, table
 
 FAMILY = 5                   # conversations that begin with turns of one of them
 BORROWED = 9                 # a conversation borrows fewer turns than this
-SPAN = 8                     # turns of a segment
 CHUNK = 4_096                # ids joined to one string
 ROWS = 2_048                 # rows of an Arrow batch that a task gives out
 
-KEY = pa.struct([("key", pa.binary()), ("size", pa.int64())])
-SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("depth", pa.int64()), ("ended", pa.bool_()), ("chain", pa.list_(KEY))])
-SEGMENTS_DDL = "conv_id long, segment long, depth long, ended boolean, chain array<struct<key:binary,size:long>>"
-ROOT = {"key": b"", "size": 0}
+TURNS = pa.schema([("conv_id", pa.int64()), ("depth", pa.int64()), ("key", pa.binary()), ("parent_key", pa.binary()), ("size", pa.int64()),
+                   ("upto", pa.int64()), ("ended", pa.bool_())])
+TURNS_DDL = "conv_id long, depth long, key binary, parent_key binary, size long, upto long, ended boolean"
 
 
 def borrowed_turns(conv_id: int) -> int:
     return zlib.crc32(str(conv_id).encode()) % BORROWED
 
 
-def _segments(conv_id: int, turns):
-    """The segments of one rebuilt conversation; the last one is where it ends."""
-    chain, segment, depth = [ROOT], 0, 0
-    held = None                  # a full segment, until it is known whether the conversation goes on
+def _chain(conv_id: int, turns):
+    """The rows of one rebuilt conversation, the root's first."""
+    row = (conv_id, 0, b"", None, 0, 0)
     for digest, size in turns:
-        if held:
-            yield {**held, "ended": False}
-            chain, segment, held = [chain[-1]], segment + 1, None
-        depth += 1
-        key = hashlib.blake2b(chain[-1]["key"] + digest, digest_size=16).digest()
-        chain.append({"key": key, "size": size})
-        if len(chain) > SPAN:
-            held = {"conv_id": conv_id, "segment": segment, "depth": depth, "chain": chain}
-    yield {"conv_id": conv_id, "segment": segment, "depth": depth, "ended": True, "chain": chain}
+        yield (*row, False)
+        _, depth, key, _, _, upto = row
+        row = (conv_id, depth + 1, hashlib.blake2b(key + digest, digest_size=16).digest(), key, size, upto + size)
+    yield (*row, True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _rebuild(batches):
-    """Segments of all conversations, from turns sorted by family, its first conversation, conv_id and turn."""
+    """The rows of all rebuilt conversations, from turns sorted by family, its first conversation, conv_id and turn."""
     def rows():
         for batch in batches:
             yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
@@ -106,18 +104,18 @@ def _rebuild(batches):
 
     out = []
     for conv_id, parts in conversations():
-        for segment in _segments(conv_id, (turn for part in parts for turn in part)):
-            out.append(segment)
+        for row in _chain(conv_id, (turn for part in parts for turn in part)):
+            out.append(row)
             if len(out) == ROWS:
-                yield pa.RecordBatch.from_pylist(out, schema=SEGMENTS)
+                yield _batch(out, TURNS)
                 out = []
     if out:
-        yield pa.RecordBatch.from_pylist(out, schema=SEGMENTS)
+        yield _batch(out, TURNS)
 
 
-def segments(conversations: DataFrame) -> DataFrame:
-    """(conv_id, segment, depth, ended, chain) of the rebuilt conversations: the keys of a segment's
-    turns after the key before them, with the bytes of each turn's text."""
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """(conv_id, depth, key, parent_key, size, upto, ended): the rebuilt conversations' turns after a root's
+    row; size is the bytes of the turn's text, upto those of all texts up to it."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     digest = F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256))
     conv_id = F.col("conv_id").cast("long")
@@ -126,7 +124,7 @@ def segments(conversations: DataFrame) -> DataFrame:
         F.octet_length(text).cast("long").alias("size"), F.col("turn").alias("turn"))
     ordered = turns.repartition("family").sortWithinPartitions(
         "family", F.col("conv_id") != F.col("family"), "conv_id", F.col("turn").asc_nulls_first(), "digest")
-    return ordered.select("family", "conv_id", "digest", "size").mapInArrow(_rebuild, SEGMENTS_DDL)
+    return ordered.select("family", "conv_id", "digest", "size").mapInArrow(_rebuild, TURNS_DDL)
 
 
 def _chunks(batches):
@@ -173,56 +171,64 @@ def _hashed(batches):
         yield pa.RecordBatch.from_pylist([{"end_key": key, "ends_sha256": state.hexdigest()}], schema=schema)
 
 
-def ends(found: DataFrame) -> DataFrame:
+def ends(turns: DataFrame) -> DataFrame:
     """(end_key, ends_sha256) of every node at which conversations end."""
-    rows = found.where("ended").select(F.element_at("chain", -1)["key"].alias("key"), "conv_id")
+    rows = turns.where("ended").select("key", "conv_id")
     chunks = rows.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_chunks, "key binary, first_id long, ids string")
     ordered = chunks.repartition("key").sortWithinPartitions("key", "first_id").select("key", "ids")
     return ordered.mapInArrow(_hashed, "end_key binary, ends_sha256 string")
 
 
-_NODE = ["chain", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+def merging_depths(turns: DataFrame) -> list[int]:
+    """Depths, greatest first, at which a node has more than one child or a child and an end; 0 is always the last."""
+    keys = turns.groupBy("depth", "key").agg(F.max(F.col("ended").cast("int")).alias("ends"))
+    levels = keys.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum("ends").alias("ends"))
+    below = levels.select((F.col("depth") - 1).alias("over"), F.col("n").alias("n_below"))
+    merging = levels.join(below, F.col("depth") == F.col("over"), "left").where((F.coalesce("n_below", F.lit(0)) + F.col("ends") > F.col("n")) | (F.col("depth") == 0))
+    return sorted((r.depth for r in merging.select("depth").collect()), reverse=True)
 
 
-def _peeled(nodes: DataFrame, found: DataFrame, depth: int) -> DataFrame:
-    """Rows for level ``depth`` from the nodes of the level below: their last turn is gone."""
-    up = nodes.withColumn("chain", F.slice("chain", 1, F.size("chain") - 1))
-    if depth and depth % SPAN == 0:          # the segment is used up
-        above = found.where((F.col("segment") == depth // SPAN - 1) & (F.col("depth") == depth)).select(F.col("conv_id").alias("member"), F.col("chain").alias("above"))
-        up = up.join(above, F.col("conv_id") == F.col("member")).withColumn("chain", F.col("above"))
-    return up.select("chain", "conv_id", "n_convs", F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens")
+_NODE = ["conv_id", "depth", "key", "parent_key", "size", "upto", "n_convs", "n_children", "n_leaves", "saved_tokens"]
 
 
 def trie(conversations: DataFrame) -> DataFrame:
     """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    spark = conversations.sparkSession
-    found = materialise(segments(conversations), "trie-segments")
-    deepest = found.agg(F.max("depth")).first()[0]
-    folder = shared_folder(spark, "trie-nodes")
-    zero = F.lit(0).cast("long")
-    last = F.element_at("chain", -1)
-    nodes, schema = None, None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        # only the conversations that end here, and what the level below left
-        rows = found.where(F.col("ended") & (F.col("depth") == depth)).select(
-            "chain", "conv_id", (zero + 1).alias("n_convs"), zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens"))
-        if nodes is not None:
-            rows = rows.unionByName(_peeled(nodes, found, depth))
-        # a full segment's last key is also the one that the next segment begins with: the chain itself tells nodes apart
-        level = rows.groupBy("chain").agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in _NODE[2:]])
-        level = level.withColumns({"n_leaves": F.when(F.col("n_children") == 0, 1).otherwise(F.col("n_leaves")).cast("long"),
-                                   "saved_tokens": F.col("saved_tokens") + (F.col("n_convs") - 1) * last["size"]})
-        level.write.parquet(f"{folder}/depth={depth}")
-        schema = level.schema
-        nodes = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
-    if nodes is None:
-        return spark.createDataFrame([], RESULT)
-    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("depth", T.LongType())])).parquet(folder)
-    every = every.select(*_NODE[1:], "depth", last["key"].alias("key"), F.when(F.size("chain") > 1, F.element_at("chain", -2)["key"]).alias("parent_key"))
+    turns = materialise(rebuilt(conversations).sortWithinPartitions("depth"), "trie-turns")
+    depths = merging_depths(turns)
+    if not depths:
+        return conversations.sparkSession.createDataFrame([], RESULT)
+    one = F.lit(1).cast("long")
+    own = (F.col("n_convs") - 1) * F.col("size")
+    # conversations with the same turns end as one row
+    leaves = turns.where("ended").groupBy("key", "parent_key", "depth", "size", "upto").agg(F.min("conv_id").alias("conv_id"), F.count(one).alias("n_convs"))
+    leaves = materialise(leaves.withColumns({"n_children": one - 1, "n_leaves": one, "saved_tokens": own}).select(*_NODE).sortWithinPartitions("depth"), "trie-ends")
+    nodes, every = None, []
+    for before, depth in zip([None, *depths], depths, strict=False):
+        # what the merging depth before left, and what ends between that and this one, go up to this one
+        up = leaves.where(F.col("depth") > depth)
+        if before is not None:
+            up = up.where(F.col("depth") < before).unionByName(nodes)
+        every.append(up.where(F.col("depth") < before) if before is not None else up)
+        member = up.select(F.col("conv_id").alias("member"), F.col("depth").alias("top"), (F.col("upto") - F.col("size")).alias("over"),
+                           "n_convs", "n_leaves", "saved_tokens")
+        way = turns.where(F.col("depth") >= depth)
+        if before is not None:
+            way = way.where(F.col("depth") < before)
+        way = way.join(member, (F.col("conv_id") == F.col("member")) & (F.col("depth") < F.col("top")))
+        passed = (F.col("n_convs") - 1) * (F.col("over") - F.col("upto"))          # by the turns between
+        on_way = way.withColumns({"n_children": one, "saved_tokens": F.col("saved_tokens") + passed})
+        on_way = materialise(on_way.select(*_NODE), "trie-way")
+        every.append(on_way.where(F.col("depth") > depth).withColumn("saved_tokens", F.col("saved_tokens") + own))
+        here = on_way.where(F.col("depth") == depth).unionByName(leaves.where(F.col("depth") == depth).withColumns({"n_leaves": one - 1, "saved_tokens": one - 1}))
+        level = here.groupBy("key", "parent_key", "depth", "size", "upto").agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in _NODE[6:]])
+        level = level.withColumns({"n_leaves": F.when(F.col("n_children") == 0, 1).otherwise(F.col("n_leaves")).cast("long"), "saved_tokens": F.col("saved_tokens") + own})
+        nodes = materialise(level.select(*_NODE), "trie-nodes")
+        every.append(nodes)
+    every = materialise(reduce(DataFrame.unionByName, every), "trie-every")
     parents = every.where("n_children > 0").select(F.col("key").alias("of"), F.col("conv_id").alias("parent_conv_id"))
     empty = hashlib.sha256(b"").hexdigest()
-    out = every.join(parents, F.col("parent_key") == F.col("of"), "left").join(ends(found), F.col("key") == F.col("end_key"), "left")
-    return out.select("conv_id", "depth", "parent_conv_id", *_NODE[2:], F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"))
+    out = every.join(parents, F.col("parent_key") == F.col("of"), "left").join(ends(turns), F.col("key") == F.col("end_key"), "left")
+    return out.select("conv_id", "depth", "parent_conv_id", *_NODE[6:], F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"))
 
 
 RESULT = ("conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")

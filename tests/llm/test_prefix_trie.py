@@ -44,7 +44,6 @@ def found(df):
 
 
 def test_random_conversations(spark, monkeypatch):
-    monkeypatch.setattr(prefix_trie, "SPAN", 3)
     monkeypatch.setattr(prefix_trie, "CHUNK", 2)
     monkeypatch.setattr(prefix_trie, "ROWS", 4)
     rnd = random.Random(5)
@@ -68,3 +67,12 @@ def test_a_family_of_copies_and_an_empty_table(spark):
     got = found(prefix_trie.trie(spark.createDataFrame(rows, DDL)))
     assert got == brute(rows) and len(got) == 5 and got[0][3] == 300
     assert prefix_trie.trie(spark.createDataFrame([], DDL)).collect() == []
+
+
+def test_long_conversations_merge_at_few_depths(spark):
+    long = [(f"t{k}", f"x{k % 7}") for k in range(400)]
+    rows = [(5 * c, t, r, x) for c in range(3) for t, (r, x) in enumerate(long)]
+    rows += [(15, t, r, x) for t, (r, x) in enumerate(long[:250])] + [(20, t, r, x + ("!" if t >= 300 else "")) for t, (r, x) in enumerate(long)]
+    df = spark.createDataFrame(rows, DDL)
+    assert prefix_trie.merging_depths(prefix_trie.rebuilt(df)) == [300, 250, 0]
+    assert found(prefix_trie.trie(df)) == brute(rows)
