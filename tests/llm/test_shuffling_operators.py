@@ -17,7 +17,7 @@ from setscore.llm import contamination, line_quality, mixing, sharding, warc
 from setscore.llm.common import shared_folder
 from tests.conftest import SF0001
 from tests.llm.conftest import ROWS
-from tests.llm.test_simhash import brute_classes
+from tests.llm.test_similar import brute_kept
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -178,7 +178,7 @@ def test_stages_against_plain_python(spark):
 
     one = stages["near_duplicates"](spark, good, SF0001)
     pairs = sorted(want)
-    assert {r.doc_id for r in one.collect()} == {c for _, _, c in brute_classes(pairs)} and one.columns == docs.columns
+    assert {r.doc_id for r in one.collect()} == brute_kept(pairs) and one.columns == docs.columns
 
     kept = {r.doc_id: r.text for r in one.collect()}
     grams = {tuple(w[i:i + min(10, len(w))]) for _, t in items if (w := words_of(t)) for i in range(len(w) - min(10, len(w)) + 1)}
