@@ -1,22 +1,21 @@
 """Gene-set scoring (G0-G7): the GSVA statistic as Spark stages.
 
-Input ``expr(unit, gene, value)`` is a complete long matrix (every gene has a
-value in every unit, as the pseudobulk matrix the reference scores).
+Input ``expr(unit, gene, value)`` is a long matrix: complete (every gene has a
+value in every unit), or sparse with absent values standing for zero, as the
+saved pseudobulk is (:func:`score_sparse`, no matrix is completed).
 Output ``scores(unit, set_name, score)`` with scores in [-1, 1].
 
 Stages and their shuffles:
 
-* G1 ``gene_stats``      groupBy(gene) with partial aggregation: n, sample sd;
-  constant genes dropped, NULL and NaN values left out. One row per gene, joined
-  back by size.
-* G2 ``kernel_cdf``      z_gu = (1/n) sum_k Phi((x_gu - x_gk) / h_g), h_g = sd_g / 4.
-  Each gene's units are hashed into blocks of about ``block_rows``; Spark
-  shuffles (gene, block_j, block_k) tiles and a vectorised NumPy kernel sums
-  one bounded tile per group. No per-pair rows are emitted and no gene is
-  ever held whole by one task. Partial sums are shuffled once by unit and
-  added back in Spark.
-* W4/G3 ``rank_genes``   window over unit on that same partitioning (no new
-  shuffle); position by z descending (ties: gene), weight r = |p - pos + 1 - p/2| ** tau.
+* G1 ``gene_stats``      groupBy(gene) with partial aggregation: n, sample sd, least
+  value; constant genes dropped, NULL, NaN and infinite values left out. One row per
+  gene, joined back by size.
+* G2 ``kernel_cdf``      z_gu = (1/n) sum_k Phi((x_gu - x_gk) / h_g), h_g = sd_g / 4,
+  in time linear in the rows, by Taylor expansion per cell of half a bandwidth (see
+  :func:`cell_expansions`). Rows become moments of their cell in a partial aggregate;
+  only cells are translated; a row's z is one polynomial, evaluated in the JVM.
+* W4/G3 ``rank_genes``   window over unit; position by z descending (ties: gene),
+  weight r = |p - pos + 1 - p/2| ** tau.
 * G4/G5 ``walk_scores``  hits only: with m set genes at positions l_1 < ... < l_m,
   W_k the normalised running weight and pen_k = (l_k - k)/(p - m), the walk's
   extremes are max_k(W_k - pen_k) and min_k(W_{k-1} - pen_k); the score is
@@ -25,126 +24,174 @@ Stages and their shuffles:
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from setscore.functions.stats import AS_B, AS_P, INV_SQRT_2PI
+from setscore.functions import stats as normal
+from setscore.operators import ranks
 from setscore.operators.joins import work_partitions
+from setscore.session import cut_lineage
 
-# The tile kernel runs in Python workers. Pickle this module's functions by
-# value so workers need no copy of the package on their path.
+# The cells' expansions are translated in Python workers. Pickle these modules'
+# functions by value so workers need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(normal)
 
 # z is rounded before ranking so that last-bit differences in the summation
 # order (partitioning, engine) cannot reorder genes.
 Z_DIGITS = 9
 
+# Expansions: a cell is CELL bandwidths wide; terms up to ORDER. Two points of two
+# cells lie within CELL of their centres' distance, so the first term left out is at
+# most 0.44 * CELL ** 21 / sqrt(21 * 21!) < 7e-18 of a source (Cramer's bound on
+# Hermite functions). Beyond REACH cells (9 bandwidths) Phi is 0 or 1 to 1e-18.
+CELL = 0.5
+ORDER = 20
+REACH = 18
+_MOMENTS = [f"m{i}" for i in range(ORDER + 1)]
+_COEFFICIENTS = [f"c{i}" for i in range(ORDER + 1)]
 
-def _present(expr: DataFrame) -> DataFrame:
-    """Rows with a number: a NULL or NaN value takes no part in its gene's distribution."""
-    return expr.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
+def _present(expr: DataFrame) -> DataFrame:
+    """Rows with a number: a NULL, NaN or infinite value takes no part in its gene's distribution."""
+    return expr.where(_is_number("value"))
 
-def gene_stats(expr: DataFrame) -> DataFrame:
-    """G1: (gene, n, sd, h) for genes that vary across units."""
-    s = _present(expr).groupBy("gene").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"))
-    return s.where(F.col("sd") > 0).withColumn("h", F.col("sd") / 4.0)
 
+def _is_number(value: str) -> Column:
+    return F.coalesce(F.abs(F.col(value)) < float("inf"), F.lit(False))
 
-def _phi_np(u: np.ndarray) -> np.ndarray:
-    """Phi(u), the NumPy twin of functions.stats.phi (same polynomial)."""
-    a = np.abs(u)
-    t = 1.0 / (1.0 + AS_P * a)
-    b1, b2, b3, b4, b5 = AS_B
-    tail = np.exp(-0.5 * a * a) * INV_SQRT_2PI * (t * (b1 + t * (b2 + t * (b3 + t * (b4 + t * b5)))))
-    return np.where(u >= 0, 1.0 - tail, tail)
 
+def gene_stats(expr: DataFrame, units: Column | None = None) -> DataFrame:
+    """G1: (gene, n, sd, h, lo, zeros, zero_lo) for genes that vary across units.
 
-# Columns of the right block processed at a time: keeps the temporaries of one
-# step (rows x 128 doubles) in cache instead of streaming rows x block_rows.
-_CHUNK = 128
+    ``units``, the number of all units, makes the rows sparse: every unit that a gene has no row of
+    counts as a value of zero. ``zeros`` is how many there are. NULL values are absent, NaN and
+    infinite ones take no part.
+    """
+    ok = _is_number("value")
+    value = F.when(ok, F.col("value"))
+    absent = F.lit(0).cast("long") if units is None else units - F.count("value")
+    s = expr.groupBy("gene").agg(F.count(value).alias("k"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"),
+                                 F.min(value).alias("least"), absent.alias("zeros"))
+    n, k, z = F.col("k") + F.col("zeros"), F.col("k").cast("double"), F.col("zeros").cast("double")
+    # squared deviations of the rows and of a block of zeros, about their common mean
+    spread = F.coalesce(F.col("var") * k + F.when(z > 0, F.col("mean") * F.col("mean") * (k * z / n)).otherwise(0.0), F.lit(0.0))
+    sd = F.sqrt(F.try_divide(spread, n - 1))
+    least = F.when(F.col("zeros") > 0, F.least(F.col("least"), F.lit(0.0))).otherwise(F.col("least"))
+    s = s.select("gene", n.alias("n"), sd.alias("sd"), (sd / 4.0).alias("h"), least.alias("lo"), "zeros")
+    return s.where((F.col("sd") > 0) & (F.col("h") > 0) & (F.col("sd") < float("inf")))
+
+
+def _placed(value: Column) -> tuple[Column, Column]:
+    """A value's cell, and its offset from the cell's centre in bandwidths (-CELL/2 to CELL/2)."""
+    scaled = (value - F.col("lo")) / F.col("h")
+    cell = F.floor(scaled / CELL)
+    return cell, scaled - (cell + 0.5) * CELL
+
+
+def _powers(u: Column, weight: Column) -> list[Column]:
+    """weight * u ** i for i = 0 .. ORDER."""
+    out = [weight]
+    for _ in range(ORDER):
+        out.append(out[-1] * u)
+    return out
 
 
-def _phi_row_sums(x: np.ndarray, right: np.ndarray, h: float) -> np.ndarray:
-    """sum_k Phi((x_j - right_k) / h) for every j, in place and cache-blocked.
+def translations() -> np.ndarray:
+    """(2 REACH + 1, ORDER + 1, ORDER + 1): for a target cell d cells above a source cell, the
+    factors that turn the source's moments mu_i into the target's coefficients.
 
-    Phi(u) = 1 - tail(|u|) for u >= 0 and tail(|u|) otherwise, so a row sum is
-    #(u >= 0) plus the tails signed by -u.
+    sum_k Phi(T + v - u_k), T = d * CELL, expanded in v - u: the coefficient of v ** j is
+    sum_i Phi^(i+j)(T) / (i! j!) (-1) ** i mu_i, with Phi^(m)(T) = (-1) ** (m-1) He_(m-1)(T) phi(T).
     """
-    b1, b2, b3, b4, b5 = AS_B
-    out = np.zeros(len(x))
-    for start in range(0, len(right), _CHUNK):
-        u = np.subtract.outer(x, right[start:start + _CHUNK])
-        u /= h
-        a = np.abs(u)
-        t = a * AS_P
-        t += 1.0
-        np.reciprocal(t, out=t)
-        q = t * b5
-        for b in (b4, b3, b2, b1):
-            q += b
-            q *= t
-        a *= a
-        a *= -0.5
-        np.exp(a, out=a)
-        a *= INV_SQRT_2PI
-        q *= a
-        np.copysign(q, -u, out=q)
-        out += q.sum(axis=1)
-        out += (u >= 0).sum(axis=1)
+    t = np.arange(-REACH, REACH + 1) * CELL
+    derivative = np.zeros((ORDER + 1, len(t)))
+    derivative[0] = normal.phi_np(t)
+    he = [np.ones_like(t), t]
+    for m in range(1, ORDER):
+        he.append(t * he[m] - m * he[m - 1])
+    density = np.exp(-0.5 * t * t) / normal.ROOT_2PI
+    for m in range(1, ORDER + 1):
+        derivative[m] = (-1) ** (m - 1) * he[m - 1] * density
+    out = np.zeros((len(t), ORDER + 1, ORDER + 1))
+    for j in range(ORDER + 1):
+        for i in range(ORDER + 1 - j):
+            out[:, j, i] = derivative[i + j] * (-1) ** i / (math.factorial(i) * math.factorial(j))
     return out
 
 
-def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One (gene, block_j, block_k) tile: sum_k Phi((x_j - x_k)/h) for each j row."""
-    left = pdf[pdf["side"] == 0]
-    if left.empty:   # a right block replicated to an empty left block
-        return pd.DataFrame({"gene": pd.Series([], dtype=object), "unit": pd.Series([], dtype=object),
-                             "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
-    right = pdf.loc[pdf["side"] == 1, "value"].to_numpy(dtype=np.float64)
-    x = left["value"].to_numpy(dtype=np.float64)
-    s = _phi_row_sums(x, right, float(left["h"].iloc[0]))
-    return pd.DataFrame({"gene": left["gene"].to_numpy(), "unit": left["unit"].to_numpy(), "s": s,
-                         "n": left["n"].to_numpy(dtype=np.int64)})
+def _translate(cells: np.ndarray, moments: np.ndarray) -> np.ndarray:
+    """Coefficients of every cell from the moments of all, cells ascending."""
+    out = np.zeros_like(moments)
+    # all sources that lie more than REACH cells below count whole
+    below = np.concatenate([[0.0], np.cumsum(moments[:, 0])])
+    out[:, 0] = below[np.searchsorted(cells, cells - REACH)]
+    table = translations()
+    for d in range(-REACH, REACH + 1):
+        source = np.searchsorted(cells, cells - d)
+        hit = np.flatnonzero((source < len(cells)) & (cells[np.minimum(source, len(cells) - 1)] == cells - d))
+        out[hit] += moments[source[hit]] @ table[d + REACH].T
+    return out
+
 
+def _expand(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cells of one gene: moments to coefficients."""
+    pdf = pdf.sort_values("cell")
+    found = _translate(pdf["cell"].to_numpy(np.int64), pdf[_MOMENTS].to_numpy(np.float64))
+    out = pd.DataFrame(found, columns=_COEFFICIENTS)
+    out.insert(0, "cell", pdf["cell"].to_numpy())
+    out.insert(0, "gene", pdf["gene"].to_numpy())
+    return out
 
-def kernel_cdf(expr: DataFrame, stats: DataFrame | None = None, block_rows: int = 2048,
-               partitions: int | None = None) -> DataFrame:
-    """(unit, gene, z) Gaussian-kernel CDF of each value within its gene.
 
-    The result is hash-partitioned by ``unit``, the key of the ranking window
-    that consumes it, so ranking needs no further shuffle.
+def cell_expansions(expr: DataFrame, stats: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(cell_gene, cell_no, c0 ... c20): per gene and cell the polynomial in a value's offset that sums
+    the kernel over all of the gene's values; the gene's zeros are one weighted value.
+
+    A gene has few cells: its values span at most sd * sqrt(2 n), so no more than 8 * sqrt(2 n) + 1,
+    whatever their distribution. One task takes the cells of a gene; rows are only ever pre-aggregated.
     """
+    cell, u = _placed(F.col("value"))
+    rows = _present(expr).join(stats.select("gene", "h", "lo"), "gene").select("gene", cell.alias("cell"), u.alias("u"), F.lit(1.0).alias("w"))
+    zero_cell, zero_u = _placed(F.lit(0.0))
+    zeros = stats.where(F.col("zeros") > 0).select("gene", zero_cell.alias("cell"), zero_u.alias("u"), F.col("zeros").cast("double").alias("w"))
+    powers = _powers(F.col("u"), F.col("w"))
+    moments = rows.unionByName(zeros).groupBy("gene", "cell").agg(*[F.sum(p).alias(m) for p, m in zip(powers, _MOMENTS, strict=True)])
+    kind = T.StructType([moments.schema["gene"], moments.schema["cell"], *[T.StructField(c, T.DoubleType()) for c in _COEFFICIENTS]])
+    # few bytes and much work for each: as many tasks as the cluster runs
+    spread = moments.repartition(partitions or work_partitions(expr), "gene")
+    return spread.groupBy("gene").applyInPandas(_expand, kind).withColumnsRenamed({"gene": "cell_gene", "cell": "cell_no"})
+
+
+def _horner() -> Column:
+    out = F.col(_COEFFICIENTS[-1])
+    for c in reversed(_COEFFICIENTS[:-1]):
+        out = out * F.col("u") + F.col(c)
+    return out
+
+
+def _evaluated(rows: DataFrame, expansions: DataFrame) -> DataFrame:
+    """``rows`` (gene, value, n, h, lo, ...) with z."""
+    cell, u = _placed(F.col("value"))
+    rows = rows.withColumns({"cell": cell, "u": u})
+    found = rows.join(expansions, (F.col("gene") == F.col("cell_gene")) & (F.col("cell") == F.col("cell_no")))
+    return found.withColumn("z", _horner() / F.col("n"))
+
+
+def kernel_cdf(expr: DataFrame, stats: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """(unit, gene, z) Gaussian-kernel CDF of each value within its gene."""
     stats = gene_stats(expr) if stats is None else stats
+    expansions = cell_expansions(expr, stats, partitions)
     # one row per gene: adaptive execution broadcasts it while it is small
-    a = (_present(expr).join(stats.select("gene", "n", "h"), "gene")
-             .withColumn("nb", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
-             .withColumn("blk", F.pmod(F.xxhash64("unit"), F.col("nb")).cast("int")))
-    # One pass emits both roles of a row: i < nb -> left row of tile (blk, i);
-    # i >= nb -> right row of tile (i - nb, blk).
-    i = F.col("i")
-    is_left = i < F.col("nb")
-    tiles_in = a.select("gene", "unit", "value", "h", "n", "nb", "blk",
-                        F.explode(F.sequence(F.lit(0), 2 * F.col("nb") - 1)).alias("i"))
-    tiles_in = tiles_in.select(
-        "gene",
-        F.when(is_left, F.col("blk")).otherwise(i - F.col("nb")).alias("bj"),
-        F.when(is_left, i).otherwise(F.col("blk")).alias("bk"),
-        F.when(is_left, F.lit(0)).otherwise(F.lit(1)).alias("side"),
-        F.when(is_left, F.col("unit")).alias("unit"), "value",
-        F.when(is_left, F.col("h")).alias("h"), F.when(is_left, F.col("n")).alias("n"))
-    nparts = partitions or work_partitions(expr)
-    # explicit count: the tiles are few bytes but O(n^2) work, so AQE must not coalesce them
-    tiles = tiles_in.repartition(nparts, "gene", "bj", "bk")
-    partial = tiles.groupBy("gene", "bj", "bk").applyInPandas(
-        _tile_sums, "gene string, unit string, s double, n long")
-    return (partial.repartition(nparts, "unit")
-                   .groupBy("unit", "gene").agg((F.sum("s") / F.max("n")).alias("z")))
+    rows = _present(expr).join(stats, "gene")
+    return _evaluated(rows, expansions).select("unit", "gene", "z")
 
 
 def rank_genes(z: DataFrame, tau: float = 1.0) -> DataFrame:
@@ -178,25 +225,22 @@ def walk_scores(ranked: DataFrame, gene_sets: DataFrame) -> DataFrame:
     return agg.select("unit", "set_name", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
-def rank_matrix(expr: DataFrame, tau: float = 1.0, block_rows: int = 2048) -> DataFrame:
+def rank_matrix(expr: DataFrame, tau: float = 1.0) -> DataFrame:
     """(unit, gene, z, pos, p, r), independent of any gene set.
 
     Persist or checkpoint it to score many gene-set tables with
     :func:`walk_scores` alone.
     """
-    return rank_genes(kernel_cdf(expr, gene_stats(expr), block_rows=block_rows), tau)
+    return rank_genes(kernel_cdf(expr), tau)
 
 
-def score_gene_sets(expr: DataFrame, gene_sets: DataFrame, tau: float = 1.0,
-                    block_rows: int = 2048) -> DataFrame:
+def score_gene_sets(expr: DataFrame, gene_sets: DataFrame, tau: float = 1.0) -> DataFrame:
     """GSVA scores (unit, set_name, score) of every set against a complete matrix.
 
     Set genes missing from the matrix are ignored; a set with no gene in the
     matrix yields no rows.
     """
-    stats = gene_stats(expr)
-    z = kernel_cdf(expr, stats, block_rows=block_rows)
-    return walk_scores(rank_genes(z, tau), gene_sets)
+    return walk_scores(rank_matrix(expr, tau), gene_sets)
 
 
 def scores_wide(scores: DataFrame, set_names: list[str]) -> DataFrame:

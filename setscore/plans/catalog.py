@@ -607,11 +607,15 @@ def _sql_log(x: str) -> str:
 
 
 def _sql_phi(u: str) -> str:
-    """Normal distribution function, Abramowitz and Stegun 26.2.17."""
-    t = f"(1.0 / (1.0 + 0.2316419 * abs({u})))"
-    series = (f"(0.319381530 * {t} - 0.356563782 * {t} ** 2 + 1.781477937 * {t} ** 3 "
-              f"- 1.821255978 * {t} ** 4 + 1.330274429 * {t} ** 5)")
-    tail = f"(exp(-({u}) * ({u}) / 2) / sqrt(2 * pi()) * {series})"
+    """Normal distribution function: Hart's rational form, a continued fraction beyond 7.07."""
+    a = f"abs({u})"
+    num, den = "0.0352624965998911", "0.0883883476483184"
+    for c in ("0.700383064443688", "6.37396220353165", "33.912866078383", "112.079291497871", "221.213596169931", "220.206867912376"):
+        num = f"({num} * {a} + {c})"
+    for c in ("1.75566716318264", "16.064177579207", "86.7807322029461", "296.564248779674", "637.333633378831", "793.826512519948", "440.413735824752"):
+        den = f"({den} * {a} + {c})"
+    far = f"({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65)))))"
+    tail = f"(exp({a} * {a} * -0.5) * CASE WHEN {a} < 7.07106781186547 THEN {num} / {den} ELSE 1 / ({far} * sqrt(2 * pi())) END)"
     return f"(CASE WHEN ({u}) >= 0 THEN 1 - {tail} ELSE {tail} END)"
 
 

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from setscore.functions.stats import phi_py
+from setscore.functions.stats import phi, phi_np, phi_py
 from setscore.operators import association as A
 from setscore.operators import summaries as S
 
@@ -154,9 +155,16 @@ def test_density_of_null_keys_and_values(spark):
     assert got == {(None, "a"): pytest.approx(2.0), ("a", None): pytest.approx(3.0)}
 
 
-def test_phi_accuracy():
-    for u in (-3.0, -1.0, 0.0, 0.5, 2.0):
-        assert abs(phi_py(u) - 0.5 * math.erfc(-u / math.sqrt(2))) < 7.5e-8
+def test_phi_accuracy(spark):
+    """Double precision in all three forms, against erfc."""
+    grid = [k / 16 for k in range(-640, 641)]
+    want = [0.5 * math.erfc(-u / math.sqrt(2)) for u in grid]
+    rows = spark.createDataFrame([(u,) for u in grid], "u double").select("u", phi(F.col("u")).alias("p")).collect()
+    columns = {r.u: r.p for r in rows}
+    for u, w, a in zip(grid, want, phi_np(np.array(grid)), strict=True):
+        assert abs(phi_py(u) - w) < 1e-15 and abs(a - w) < 1e-15 and abs(columns[u] - w) < 1e-15
+        assert w < 1e-300 or u > 0 or phi_py(u) == pytest.approx(w, rel=2e-8)
+    assert phi_py(-float("inf")) == 0.0 and phi_py(float("inf")) == 1.0
 
 
 @pytest.mark.parametrize("reuse", ["true", "false"])

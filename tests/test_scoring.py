@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from setscore.functions.stats import phi_py
+from setscore.functions.stats import phi_np, phi_py
+from setscore.operators import scoring as S
 from setscore.operators.scoring import kernel_cdf, rank_genes, score_gene_sets, walk_scores
 
 
@@ -51,7 +52,7 @@ def test_matches_brute_force(spark, seed, p, n):
     genes, units = [f"g{i:02d}" for i in range(p)], [f"u{j}" for j in range(n)]
     sets = {"a": genes[:5], "b": genes[4:9] + ["missing"], "c": ["missing"]}
     got = {(r["unit"], r["set_name"]): r["score"]
-           for r in score_gene_sets(_long(spark, X, genes, units), _sets_df(spark, sets), block_rows=4).collect()}
+           for r in score_gene_sets(_long(spark, X, genes, units), _sets_df(spark, sets)).collect()}
     want = _brute(X, genes, units, sets)
     assert set(got) == set(want)                            # set "c" has no gene: no rows
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
@@ -87,21 +88,55 @@ def test_invariant_under_affine_map_and_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         moved = {(r["unit"]): r["score"]
-                 for r in score_gene_sets(_long(spark, X2, genes, units), _sets_df(spark, sets), block_rows=2).collect()}
+                 for r in score_gene_sets(_long(spark, X2, genes, units), _sets_df(spark, sets)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert base.keys() == moved.keys()
     assert max(abs(base[k] - moved[k]) for k in base) < 1e-9
 
 
-def test_kernel_cdf_tiles_equal_direct(spark):
+def _direct(x, h):
+    return np.array([np.mean([phi_py((a - b) / h) for b in x]) for a in x])
+
+
+@pytest.mark.parametrize("shape", ["normal", "outlier", "ties", "heavy", "tiny"])
+def test_kernel_cdf_equals_direct_sum(spark, shape):
     rng = np.random.default_rng(5)
-    X = rng.normal(size=(3, 40))
-    genes, units = ["a", "b", "c"], [f"u{j}" for j in range(40)]
-    df = _long(spark, X, genes, units)
-    tiled = {(r["gene"], r["unit"]): r["z"] for r in kernel_cdf(df, block_rows=7).collect()}
-    whole = {(r["gene"], r["unit"]): r["z"] for r in kernel_cdf(df, block_rows=1000).collect()}
-    assert max(abs(tiled[k] - whole[k]) for k in whole) < 1e-12
-    h = X.std(axis=1, ddof=1) / 4
-    z00 = np.mean([phi_py((X[0, 0] - X[0, k]) / h[0]) for k in range(40)])
-    assert tiled[("a", "u0")] == pytest.approx(z00, abs=1e-14)
+    x = rng.normal(size=60)
+    if shape == "outlier":
+        x[7] = 1e6                                           # cells far apart
+    if shape == "ties":
+        x = np.repeat([0.0, -0.0, 1.0, 2.0], 15)
+    if shape == "heavy":
+        x = np.exp(4 * x)
+    if shape == "tiny":
+        x = 1e3 + 1e-6 * x
+    df = _long(spark, np.stack([x, rng.normal(size=60)]), ["a", "b"], [f"u{j}" for j in range(60)])
+    got = {(r["gene"], r["unit"]): r["z"] for r in kernel_cdf(df).collect()}
+    want = _direct(x, x.std(ddof=1) / 4)
+    tolerance = 1e-9 if shape == "tiny" else 2e-13           # there the values themselves have seven digits
+    assert len(got) == 120 and max(abs(got[("a", f"u{j}")] - want[j]) for j in range(60)) < tolerance
+
+
+def test_expansions_of_many_values():
+    """Moments and translations alone: 5,000 values, error far below the ninth digit."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=4000), rng.normal(size=1000) * 4 + 3])
+    h = x.std(ddof=1) / 4
+    scaled = (x - x.min()) / h
+    cell = np.floor(scaled / S.CELL)
+    u = scaled - (cell + 0.5) * S.CELL
+    cells, at = np.unique(cell, return_inverse=True)
+    moments = np.stack([np.bincount(at, weights=u ** i) for i in range(S.ORDER + 1)], axis=1)
+    c = S._translate(cells.astype(np.int64), moments)
+    z = (c[at] * u[:, None] ** np.arange(S.ORDER + 1)).sum(axis=1) / len(x)
+    some = rng.integers(0, len(x), 40)
+    want = np.array([phi_np((x[j] - x) / h).mean() for j in some])
+    assert np.abs(z[some] - want).max() < 1e-14
+
+
+def test_values_that_are_no_numbers_take_no_part(spark):
+    rows = [("u1", "a", 1.0), ("u2", "a", 2.0), ("u3", "a", float("nan")), ("u4", "a", None), ("u5", "a", float("inf")), ("u6", "a", 4.0), ("u1", "b", 3.0)]
+    got = {r["unit"]: r["z"] for r in kernel_cdf(spark.createDataFrame(rows, "unit string, gene string, value double")).collect()}
+    x = np.array([1.0, 2.0, 4.0])
+    assert got == pytest.approx(dict(zip(["u1", "u2", "u6"], _direct(x, x.std(ddof=1) / 4), strict=True)))
