@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setscore.functions import stats as normal
-from setscore.operators import ranks
 from setscore.operators.joins import work_partitions
 from setscore.session import cut_lineage
 
@@ -69,7 +68,7 @@ def _is_number(value: str) -> Column:
 
 
 def gene_stats(expr: DataFrame, units: Column | None = None) -> DataFrame:
-    """G1: (gene, n, sd, h, lo, zeros, zero_lo) for genes that vary across units.
+    """G1: (gene, n, sd, h, lo, zeros) for genes that vary across units.
 
     ``units``, the number of all units, makes the rows sparse: every unit that a gene has no row of
     counts as a value of zero. ``zeros`` is how many there are. NULL values are absent, NaN and
@@ -127,13 +126,12 @@ def translations() -> np.ndarray:
     return out
 
 
-def _translate(cells: np.ndarray, moments: np.ndarray) -> np.ndarray:
+def _translate(cells: np.ndarray, moments: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Coefficients of every cell from the moments of all, cells ascending."""
     out = np.zeros_like(moments)
     # all sources that lie more than REACH cells below count whole
     below = np.concatenate([[0.0], np.cumsum(moments[:, 0])])
     out[:, 0] = below[np.searchsorted(cells, cells - REACH)]
-    table = translations()
     for d in range(-REACH, REACH + 1):
         source = np.searchsorted(cells, cells - d)
         hit = np.flatnonzero((source < len(cells)) & (cells[np.minimum(source, len(cells) - 1)] == cells - d))
@@ -141,14 +139,30 @@ def _translate(cells: np.ndarray, moments: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expand(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The cells of one gene: moments to coefficients."""
-    pdf = pdf.sort_values("cell")
-    found = _translate(pdf["cell"].to_numpy(np.int64), pdf[_MOMENTS].to_numpy(np.float64))
-    out = pd.DataFrame(found, columns=_COEFFICIENTS)
-    out.insert(0, "cell", pdf["cell"].to_numpy())
-    out.insert(0, "gene", pdf["gene"].to_numpy())
-    return out
+def _expand(batches):
+    """Moments to coefficients, gene by gene; rows come by gene and cell, and a gene may go on in the next batch."""
+    table = translations()
+    held = None
+
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        genes, cells, moments = pdf["gene"].to_numpy(), pdf["cell"].to_numpy(np.int64), pdf[_MOMENTS].to_numpy(np.float64)
+        starts = np.flatnonzero(np.concatenate([[True], genes[1:] != genes[:-1]]))
+        found = [_translate(cells[a:b], moments[a:b], table) for a, b in zip(starts, [*starts[1:], len(genes)], strict=True)]
+        out = pd.DataFrame(np.concatenate(found), columns=_COEFFICIENTS)
+        out.insert(0, "cell", cells)
+        out.insert(0, "gene", genes)
+        return out
+
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = (pdf["gene"] == pdf["gene"].iloc[-1]).to_numpy()
+        held, whole = pdf[last], pdf[~last]
+        if len(whole):
+            yield done(whole)
+    if held is not None:
+        yield done(held)
 
 
 def cell_expansions(expr: DataFrame, stats: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -166,8 +180,8 @@ def cell_expansions(expr: DataFrame, stats: DataFrame, partitions: int | None =
     moments = rows.unionByName(zeros).groupBy("gene", "cell").agg(*[F.sum(p).alias(m) for p, m in zip(powers, _MOMENTS, strict=True)])
     kind = T.StructType([moments.schema["gene"], moments.schema["cell"], *[T.StructField(c, T.DoubleType()) for c in _COEFFICIENTS]])
     # few bytes and much work for each: as many tasks as the cluster runs
-    spread = moments.repartition(partitions or work_partitions(expr), "gene")
-    return spread.groupBy("gene").applyInPandas(_expand, kind).withColumnsRenamed({"gene": "cell_gene", "cell": "cell_no"})
+    spread = moments.repartition(partitions or work_partitions(expr), "gene").sortWithinPartitions("gene", "cell")
+    return spread.mapInPandas(_expand, kind).withColumnsRenamed({"gene": "cell_gene", "cell": "cell_no"})
 
 
 def _horner() -> Column:
@@ -243,6 +257,81 @@ def score_gene_sets(expr: DataFrame, gene_sets: DataFrame, tau: float = 1.0) ->
     return walk_scores(rank_matrix(expr, tau), gene_sets)
 
 
+def _by_score() -> list[Column]:
+    """The order of genes: highest rounded z first, then by name."""
+    return [F.col("zr").desc(), F.col("gene").asc()]
+
+
+def _zeros_before(zero: DataFrame, present: DataFrame) -> DataFrame:
+    """(zr, gene, unit, before): for each row of ``present`` (unit, gene, zr), and with a NULL unit for
+    each of ``zero`` (gene, zr), how many of the genes in ``zero`` come before it (a row's own gene too).
+
+    One range sort of both; the ranges are written, so that counts and offsets come from the same.
+    """
+    both = zero.select("zr", "gene", F.lit(None).cast("string").alias("unit"), F.lit(1).alias("mark")).unionByName(
+        present.select("zr", "gene", "unit", F.lit(0).alias("mark")))
+    order = [*_by_score(), F.col("mark").desc(), F.col("unit").asc()]
+    ranges = cut_lineage(both.repartitionByRange(work_partitions(zero), *order).withColumn("part", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    offsets = ranges.groupBy("part").agg(F.sum("mark").alias("marks")).select(
+        F.col("part").alias("of"), F.coalesce(F.sum("marks").over(earlier(Window.partitionBy(F.lit(0)).orderBy("part"))), F.lit(0)).alias("offset"))
+    here = F.coalesce(F.sum("mark").over(earlier(Window.partitionBy("part").orderBy(*order))), F.lit(0))
+    return ranges.withColumn("here", here).join(offsets, F.col("part") == F.col("of")).select("zr", "gene", "unit", (F.col("here") + F.col("offset")).alias("before"))
+
+
+def rank_sparse(expr: DataFrame, genes: DataFrame, tau: float = 1.0) -> DataFrame:
+    """G1-G3 of a sparse matrix: (unit, gene, pos, p, r) of every row of ``expr`` (unit, gene, value), and
+    of ``genes`` where a unit has no row of them. Absent values stand for zero; nothing is completed.
+
+    A gene's zeros are one weighted value in its kernel and share one z. So all units order their zeros
+    alike: by one list of genes. In a unit, a gene's position is its place among the unit's own rows and
+    the zeros before it: those of the list, less the list's genes that the unit has rows of. One window
+    over a unit's rows, each in its own place and in its gene's place on the list, counts both.
+
+    The work is that of the rows, and of units x ``genes``. A NULL value is absent; a NaN or infinite one
+    leaves its gene out of its unit. Units are those with any row.
+    """
+    from setscore.operators.summaries import key_grid
+    units = expr.select("unit").distinct()
+    listed = expr.where(F.col("value").isNotNull())
+    stats = cut_lineage(gene_stats(listed, units.agg(F.count(F.lit(1))).scalar()))
+    expansions = cut_lineage(cell_expansions(listed, stats))
+    rounded = F.round("z", Z_DIGITS)
+    present = _evaluated(_present(listed).join(stats, "gene"), expansions).select("unit", "gene", rounded.alias("zr"))
+    zero = _evaluated(stats.where(F.col("zeros") > 0).withColumn("value", F.lit(0.0)), expansions).select("gene", rounded.alias("zr"))
+    placed = cut_lineage(_zeros_before(zero, present))
+    rows = placed.where(F.col("unit").isNotNull())
+    zero = placed.where(F.col("unit").isNull()).select("gene", "zr", "before")
+
+    none, nothing = F.lit(0), F.lit(None).cast("long")
+    kinds = lambda kind, x, y, void, before: [kind.alias("kind"), x.alias("x"), y.alias("y"), void.alias("void"), before.alias("before")]
+    own = rows.select("unit", "gene", "zr", *kinds(none + 1, none + 1, none, none, F.col("before")))
+    # a listed value takes its gene off the unit's list of zeros, and out of the unit if it is no number
+    varying = stats.select("gene").join(zero.select(F.col("gene").alias("zero_gene"), "zr"), F.col("gene") == F.col("zero_gene"), "left")
+    off = listed.join(varying, "gene").select("unit", "gene", "zr", *kinds(
+        none, none, F.col("zr").isNotNull().cast("int"), (~_is_number("value")).cast("int"), nothing))
+    asked = zero.join(genes.select("gene").distinct(), "gene", "left_semi")
+    absent = key_grid(units, asked.select("gene"), "gene").join(listed.select("unit", "gene"), ["unit", "gene"], "left_anti").join(asked, "gene")
+    absent = absent.select("unit", "gene", "zr", *kinds(none + 2, none, none, none, F.col("before")))
+
+    by_unit = Window.partitionBy("unit")
+    run = by_unit.orderBy(*_by_score(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = stats.agg(F.count(F.lit(1))).scalar() - F.sum("void").over(by_unit)
+    ranked = own.unionByName(off).unionByName(absent).withColumns({
+        "xs": F.sum("x").over(run), "ys": F.sum("y").over(run), "p": p})
+    pos = F.col("xs") + F.col("before") - F.col("ys") + (F.col("kind") == 2).cast("int")
+    ranked = ranked.where(F.col("kind") > 0).withColumn("pos", pos)
+    w = F.abs(F.col("p") - F.col("pos") + 1 - F.col("p") / 2.0)
+    return ranked.select("unit", "gene", "pos", "p", (w if tau == 1.0 else F.pow(w, F.lit(float(tau)))).alias("r"))
+
+
+def score_sparse(expr: DataFrame, gene_sets: DataFrame, tau: float = 1.0) -> DataFrame:
+    """G0 on a sparse matrix, such as the saved pseudobulk: equal to :func:`score_gene_sets` of the
+    matrix completed with zeros."""
+    return walk_scores(rank_sparse(expr, gene_sets, tau), gene_sets)
+
+
 def scores_wide(scores: DataFrame, set_names: list[str]) -> DataFrame:
     """One row per unit, one column per named set (NULL where absent)."""
     return (scores.groupBy("unit").pivot("set_name", set_names)

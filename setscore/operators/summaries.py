@@ -65,22 +65,26 @@ def zero_filled_mean(sparse: DataFrame, units: DataFrame, row: str, group: str,
     return join_on_keys(sums, sizes, [group]).select(row, group, (F.col("_sum") / F.col("_units")).alias(alias))
 
 
+def key_grid(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Every row of ``rows`` with every distinct non-NULL ``key`` of ``keys``.
+
+    Each key gets a dense 0-based index from the distributed positions primitive (no key list passes
+    through the driver, only their count); every row then explodes ``sequence(0, count - 1)`` and the
+    index joins back to the key. No cross join.
+    """
+    index = ranks.value_positions(keys.select(key).distinct(), [], key).select(key, F.col("before").alias("_ix"))
+    n_keys = index.agg(F.count(F.lit(1))).scalar()
+    last = F.when(n_keys > 0, n_keys - 1)
+    return rows.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_ix")).join(index, "_ix").drop("_ix")
+
+
 def complete_grid(df: DataFrame, row: str, col: str, value: str, fill: float | None = None) -> DataFrame:
     """A5: every (row, col) pair of the keys present in ``df``; missing cells -> ``fill``.
 
-    Each distinct column key gets a dense 0-based index from the distributed
-    positions primitive (no key list passes through the driver, only their
-    count); every row key then explodes ``sequence(0, count - 1)`` and the index
-    joins back to the key. The grid is the output (the dense matrix), built
-    without a cross join.
+    The grid is the output (the dense matrix), built by :func:`key_grid`.
     """
     keyed = df.withColumn(col, F.coalesce(F.col(col), F.lit(_NULL_KEY)))
-    keys = keyed.select(col).distinct()
-    index = ranks.value_positions(keys, [], col).select(col, F.col("before").alias("_ix"))
-    n_keys = index.agg(F.count(F.lit(1))).scalar()
-    grid = (keyed.select(row).distinct()
-                 .select(row, F.explode(F.sequence(F.lit(0).cast("long"), n_keys - 1)).alias("_ix"))
-                 .join(index, "_ix").drop("_ix"))
+    grid = key_grid(keyed.select(row).distinct(), keyed, col)
     out = grid.join(keyed.select(row, col, value), [row, col], "left")
     out = out.withColumn(col, F.when(F.col(col) == _NULL_KEY, F.lit(None)).otherwise(F.col(col)))
     if fill is not None:

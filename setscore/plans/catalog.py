@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from setscore.functions import labels as L
 from setscore.operators import pseudobulk as PB
 from setscore.operators.reshape import long_to_wide
-from setscore.operators.scoring import gene_stats, kernel_cdf, scores_wide
+from setscore.operators.scoring import gene_stats, kernel_cdf, score_sparse, scores_wide
 from setscore.plans import reports as R
 from setscore.session import cut_lineage, file_state, scratch_folder
 from setscore.sources import fixtures as fx
@@ -172,13 +172,11 @@ def _star_gene_families(spark: SparkSession, sf_dir: str, max_size: int | None =
 
 
 def q_score_pseudobulk_star(spark, sf_dir):
-    """R1 -> A5 -> G0: score gene families on the zero-filled pseudobulk matrix."""
-    # the build/score boundary: the pseudobulk and its completed matrix are
-    # written once (as the reference saves its matrix between layers) and read
-    # by the grid, the gene statistics and the tiles
+    """R1 -> G0: score gene families on the sparse pseudobulk."""
+    # the build/score boundary: the pseudobulk is written once (as the reference saves its matrix
+    # between layers) and scored as it is, absent values standing for zero
     pb = cut_lineage(PB.pseudobulk(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), PB.HUMAN_KEYS))
-    expr = cut_lineage(PB.complete_matrix(pb))
-    scores = R.scores_for(expr, _star_gene_families(spark, sf_dir), persist=False)
+    scores = score_sparse(pb.select("unit", "gene", F.col("mean_exp").alias("value")), _star_gene_families(spark, sf_dir))
     return _rnd(scores, {"score": SCORE_DIGITS})
 
 

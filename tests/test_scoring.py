@@ -5,7 +5,8 @@ import pytest
 
 from setscore.functions.stats import phi_np, phi_py
 from setscore.operators import scoring as S
-from setscore.operators.scoring import kernel_cdf, rank_genes, score_gene_sets, walk_scores
+from setscore.operators.pseudobulk import complete_matrix
+from setscore.operators.scoring import kernel_cdf, rank_genes, rank_sparse, score_gene_sets, score_sparse, walk_scores
 
 
 def _brute(X, genes, units, sets):
@@ -128,7 +129,7 @@ def test_expansions_of_many_values():
     u = scaled - (cell + 0.5) * S.CELL
     cells, at = np.unique(cell, return_inverse=True)
     moments = np.stack([np.bincount(at, weights=u ** i) for i in range(S.ORDER + 1)], axis=1)
-    c = S._translate(cells.astype(np.int64), moments)
+    c = S._translate(cells.astype(np.int64), moments, S.translations())
     z = (c[at] * u[:, None] ** np.arange(S.ORDER + 1)).sum(axis=1) / len(x)
     some = rng.integers(0, len(x), 40)
     want = np.array([phi_np((x[j] - x) / h).mean() for j in some])
@@ -140,3 +141,42 @@ def test_values_that_are_no_numbers_take_no_part(spark):
     got = {r["unit"]: r["z"] for r in kernel_cdf(spark.createDataFrame(rows, "unit string, gene string, value double")).collect()}
     x = np.array([1.0, 2.0, 4.0])
     assert got == pytest.approx(dict(zip(["u1", "u2", "u6"], _direct(x, x.std(ddof=1) / 4), strict=True)))
+
+
+# ---- sparse input -----------------------------------------------------------------------------
+
+def _both(spark, rows, sets):
+    """Scores of the sparse rows, and of their matrix completed with zeros."""
+    df = spark.createDataFrame(rows, "unit string, gene string, value double")
+    full = complete_matrix(df.withColumnRenamed("value", "mean_exp"))
+    key = lambda d: {(r["unit"], r["set_name"]): r["score"] for r in d.collect()}
+    return key(score_sparse(df, _sets_df(spark, sets))), key(score_gene_sets(full, _sets_df(spark, sets)))
+
+
+@pytest.mark.parametrize("seed,density,negative", [(1, 0.1, False), (2, 0.5, True), (3, 0.9, False)])
+def test_sparse_equals_completed_matrix(spark, seed, density, negative):
+    rng = np.random.default_rng(seed)
+    genes = [f"g{i:02d}" for i in range(30)]
+    rows = [(f"u{j}", g, float(rng.integers(-3 if negative else 1, 4) + (0 if i % 2 else rng.normal())))
+            for j in range(25) for i, g in enumerate(genes) if rng.random() < density or i == 7 and j != 3 or i == 8]
+    rows += [(f"u{j}", "same", 2.0) for j in range(25)]                # constant: dropped
+    sets = {"a": genes[:6], "b": [*genes[4:12], "missing"], "all": genes, "one": [genes[8]], "none": ["missing", "same"]}
+    sparse, full = _both(spark, rows, sets)
+    assert set(sparse) == set(full) and len(sparse) == 100
+    assert max(abs(sparse[k] - full[k]) for k in full) < 1e-12
+
+
+def test_sparse_rows_without_numbers(spark):
+    """NULL is absent; NaN leaves its gene out of its unit; a unit of NULLs only has all zeros."""
+    nan = float("nan")
+    rows = [("u1", "a", 1.0), ("u1", "b", 2.0), ("u2", "a", nan), ("u2", "c", 3.0), ("u3", "b", None), ("u4", "c", 1.0), ("u4", "d", 0.0), ("u1", "d", 5.0), ("u2", "e", 1.0)]
+    sparse, full = _both(spark, rows, {"s": ["a", "c"], "t": ["b", "d", "e"]})
+    assert sparse == pytest.approx(full, abs=1e-12) and len(full) == 8
+
+
+def test_sparse_reads_no_completed_matrix(spark):
+    """The rows that are ranked: those given, twice, and those of the asked genes."""
+    rows = [(f"u{j}", f"g{(j * 7 + k) % 200}", 1.0 + k) for j in range(40) for k in range(3)]
+    df = spark.createDataFrame(rows, "unit string, gene string, value double")
+    ranked = rank_sparse(df, spark.createDataFrame([("g0",), ("g7",)], "gene string"))
+    assert ranked.count() <= len(rows) + 2 * 40 and score_sparse(df.where("false"), _sets_df(spark, {"s": ["g0"]})).collect() == []
