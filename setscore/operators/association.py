@@ -3,8 +3,11 @@
 Ranks, moments and sums run as Spark aggregates; only one row per facet
 reaches a tail function. p-values:
 
-* T3 Spearman: t = r * sqrt((n - 2) / (1 - r^2)), df n - 2, two-sided; the
-  Student tail is integrated with a fixed number of nodes, whatever df.
+* T3 Spearman, two-sided: without ties the null distribution of S, the sum of
+  squared rank differences, up to n = 9 by counting permutations and below
+  n = 1,290 by its Edgeworth series; with ties or beyond, t = r * sqrt((n - 2) /
+  (1 - r^2)), df n - 2. The Student tail is integrated with a fixed number of
+  nodes, whatever df.
 * T5 Wilcoxon rank-sum: normal approximation with tie and continuity
   correction; the exact null distribution (both groups < 50, no ties) comes
   from a per-facet counting recursion in :func:`wilcoxon_p`.
@@ -80,8 +83,67 @@ def _corr(sxy: Column, sxx: Column, syy: Column) -> Column:
     return F.try_divide(sxy, F.sqrt(sxx * syy))
 
 
+# Fixed values of the reference's rule: where permutations are counted, where the series ends,
+# and the constants c1 ... c12 of the series (algorithm AS 89).
+COUNTED_UP_TO, SERIES_BELOW = 9, 1_290
+SERIES = (0.2274, 0.2531, 0.1745, 0.0758, 0.1033, 0.3932, 0.0879, 0.0151, 0.0072, 0.0831, 0.0131, 4.6e-4)
+
+
+def spearman_counts(n: int) -> list[int]:
+    """Permutations of n by S / 2, S the (even) sum of squared differences from the identity: one
+    position after another, by the set of values used so far."""
+    states = {0: {0: 1}}
+    for k in range(n):
+        after: dict[int, dict[int, int]] = {}
+        for mask, sums in states.items():
+            for j in range(n):
+                if not mask >> j & 1:
+                    to = after.setdefault(mask | 1 << j, {})
+                    for d, c in sums.items():
+                        to[d + (k - j) ** 2] = to.get(d + (k - j) ** 2, 0) + c
+        states = after
+    found = states[(1 << n) - 1]
+    return [found.get(d, 0) for d in range(0, n * (n * n - 1) // 3 + 1, 2)]
+
+
+def _counted_tail(n: Column, s: Column) -> Column:
+    """P(S <= s) for 2 <= n <= COUNTED_UP_TO, s even."""
+    tables = []
+    for k in range(2, COUNTED_UP_TO + 1):
+        tables.append(F.array(*[F.lit(float(x)) for x in np.cumsum(spearman_counts(k)) / math.factorial(k)]))
+    table = F.element_at(F.array(*tables), (n - 1).cast("int"))
+    return F.element_at(table, (s / 2).cast("int") + 1)
+
+
+def _series_tail(n: Column, s: Column) -> Column:
+    """P(S <= s) by the Edgeworth series, s even; taken midway to the next value."""
+    c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, c12 = SERIES
+    b = 1.0 / n
+    x = (6.0 * (s + 1) * b / (n * n - 1.0) - 1.0) * F.sqrt(n - 1.0)
+    y = x * x
+    u = x * b * (c1 + b * (c2 + c3 * b) + y * (-c4 + b * (c5 + c6 * b) - y * b * (c7 + c8 * b - y * (c9 - c10 * b + y * b * (c11 - c12 * y)))))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), phi(x) - u * F.exp(y * -0.5)))
+
+
+def spearman_p(n: Column, r: Column, ties: Column) -> tuple[Column, Column]:
+    """(p, p_method) of a Spearman correlation: ``exact``, ``edgeworth`` or ``t``."""
+    size = n.cast("double")
+    all_s = (size * size * size - size) / 3                     # S of the reversed order
+    s = 2 * F.round(all_s * (1 - r) / 4)
+    lower = F.least(s, all_s - s)                               # S is distributed symmetrically
+    twice = lambda tail: F.least(F.lit(1.0), 2 * tail)
+    t = r * F.sqrt(F.try_divide(size - 2, 1 - r * r))
+    by_t = F.when(n < 3, F.lit(None)).when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(t_two_sided_p(t, n - 2))
+    method = (F.when(r.isNull() | F.isnan(r), F.lit(None)).when(~ties & (n <= COUNTED_UP_TO), "exact")
+               .when(~ties & (n < SERIES_BELOW), "edgeworth").when(n >= 3, "t"))
+    p = (F.when(method == "exact", twice(_counted_tail(n, lower))).when(method == "edgeworth", twice(_series_tail(size, lower)))
+          .when(method == "t", by_t))
+    return p.cast("double"), method
+
+
 def spearman(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:
-    """Per facet n, Spearman r and its t-approximation p (n < 3 -> NULL p)."""
+    """Per facet n, Spearman r, its two-sided p and p_method. Rows without both values are left out;
+    a constant column, or a single row, has no r, p or method."""
     facets = list(facets)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = mid_rank(mid_rank(d, facets, x, "_rx"), facets, y, "_ry")
@@ -90,12 +152,12 @@ def spearman(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:
                                     F.regr_sxx("_ry", "_rx").alias("sxx"),
                                     F.regr_syy("_ry", "_rx").alias("syy"))
     r = _corr(F.col("sxy"), F.col("sxx"), F.col("syy"))
-    out = m.select(*facets, "n", r.alias("r"))
-    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
-    p = (F.when(F.col("n") < 3, F.lit(None))
-          .when(F.abs(F.col("r")) >= 1.0, F.lit(0.0))
-          .otherwise(t_two_sided_p(t, F.col("n") - 2)))
-    return out.withColumn("p", p.cast("double"))
+    # a tie of t takes (t^3 - t) / 12, a half at least, from the squares of the ranks 1 ... n
+    size = F.col("n").cast("double")
+    ties = F.least("sxx", "syy") < (size * size * size - size) / 12 - 0.25
+    out = m.select(*facets, "n", r.alias("r"), ties.alias("_ties"))
+    p, method = spearman_p(F.col("n"), F.col("r"), F.col("_ties"))
+    return out.select(*facets, "n", "r", p.alias("p"), method.alias("p_method"))
 
 
 def linear_fit(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:

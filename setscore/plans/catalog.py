@@ -741,7 +741,7 @@ def _t_p_sql(t: str, df: str) -> str:
     return f"greatest(0.0, least(1.0, 1 - {a}))"
 
 
-def _spearman_sql(src: str, facets, x: str, y: str) -> str:
+def _spearman_sql(ctes, src: str, facets, x: str, y: str) -> str:
     fs = ", ".join(facets)
     part = f"PARTITION BY {fs}" if facets else ""
     part_x = f"PARTITION BY {fs + ', ' if facets else ''}{x}"
@@ -750,15 +750,31 @@ def _spearman_sql(src: str, facets, x: str, y: str) -> str:
     grp = f"GROUP BY {fs}" if facets else ""
     r = STAT_DIGITS
     return _with(
+        *ctes,
         f"d AS (SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)",
         f"rk AS (SELECT *, rank() OVER ({part} ORDER BY {x}) + (count(*) OVER ({part_x}) - 1) / 2.0 AS rx, "
         f"rank() OVER ({part} ORDER BY {y}) + (count(*) OVER ({part_y}) - 1) / 2.0 AS ry FROM d)",
         f"m AS (SELECT {sel}count(*) AS n, regr_sxy(ry, rx) AS sxy, regr_sxx(ry, rx) AS sxx, regr_syy(ry, rx) AS syy "
         f"FROM rk {grp})",
-        f"c AS (SELECT {sel}n, CASE WHEN sxx * syy > 0 THEN sxy / sqrt(sxx * syy) END AS r FROM m)",
-        "tt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)",
-    ) + (f" SELECT {sel}n, round(r, {r}) AS r, round(CAST(CASE WHEN n < 3 OR r IS NULL THEN NULL "
-         f"WHEN abs(r) >= 1 THEN 0.0 ELSE {_t_p_sql('t', '(n - 2)')} END AS DOUBLE), {r}) AS p FROM tt")
+        f"c AS (SELECT {sel}n, CASE WHEN sxx * syy > 0 THEN sxy / sqrt(sxx * syy) END AS r, "
+        "least(sxx, syy) < (n * n * n - n) / 12.0 - 0.25 AS ties FROM m)",
+        "ss AS (SELECT *, 2 * round((n * n * n - n) * (1 - r) / 12.0) AS s0 FROM c)",
+        "tt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, least(s0, (n * n * n - n) / 3.0 - s0) AS s, "
+        "CASE WHEN r IS NULL THEN NULL WHEN NOT ties AND n <= 9 THEN 'exact' WHEN NOT ties AND n < 1290 THEN 'edgeworth' "
+        "WHEN n >= 3 THEN 't' END AS p_method FROM ss)",
+        # permutations of n by the sum of squared differences, position after position
+        "ways(n, k, used, s, c) AS (SELECT DISTINCT n, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::DOUBLE FROM tt WHERE p_method = 'exact' UNION ALL "
+        "SELECT n, k + 1, used | (1 << j), ways.s + (k - j) * (k - j), sum(c) FROM ways, range(0, 9) v(j) "
+        "WHERE k < n AND j < n AND (used >> j) & 1 = 0 GROUP BY n, k, used | (1 << j), ways.s + (k - j) * (k - j))",
+        "exact AS (SELECT tt.n AS of_n, tt.s AS of_s, sum(ways.c) / factorial(any_value(tt.n)::INTEGER) AS tail FROM (SELECT DISTINCT n, s FROM tt WHERE p_method = 'exact') tt "
+        "JOIN ways ON ways.n = tt.n AND ways.k = tt.n AND ways.s <= tt.s GROUP BY 1, 2)",
+        "xx AS (SELECT *, 1.0 / n AS b, (6.0 * (s + 1) / n / (n * n - 1.0) - 1) * sqrt(n - 1.0) AS x FROM tt LEFT JOIN exact ON p_method = 'exact' AND of_n = n AND of_s = s)",
+        "uu AS (SELECT *, x * b * (0.2274 + b * (0.2531 + 0.1745 * b) + x ** 2 * (-0.0758 + b * (0.1033 + 0.3932 * b) "
+        "- x ** 2 * b * (0.0879 + 0.0151 * b - x ** 2 * (0.0072 - 0.0831 * b + x ** 2 * b * (0.0131 - 0.00046 * x ** 2))))) * exp(x * x * -0.5) AS u FROM xx)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f" SELECT {sel}n, round(r, {r}) AS r, p_method, round(CAST(CASE p_method WHEN 'exact' THEN least(1.0, 2 * tail) "
+        f"WHEN 'edgeworth' THEN least(1.0, 2 * greatest(0.0, {_sql_phi('x')} - u)) "
+        f"WHEN 't' THEN CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {_t_p_sql('t', '(n - 2)')} END END AS DOUBLE), {r}) AS p FROM uu")
 
 
 def _heat_ctes(group_expr: str, units_sql: str = fx.SQL_UNITS_DENSE, human: bool = True) -> list[str]:
@@ -1004,12 +1020,10 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     sql["corr_groups"] = _heat_prefix(_CELL_SAMPLE) + " " + _pearson_sql("gene", "grp", "group_a", "group_b").replace("WITH ", ", ", 1)
     samples = ("sm AS (SELECT sample, avg(gene_sig_score_1) AS mean_gene1, avg(gene_sig_score_2) AS mean_gene2 "
                "FROM d1 GROUP BY sample)")
-    sql["score_corr_samples"] = _with(*_HUMAN_SCORES, _D1, samples) + " " + \
-        _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
+    sql["score_corr_samples"] = _spearman_sql([*_HUMAN_SCORES, _D1, samples], "sm", [], "mean_gene1", "mean_gene2")
     for name, facets in (("score_corr_celltype", ["cell_type"]), ("score_corr_timepoint", ["timepoint"]),
                          ("score_corr_both", ["timepoint", "cell_type"])):
-        sql[name] = _with(*_HUMAN_SCORES, _D1, _D1F) + " " + \
-            _spearman_sql("d1f", facets, "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
+        sql[name] = _spearman_sql([*_HUMAN_SCORES, _D1, _D1F], "d1f", facets, "gene_sig_score_1", "gene_sig_score_2")
     sql["score_fit"] = _fit_sql(["cell_type"])
     sql["score_density_timepoint"] = _density_sql(keys=("set_name", "timepoint"), order=False)
     a7 = (*_HUMAN_SCORES, _A1_3, _A7)
@@ -1022,8 +1036,7 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     sql["score_fit_both"] = _fit_sql(["timepoint", "cell_type"])
     sql["score_fit_samples"] = _fit_sql([], "sm", "mean_gene1", "mean_gene2", (*_HUMAN_SCORES, _D1, samples))
     d1_app = f"d1 AS (SELECT w.*, {_human_label_cols('w.unit', 2, 2, False)} FROM wide w)"
-    sql["score_corr_samples_app"] = _with(*_HUMAN_SCORES, d1_app, samples) + " " + \
-        _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
+    sql["score_corr_samples_app"] = _spearman_sql([*_HUMAN_SCORES, d1_app, samples], "sm", [], "mean_gene1", "mean_gene2")
     sql["heatmap_group_distance"] = _heat_prefix(_CELL_SAMPLE) + _distance_sql("r2", "gene", "grp", "log_exp", "group")
     sql["celltype_heatmap_distance"] = _heat_prefix("cell_type") + _distance_sql("r2", "grp", "gene", "log_exp", "gene")
     sql["celltype_heatmap_group_distance"] = _heat_prefix("cell_type") + _distance_sql("r2", "gene", "grp", "log_exp", "group")
@@ -1058,10 +1071,8 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     sql["corr_genes_mouse"] = _heat_prefix("cell_type", units_sql=fx.SQL_UNITS_MOUSE, human=False) + " " + \
         _pearson_sql("grp", "gene", "gene_a", "gene_b").replace("WITH ", ", ", 1)
     d1m = "d1 AS (SELECT w.*, " + mouse_cols.replace("{u}", "w.unit") + " FROM wide w)"
-    sql["score_corr_mouse_samples"] = _with(*_MOUSE_SCORES, d1m, samples) + " " + \
-        _spearman_sql("sm", [], "mean_gene1", "mean_gene2").replace("WITH ", ", ", 1)
-    sql["score_corr_mouse_celltype"] = _with(*_MOUSE_SCORES, d1m, _D1F) + " " + \
-        _spearman_sql("d1f", ["cell_type"], "gene_sig_score_1", "gene_sig_score_2").replace("WITH ", ", ", 1)
+    sql["score_corr_mouse_samples"] = _spearman_sql([*_MOUSE_SCORES, d1m, samples], "sm", [], "mean_gene1", "mean_gene2")
+    sql["score_corr_mouse_celltype"] = _spearman_sql([*_MOUSE_SCORES, d1m, _D1F], "d1f", ["cell_type"], "gene_sig_score_1", "gene_sig_score_2")
     sql["score_fit_mouse_samples"] = _fit_sql([], "sm", "mean_gene1", "mean_gene2", (*_MOUSE_SCORES, d1m, samples))
     sql["score_fit_mouse_celltype"] = _fit_sql(["cell_type"], ctes=(*_MOUSE_SCORES, d1m, _D1F))
     sql["score_fit_band_mouse_samples"] = _band_sql([], "sm", "mean_gene1", "mean_gene2", (*_MOUSE_SCORES, d1m, samples))

@@ -212,3 +212,63 @@ def test_ranks_and_quantiles(spark):
     for _, r in q.iterrows():
         vals = pdf[pdf.fk == (r.f if r.f is not None else "~")].v.dropna()
         assert np.allclose([r.q1, r["median"], r.q3], np.percentile(vals, [25, 50, 75]))
+
+
+# ---- p of Spearman ----------------------------------------------------------------------------
+
+def _spearman_p(spark, x, y):
+    rows = [(float(a), float(b)) for a, b in zip(x, y, strict=True)]
+    row = A.spearman(spark.createDataFrame(rows, "x double, y double"), [], "x", "y").first()
+    return row["p"], row["p_method"]
+
+
+def test_spearman_counts_are_the_permutations():
+    from itertools import permutations
+    assert A.spearman_counts(3) == [1, 2, 0, 2, 1]           # S = 0, 2, 2, 6, 6, 8 over six orders
+    for n in (4, 6):
+        got = A.spearman_counts(n)
+        want = [0] * len(got)
+        for p in permutations(range(n)):
+            want[sum((i - v) ** 2 for i, v in enumerate(p)) // 2] += 1
+        assert got == want
+    assert sum(A.spearman_counts(9)) == math.factorial(9)
+
+
+def test_spearman_exact_golden(spark):
+    # nine pairs of hue and panel score, S = 48: rho 0.6, p 0.0968 as published with the data
+    x = [44.4, 45.9, 41.9, 53.3, 44.7, 44.1, 50.7, 45.2, 60.1]
+    y = [2.6, 3.1, 2.5, 5.0, 3.6, 4.0, 5.2, 2.8, 3.8]
+    p, method = _spearman_p(spark, x, y)
+    assert method == "exact" and p == pytest.approx(0.0968, abs=5e-5)
+    # n = 4, S = 2: the identity and three neighbours swapped, so 2 * 4 / 24
+    assert _spearman_p(spark, [1, 2, 3, 4], [1, 2, 4, 3]) == (pytest.approx(8 / 24), "exact")
+    assert _spearman_p(spark, [1, 2, 3, 4], [4, 3, 2, 1]) == (pytest.approx(2 / 24), "exact")
+    assert _spearman_p(spark, [1, 2], [5, 6]) == (1.0, "exact")
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_spearman_series_is_near_the_exact_tail(spark, n):
+    counts = np.cumsum(A.spearman_counts(n)) / math.factorial(n)
+    rng = np.random.default_rng(n)
+    for tilt in (0.0, 0.5, 1.5, -0.7):
+        y = rng.permutation(n) + tilt * np.arange(n)
+        ranks = np.argsort(np.argsort(y))
+        s = int(((ranks - np.arange(n)) ** 2).sum())
+        low = min(s, n * (n * n - 1) // 3 - s)
+        p, method = _spearman_p(spark, range(n), ranks)
+        assert method == "edgeworth" and p == pytest.approx(min(1.0, 2 * counts[low // 2]), abs=2e-3)
+
+
+def test_spearman_method_by_size_and_ties(spark):
+    t = _t_two_sided_numeric
+    x, y = [1, 2, 2, 4, 5, 6], [1, 3, 2, 4, 6, 5]
+    p, method = _spearman_p(spark, x, y)
+    r = np.corrcoef([1, 2.5, 2.5, 4, 5, 6], y)[0, 1]
+    assert method == "t" and p == pytest.approx(t(r * math.sqrt(4 / (1 - r * r)), 4), abs=1e-9)
+    rng = np.random.default_rng(1)
+    for n, method in ((1289, "edgeworth"), (1290, "t")):
+        y = rng.permutation(n)
+        p, got = _spearman_p(spark, range(n), y)
+        r = np.corrcoef(np.arange(n), y)[0, 1]
+        assert got == method and p == pytest.approx(math.erfc(abs(r) * math.sqrt(n - 1) / math.sqrt(2)), abs=2e-3)
+    assert _spearman_p(spark, [1, 1, 1], [1, 2, 3]) == (None, None) and _spearman_p(spark, [1], [1]) == (None, None)
