@@ -5,8 +5,10 @@ hold it, hashed into one weight table; learned transitions join neighbouring wor
 Forward-backward gives every word a distribution over the languages, so code-switched text is
 labelled word by word; a document's language has the largest mean probability.
 
-The field is fitted on the driver on a bounded sample: ``SAMPLE_DOCS`` whole texts of a language, of at
-most ``SAMPLE_CHARS`` characters, from labelled documents whose crc32(doc_id) mod 3 isn't 1. Pieces of
+The field is fitted on the driver on a bounded sample: ``SAMPLE_DOCS`` different documents of a language,
+the first ``SAMPLE_CHARS`` characters of each, from labelled documents whose crc32(doc_id) mod 3 isn't 1;
+a null doc_id has no such remainder and isn't learned from. Each language has its own places in the
+sample, repeated rows take one, and reruns choose the same. Pieces of
 different languages are strung together, so that switches are seen. Only text and lang are learned from;
 predictions use text alone, over whole texts.
 
@@ -23,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,17 +260,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded training sample: (text, lang)."""
-    usable = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", "lang")
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    chosen, languages = [], [r.lang for r in usable.select("lang").distinct().collect()]
-    for lang in sorted(languages):
-        chosen += [r.doc_id for r in usable.where(F.col("lang") == lang).orderBy(order, "doc_id").limit(SAMPLE_DOCS).collect()]
-    if not chosen:
+    """The bounded training sample: (text, lang), per language the SAMPLE_DOCS least of its different
+    (doc_id, text) by a hash, the first SAMPLE_CHARS characters of each. Two scans, whatever the number
+    of languages; the first shuffles a hash per document, pre-aggregated."""
+    learned = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False))
+    usable = docs.where(F.col("lang").isNotNull() & learned & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"), F.col("text")))
+    keyed = usable.select("lang", key.alias("key"), "text")
+    order = Window.partitionBy("lang").orderBy("key")
+    least = keyed.groupBy("lang", "key").agg(F.lit(1)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
+    # one row per language
+    cuts = {r.lang: r.cut for r in least.groupBy("lang").agg(F.max("key").alias("cut")).collect()}
+    if not cuts:
         return []
-    texts = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.select("doc_id", "text", "lang").limit(SAMPLE_DOCS * len(languages)).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text))]
+    cut = F.map_from_arrays(F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts.values())))
+    chosen = keyed.where(F.col("key") <= F.try_element_at(cut, F.col("lang"))).select("lang", "key", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    return [(r.text, r.lang) for r in sorted(chosen.dropDuplicates(["lang", "key"]).collect(), key=lambda r: (r.lang, r.key))]
 
 
 def identify(docs: DataFrame, chain: Chain, name: str = "language") -> DataFrame:

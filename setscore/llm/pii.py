@@ -1,17 +1,21 @@
 """Personal data, and terms that reveal it: information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IPs, payment cards and phone numbers. They are the protected
-entities. The method estimates from the whole corpus how strongly a term near an entity gives it
-away. With document frequencies over N documents, an entity e carries IC(e) = -log2 p(e), and a
-term t discloses PMI(t; e) = log2(p(t, e) / (p(t) p(e))) of it, where p(t, e) counts documents in
-which t stands within ``CONTEXT`` characters of e. A term whose share PMI / IC reaches
-``GENERALISE`` is exchanged for its class, and one that reaches ``REMOVE`` is taken out. Pairs that
-fewer than ``SUPPORT`` different texts show say nothing and are left.
-
-Everything is DataFrame functions. Entities and their contexts are written once, without texts.
-Frequencies of terms are partial sums per (term) before their shuffle; pairs likewise, so a hot
-entity or a frequent word is one row per task. Spans of terms depend on the text alone, so they are
-made once per different text and joined back by its hash; copies aren't expanded.
+entities. The method estimates from the whole corpus how strongly a term of an entity's texts gives
+it away. With document frequencies over N documents, an entity e carries IC(e) = -log2 p(e), and a
+term t discloses PMI(t; e) = log2(p(t, e) / (p(t) p(e))) of it; all three count documents by their
+whole texts, the words inside entities included. A term whose share PMI / IC reaches ``GENERALISE``
+is exchanged for its class, and one that reaches ``REMOVE`` is taken out, at every place outside
+entities in each text that holds the entity. Pairs that fewer than ``SUPPORT`` different texts show
+say nothing and are left.
+
+Everything is DataFrame functions. Entities are written once, with the texts that have any.
+Frequencies are partial sums per term before their shuffle; pairs likewise, so a hot entity or a
+frequent word is one row per task. Pairs are made only where they can reach a threshold: the entity
+and the term stand in ``SUPPORT`` texts or more, and n(t) <= n(e) (N / n(e)) ** (1 - GENERALISE), as
+n(t, e) <= n(e). A text with very many pairs is dealt over several tasks by its terms. Terms depend
+on the text alone, so they are found once per different text and joined back by its hash; copies
+aren't expanded.
 
 Nulls and empty texts have no spans. Repeated rows each give their own row and each count in the
 frequencies. Other columns are left out; their names can't clash.
@@ -39,7 +43,7 @@ BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"[\p{L}\p{N}]+"
 KINDS = ["email", "ip", "card", "phone"]
 
-CONTEXT = 48             # characters on either side of an entity whose whole words are its terms
+PAIRS = 1 << 20          # pairs of a text that one task makes
 SUPPORT = 3              # different texts that must show a pair
 GENERALISE = 0.8         # share of an entity's information
 REMOVE = 0.95
@@ -76,23 +80,8 @@ def _lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def _near(text: Column, entities: Column) -> Column:
-    """Per entity, the text on both sides, cut at whole words, with its place."""
-    def sides(e: Column) -> Column:
-        first = F.greatest(e["start"] - CONTEXT - 1, F.lit(0))
-        # one more character on the far side tells whether a word was cut; that word goes
-        before = text.substr(first + 1, e["start"] - first)
-        before = F.when(first > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-        after = text.substr(e["end"] + 1, F.lit(CONTEXT + 1))
-        after = F.when(F.length(text) > e["end"] + CONTEXT, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-        return F.struct(e["kind"].alias("kind"), e["value"].alias("value"),
-                        F.array(F.struct((e["start"] - F.length(before)).alias("at"), before.alias("text")),
-                                F.struct(e["end"].alias("at"), after.alias("text"))).alias("sides"))
-    return F.transform(entities, sides)
-
-
 def find_entities(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(row, base, text_key, near) per document, written once. near is null without entities; text_key
+    """(row, base, text_key, text) per document, written once. text is null without entities; text_key
     is then the row's own, so that such rows spread over the join that follows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text.alias("text"))
@@ -100,53 +89,71 @@ def find_entities(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     has = F.size("base") > 0
     return materialise(found.select("row", "base", F.when(has, F.md5("text")).otherwise(
                                         F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).alias("text_key"),
-                                    F.when(has, _near(F.col("text"), F.col("base"))).alias("near")), "pii")
+                                    F.when(has, F.col("text")).alias("text")), "pii")
 
 
-def occurrences(found: DataFrame) -> DataFrame:
-    """(text_key, n, kind, value, term, start, end): terms near entities, once per different text;
-    n documents have that text."""
-    near = (found.where(F.col("near").isNotNull()).groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("near").alias("near"))
-                 .select("text_key", "n", F.explode("near").alias("e"))
-                 .select("text_key", "n", "e.kind", "e.value", F.explode("e.sides").alias("side")))
-    every = S.match_spans(F.col("side.text"), TERM, 0, "term", lambda m: F.lit(True), F.lit(True))
-    return (near.select("text_key", "n", "kind", "value", F.col("side.at").alias("at"), F.explode(every).alias("t"))
-                .select("text_key", "n", "kind", "value", _lower(F.col("t.value")).alias("term"),
-                        (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")))
+def _terms(text: Column) -> Column:
+    """The different words of a text, A-Z lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(_lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, occ: DataFrame) -> DataFrame:
-    """(kind, value, term, action): pairs whose disclosed share reaches a threshold."""
-    pairs = (occ.groupBy("kind", "value", "term", "text_key").agg(F.first("n").alias("n"))
-                .groupBy("kind", "value", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("n_texts"))
-                .where(F.col("n_texts") >= SUPPORT))
-    pairs = materialise(pairs, "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_entity = (found.where(F.col("near").isNotNull())
-                     .select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
-                     .groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n_entity")))
+def held_entities(found: DataFrame) -> DataFrame:
+    """(text_key, n, kind, value, n_entity, total): the entities of each different text with entities
+    that SUPPORT texts or more hold; n documents have the text, n_entity hold the entity, of total."""
+    held = found.where(F.col("text").isNotNull()).groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("base"))
+    every = held.select("text_key", "n", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
+    every = materialise(every.select("text_key", "n", "e.kind", "e.value"), "pii-held")
+    known = (every.groupBy("kind", "value").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
+                  .where(F.col("n_texts") >= SUPPORT).select("kind", "value", "n_entity"))
     total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rated = pairs.join(n_entity, ["kind", "value"]).join(n_term, "term")
+    return materialise(every.join(known, ["kind", "value"]).withColumn("total", total), "pii-known")
+
+
+def texts_of_entities(found: DataFrame, held: DataFrame) -> DataFrame:
+    """(text_key, text) of the different texts that hold a known entity."""
+    keys = held.select("text_key").distinct()
+    return found.where(F.col("text").isNotNull()).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+
+
+def disclosures(docs: DataFrame, texts: DataFrame, held: DataFrame) -> DataFrame:
+    """(kind, value, term, action): pairs whose disclosed share reaches a threshold."""
+    n_term = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # the most frequent term that can reach a threshold for an entity
+    reach = F.pow(F.col("n_entity").cast("double"), F.lit(GENERALISE)) * F.pow(F.col("total").cast("double"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    held = held.withColumn("reach", reach)
+    per_text = held.groupBy("text_key").agg(F.max("reach").alias("text_reach"), F.count(F.lit(1)).alias("n_entities"))
+    rows = texts.join(per_text, "text_key").select("text_key", "text_reach", "n_entities", _terms(F.col("text")).alias("terms"))
+    parts = F.ceil(F.col("n_entities") * F.size("terms") / PAIRS).cast("int")
+    rows = materialise(rows.withColumn("parts", F.greatest(F.lit(1), parts)), "pii-terms")
+    some = rows.select("text_key", "text_reach", "parts", F.explode("terms").alias("term")).join(n_term.where(F.col("n_term") >= SUPPORT), "term")
+    some = some.where(F.col("n_term") <= F.col("text_reach")).select(
+        "text_key", "term", "n_term", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"))
+    dealt = held.join(rows.select("text_key", "parts"), "text_key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = some.join(dealt, ["text_key", "part"]).where(F.col("n_term") <= F.col("reach"))
+    pairs = (pairs.groupBy("kind", "value", "term", "n_term", "n_entity", "total").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("n_texts"))
+                  .where(F.col("n_texts") >= SUPPORT))
     # IC - PMI = -log2 p(e|t)
-    ic = F.log2(total / F.col("n_entity"))
+    ic = F.log2(F.col("total") / F.col("n_entity"))
     share = F.when(ic > 0, 1 - F.log2(F.col("n_term") / F.least("n_pair", "n_term")) / ic)
-    return rated.withColumn("share", share).where(F.col("share") >= GENERALISE).select(
+    return pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select(
         "kind", "value", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
 def disclosing_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs``, with base (entities) and terms (what reveals them)."""
     found = find_entities(docs, keep)
-    occ = occurrences(found)
-    pairs = disclosures(docs, found, occ)
-    told = (occ.join(pairs, ["kind", "value", "term"])
-               .groupBy("text_key", "start", "end", F.col("term").alias("value")).agg(F.max("action").alias("action"))
-               .groupBy("text_key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind_no"),
-                                                                F.col("action").alias("kind"), "end", "value")).alias("told")))
+    held = held_entities(found)
+    texts = materialise(texts_of_entities(found, held), "pii-texts")
+    pairs = materialise(disclosures(docs, texts, held), "pii-pairs")
+    marks = (held.join(pairs, ["kind", "value"]).groupBy("text_key", "term").agg(F.max("action").alias("action"))
+                 .groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")))
+    places = S.match_spans(_lower(F.col("text")), TERM, len(KINDS), "term", lambda m: F.map_contains_key(F.col("marks"), m), F.lit(True))
+    told = texts.join(marks, "text_key").select("text_key", "marks", places.alias("places"))
+    told = told.select("text_key", F.transform("places", lambda s: F.struct(
+        s["start"].alias("start"), s["kind_no"].alias("kind_no"), F.try_element_at(F.col("marks"), s["value"]).alias("kind"),
+        s["end"].alias("end"), s["value"].alias("value"))).alias("told"))
     out = found.join(told, "text_key", "left")
-    terms = F.filter(F.coalesce("told", S.no_spans()), lambda s: ~S.overlaps(F.col("base"), s))
-    return out.select("row.*", "base", S.by_start(terms).alias("terms"))
+    return out.select("row.*", "base", S.beside(F.coalesce("told", S.no_spans()), F.col("base")).alias("terms"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

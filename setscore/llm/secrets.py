@@ -10,8 +10,8 @@ isn't discovered is reported as random. A token must be long enough for uniformi
 ``MIN_BITS`` of the encoding's entropy.
 
 Everything is DataFrame functions. One pass extracts spans and test results per document and is
-written to the shared folder without texts; the p-values are counted there per band and rounded
-value (at most ``P_STEPS`` rows a band), whatever the corpus' size.
+written to the shared folder without texts; the p-values are counted there per band and value on a
+logarithmic grid (at most 300 ``P_STEPS`` rows a band), whatever the corpus' size.
 
 Nulls and empty texts have no spans. Repeated rows each give their own row, and each counts in the
 bands. Other columns are left out of the result; their names can't clash.
@@ -46,7 +46,8 @@ ENCODINGS = [
     ("base64", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+=*$", UPPERS + LOWERS + DIGITS + "+/"),
 ]
 MIN_BITS = 80            # least entropy of a reported token, as a random string of its encoding
-P_STEPS = 10_000         # p-values are rounded up to so many steps for the band counts
+P_STEPS = 100            # steps of a power of ten that p-values are rounded up to for the band counts
+P_LEAST = 1e-300
 LEVEL = 0.05             # false-discovery rate of "structured" within a band
 
 
@@ -124,7 +125,12 @@ def _tested(tokens: Column) -> Column:
     return F.transform(inferred, lambda t: F.struct(
         t["span"].alias("span"),
         F.concat(t["encoding"], F.lit(":"), F.floor(F.log2(F.length(t["body"]))).cast("string")).alias("band"),
-        (F.ceil(battery(t["body"], t["alphabet"]) * P_STEPS) / P_STEPS).alias("p")))
+        rounded_up(battery(t["body"], t["alphabet"])).alias("p")))
+
+
+def rounded_up(p: Column) -> Column:
+    """p on a logarithmic grid, down to P_LEAST: at most 2.4 % more, however small."""
+    return F.least(F.lit(1.0), F.pow(F.lit(10.0), F.ceil(F.log10(F.greatest(p, F.lit(P_LEAST))) * P_STEPS) / P_STEPS))
 
 
 def band_cuts(tested: DataFrame) -> DataFrame:
@@ -146,7 +152,7 @@ def secret_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     found = docs.select(kept, text.alias("text")).select(
         "row", S.by_start(_base_spans(F.col("text"))).alias("base"),
         S.match_spans(F.col("text"), TOKEN, 3, "random", lambda m: m.rlike("[0-9]"), F.col("text").rlike(TOKEN)).alias("tokens"))
-    found = found.select("row", "base", F.filter("tokens", lambda t: ~S.overlaps(F.col("base"), t)).alias("tokens"))
+    found = found.select("row", "base", S.beside(F.col("tokens"), F.col("base")).alias("tokens"))
     found = materialise(found.select("row", "base", _tested(F.col("tokens")).alias("tested")), "secrets")
     cuts = band_cuts(found.select(F.explode("tested").alias("t")).select("t.band", "t.p"))
     # at most encodings x length powers of two entries

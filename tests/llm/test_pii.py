@@ -39,7 +39,7 @@ ODD = [None, "", "a@b.c", "a@b.c_d@e.f", "a@b.c@d.e", "x a.b+c@d-e.f.g. y", "@",
 
 def test_base_spans_of_odd_texts(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, ODD[2]), (2, ODD[2]), (2, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(0)).withColumn("base", F.lit(0)).withColumn("near", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(0)).withColumn("base", F.lit(0)).withColumn("marks", F.lit("x")).withColumn("parts", F.lit(3))
     got = X.disclosing_spans(df, keep=("doc_id", "text")).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -62,11 +62,9 @@ def brute_terms(docs: list[str]) -> dict[str, list[tuple[int, int, str]]]:
         seen = set()
         for _, a, k, b in ents:
             for m in word.finditer(t):
-                # whole words within CONTEXT characters
-                if (m.end() <= a and m.start() >= a - X.CONTEXT) or (m.start() >= b and m.end() <= b + X.CONTEXT):
-                    w = m[0].translate(str.maketrans(X.UPPER, X.LOWER))
-                    seen.add((k, t[a:b], w))
-                    occ[t].add((k, t[a:b], w, m.start(), m.end()))
+                w = m[0].translate(str.maketrans(X.UPPER, X.LOWER))
+                seen.add((k, t[a:b], w))
+                occ[t].add((k, t[a:b], w, m.start(), m.end()))
         for p in seen:
             pairs[p] += 1
             texts[p].add(t)
@@ -91,6 +89,8 @@ def revealing():
     docs = [f"the plain line {i} of words and more words in it" for i in range(40)]
     docs += [f"agent Zorblax at desk {i} mail z@spy.org the and words" for i in range(4)]
     docs += ["agent Zorblax at desk 2 mail z@spy.org the and words"] * 5
+    far = "filler of the plain line and more words " * 6
+    docs += [f"Quexel {i} {far} mail q@far.org {far} and Quexel again, quexel. far" for i in range(4)]
     docs += [f"words {i} agent on line +1 (988) 555-2485 the end 10.0.0.1 zz" for i in range(3)]
     return docs + ["once only y@spy.org rareword here", ""]
 
@@ -100,6 +100,9 @@ def test_terms_against_brute_force(spark, revealing):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(revealing)], "doc_id long, text string")
     got = X.disclosing_spans(df, keep=("doc_id", "text")).collect()
     assert any(want.values())
+    # a name far from its address, at all of its places
+    far = [(t, {a for a, _, _ in v}) for t, v in want.items() if t.startswith("Quexel")]
+    assert len(far) == 4 and all({m.start() for m in re.finditer("(?i)quexel", t)} <= places for t, places in far)
     for r in got:
         assert [(s.start, s.end, s.kind) for s in r.terms] == want[r.text], r.text
 
@@ -109,6 +112,15 @@ def test_sanitise(spark, revealing):
     got = {r.doc_id: r.text for r in X.sanitise(df).collect()}
     assert got[999] is None and got[0] == revealing[0] and "[email]" in got[40] and "Zorblax" not in got[40]
     assert "rareword" in got[len(revealing) - 2]
+    assert not any("quexel" in (t or "").lower() for t in got.values())
+
+
+def test_pairs_of_a_text_dealt_over_tasks(spark, revealing, monkeypatch):
+    monkeypatch.setattr(X, "PAIRS", 7)
+    want = brute_terms(revealing)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(revealing)], "doc_id long, text string")
+    for r in X.disclosing_spans(df, keep=("doc_id", "text")).collect():
+        assert [(s.start, s.end, s.kind) for s in r.terms] == want[r.text], r.text
 
 
 def test_query_matches_brute_force(spark):

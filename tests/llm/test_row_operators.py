@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import re
 import textwrap
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +156,18 @@ def test_code_switching_and_odd_rows(spark, odd):
     assert {x.l9.lang for x in langid.identify(odd, empty, name="l9").select("l9").collect()} == {"und"}
 
 
+def test_every_language_has_its_own_sample(spark):
+    """A hot document takes one place; a language of long texts only is learned; reruns choose alike."""
+    rows = [(0, "the hot one of many rows", "en")] * 3_000 + [(i, f"ein Satz Nummer {i} und mehr", "de") for i in range(1, 301)]
+    rows += [(i, f"una frase numero {i} " * 2_000, "es") for i in range(301, 320)] + [(400, None, "xx"), (401, "", "xx"), (402, "12 34", "xx"), (None, "no id", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = langid.sample(df)
+    usable = lambda lang: len({(i, t) for i, t, g in rows if g == lang and i is not None and zlib.crc32(str(i).encode()) % 3 != 1})
+    count = Counter(lang for _, lang in got)
+    assert count == {lang: min(langid.SAMPLE_DOCS, usable(lang)) for lang in ("en", "de", "es")} and count["es"] > 5
+    assert max(len(t) for t, _ in got) == langid.SAMPLE_CHARS and got == langid.sample(df.repartition(3))
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 

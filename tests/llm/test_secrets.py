@@ -128,3 +128,60 @@ def test_redact_and_empty_table(spark, odd):
     got = {r.doc_id: r.text for r in X.redact(odd.where("doc_id >= 4 and doc_id <= 5")).collect()}
     assert got == {4: "token=abc", 5: "[assign]"}
     assert X.secret_spans(odd.where("false")).collect() == []
+
+
+def test_one_structured_token_among_many_random_ones(spark):
+    rng = random.Random(21)
+    letters = X.ENCODINGS[-1][2]
+    rows = [(i, f"see A1b{''.join(rng.choice(letters) for _ in range(40))} there") for i in range(10_000)]
+    strong = "A1b" + "abc" * 13 + "a"
+    assert brute_battery(strong, letters) < 1e-6
+    rows.append((10_000, f"see {strong} there"))
+    got = {r.doc_id: len(r.extra) for r in X.secret_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got[10_000] == 0 and sum(got.values()) > 9_400
+    p = spark.createDataFrame([(1e-30,), (1e-6,), (0.0499,), (1.0,), (0.0,)], "p double").select(F.col("p"), X.rounded_up(F.col("p")).alias("r")).collect()
+    assert all(max(r.p, 1e-300) * 0.9999 <= r.r <= max(r.p, 1e-300) * 1.024 for r in p)
+
+
+def test_false_reports_of_structured_names(spark):
+    """Dates, paths, slugs, versions and camel-case names beside random tokens: the share that is reported stays small."""
+    rng = random.Random(4)
+    words = "quarter report final index render widget invoice customer archive module driver station harbour".split()
+    w = lambda: rng.choice(words)
+    plain = ([f"{w()}-{w()}-{w()}-2024-{m:02d}-{d:02d}" for m in range(1, 6) for d in range(1, 11)]
+             + [f"/usr/lib/{w()}/{w()}/{w()}.{k}" for k in range(10, 60)] + [f"{w().title()}{w().title()}{w().title()}Service{k}" for k in range(50)]
+             + [f"https/{w()}/{w()}/{w()}/page{k}" for k in range(50)])
+    letters = X.ENCODINGS[-1][2][:62]
+    rows = [(i, f"x {t} y") for i, t in enumerate(plain)] + [(1000 + i, "x A1b" + "".join(rng.choice(letters) for _ in range(40)) + " y") for i in range(1000)]
+    got = {r.doc_id: len(r.extra) for r in X.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    false = sum(got[i] > 0 for i in range(len(plain)))
+    print("false reports", false, "of", len(plain), "found", sum(got[1000 + i] for i in range(1000)))
+    assert false <= 0.2 * len(plain) and sum(got[1000 + i] for i in range(1000)) >= 900
+
+
+def test_spans_in_linear_time(spark):
+    import time
+    def run(n):
+        text = " ".join(f"token=abc{i:06d} {i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        r = X.secret_spans(df, keep=("doc_id", "text")).first()
+        assert joined([(s.start, s.kind_no, s.kind, s.end) for s in r.base]) == joined(base(text))
+        return time.time() - t
+    run(100)
+    assert run(50_000) < 30
+
+
+def test_tokens_beside_base_spans(spark):
+    """Against the definition: tokens that overlap no base span, over random spans of one text."""
+    from setscore.llm import spans as S
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        cuts = sorted(rng.sample(range(60), 12))
+        own = [(a, 3, "random", b, "t") for a, b in zip(cuts[::2], cuts[1::2])]
+        other = sorted((a, k, "hex", a + rng.randint(1, 9), "o") for k in range(3) for a in rng.sample(range(60), rng.randint(0, 2)))
+        rows.append((i, own, other))
+    df = spark.createDataFrame(rows, f"i int, own {S.SPAN_TYPE}, other {S.SPAN_TYPE}")
+    for r in df.select("own", "other", S.beside(F.col("own"), F.col("other")).alias("got")).collect():
+        assert [s.start for s in r.got] == [s.start for s in r.own if not any(o.start < s.end and s.start < o.end for o in r.other)]
