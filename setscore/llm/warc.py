@@ -201,7 +201,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                     yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
     files = manifest.select("file")
-    return files.repartition(F.col("file")).mapInArrow(read, READ_SCHEMA)
+    # names are few bytes and archives much work: a task each, which adaptive execution mustn't coalesce
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(read, READ_SCHEMA)
 
 
 def op8_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,12 @@ def test_archive_round_trip(spark):
         assert (r.record_type == "response") == (r.refers_to is None)
         if r.record_type == "response" and r.page_id is not None:
             assert r.payload.decode() == by_id[r.page_id] and "\n" not in r.url
+    # many small archives are many tasks
+    many = [warc.write_archives(df.where(f"page_id % 5 = {k}"), folder) for k in range(5)]
+    many = many[0].unionByName(many[1]).unionByName(many[2]).unionByName(many[3]).unionByName(many[4])
+    read = warc.read_archives(many, folder)
+    tasks = read.select(F.spark_partition_id().alias("t"), "page_id").distinct().groupBy("t").count().count()
+    assert read.rdd.getNumPartitions() == many.count() >= 5 and tasks == many.count()
     empty = warc.write_archives(df.where("false"), folder)
     assert warc.read_archives(empty, folder).collect() == []
 
