@@ -115,30 +115,28 @@ def _counted_tail(n: Column, s: Column) -> Column:
     return F.element_at(table, (s / 2).cast("int") + 1)
 
 
-def _series_tail(n: Column, s: Column) -> Column:
-    """P(S <= s) by the Edgeworth series, s even; taken midway to the next value."""
+def _with_spearman_p(found: DataFrame) -> DataFrame:
+    """``found`` (n, r, _ties, ...) with p and p_method: ``exact``, ``edgeworth`` or ``t``."""
+    n, r, s, x, y, b = (F.col(c) for c in ("_n", "r", "_s", "_x", "_y", "_b"))
+    exact, series = ~F.col("_ties") & (F.col("n") <= COUNTED_UP_TO), ~F.col("_ties") & (F.col("n") < SERIES_BELOW)
+    method = F.when(r.isNull() | F.isnan(r), F.lit(None)).when(exact, "exact").when(series, "edgeworth").when(F.col("n") >= 3, "t")
+    # steps of their own, so that none is spelled out again wherever it is used
+    out = found.withColumns({"p_method": method, "_n": F.col("n").cast("double")})
+    out = out.withColumns({"_all": (n * n * n - n) / 3, "_b": 1.0 / n})         # S of the reversed order
+    out = out.withColumn("_s", 2 * F.round(F.col("_all") * (1 - r) / 4))
+    out = out.withColumn("_s", F.least(s, F.col("_all") - s))                   # S is distributed symmetrically
+    # P(S <= s) by the Edgeworth series, taken midway to the next value
+    out = out.withColumn("_x", F.try_divide(6.0 * (s + 1) * b, n * n - 1.0) * F.sqrt(n - 1.0) - F.sqrt(n - 1.0))
+    out = out.withColumn("_y", x * x)
     c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, c12 = SERIES
-    b = 1.0 / n
-    x = (6.0 * (s + 1) * b / (n * n - 1.0) - 1.0) * F.sqrt(n - 1.0)
-    y = x * x
     u = x * b * (c1 + b * (c2 + c3 * b) + y * (-c4 + b * (c5 + c6 * b) - y * b * (c7 + c8 * b - y * (c9 - c10 * b + y * b * (c11 - c12 * y)))))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), phi(x) - u * F.exp(y * -0.5)))
-
-
-def spearman_p(n: Column, r: Column, ties: Column) -> tuple[Column, Column]:
-    """(p, p_method) of a Spearman correlation: ``exact``, ``edgeworth`` or ``t``."""
-    size = n.cast("double")
-    all_s = (size * size * size - size) / 3                     # S of the reversed order
-    s = 2 * F.round(all_s * (1 - r) / 4)
-    lower = F.least(s, all_s - s)                               # S is distributed symmetrically
-    twice = lambda tail: F.least(F.lit(1.0), 2 * tail)
-    t = r * F.sqrt(F.try_divide(size - 2, 1 - r * r))
-    by_t = F.when(n < 3, F.lit(None)).when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(t_two_sided_p(t, n - 2))
-    method = (F.when(r.isNull() | F.isnan(r), F.lit(None)).when(~ties & (n <= COUNTED_UP_TO), "exact")
-               .when(~ties & (n < SERIES_BELOW), "edgeworth").when(n >= 3, "t"))
-    p = (F.when(method == "exact", twice(_counted_tail(n, lower))).when(method == "edgeworth", twice(_series_tail(size, lower)))
-          .when(method == "t", by_t))
-    return p.cast("double"), method
+    tail = (F.when(F.col("p_method") == "exact", _counted_tail(F.col("n"), s))
+             .when(F.col("p_method") == "edgeworth", F.greatest(F.lit(0.0), phi(x) - u * F.exp(y * -0.5))))
+    t = r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+    out = out.withColumns({"_tail": tail, "_t": F.when(F.col("p_method") == "t", t)})
+    by_t = F.when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(t_two_sided_p(F.col("_t"), F.col("n") - 2))
+    p = F.when(F.col("p_method") == "t", by_t).when(F.col("_tail") > 0.5, 1.0).otherwise(2 * F.col("_tail")).cast("double")
+    return out.withColumn("p", p).drop("_n", "_all", "_b", "_s", "_x", "_y", "_tail", "_t", "_ties")
 
 
 def spearman(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:
@@ -146,7 +144,7 @@ def spearman(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:
     a constant column, or a single row, has no r, p or method."""
     facets = list(facets)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = mid_rank(mid_rank(d, facets, x, "_rx"), facets, y, "_ry")
+    ranked = ranks.mid_ranks(d.select(*facets, x, y), facets, {x: "_rx", y: "_ry"})
     m = ranked.groupBy(*facets).agg(F.count(F.lit(1)).alias("n"),
                                     F.regr_sxy("_ry", "_rx").alias("sxy"),
                                     F.regr_sxx("_ry", "_rx").alias("sxx"),
@@ -155,9 +153,8 @@ def spearman(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:
     # a tie of t takes (t^3 - t) / 12, a half at least, from the squares of the ranks 1 ... n
     size = F.col("n").cast("double")
     ties = F.least("sxx", "syy") < (size * size * size - size) / 12 - 0.25
-    out = m.select(*facets, "n", r.alias("r"), ties.alias("_ties"))
-    p, method = spearman_p(F.col("n"), F.col("r"), F.col("_ties"))
-    return out.select(*facets, "n", "r", p.alias("p"), method.alias("p_method"))
+    out = _with_spearman_p(m.select(*facets, "n", r.alias("r"), ties.alias("_ties")))
+    return out.select(*facets, "n", "r", "p", "p_method")
 
 
 def linear_fit(df: DataFrame, facets: Sequence[str], x: str, y: str) -> DataFrame:

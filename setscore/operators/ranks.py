@@ -7,7 +7,7 @@ primitive, :func:`value_positions`, which never gathers a facet:
 
 1. count rows per (facet, value); the partial aggregate makes a hot value one row;
 2. range-partition those distinct values and take cumulative counts inside
-   each partition (one vectorised pass per partition, in order);
+   each range (a window per range);
 3. add, per facet, the totals of the earlier partitions (a table of at most
    partitions x facets rows).
 
@@ -23,86 +23,55 @@ no part; NaN is a value above all others; -0.0 equals 0.0.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from setscore.operators.joins import join_on_keys, work_partitions
+from setscore.operators.joins import join_on_keys
 from setscore.session import cut_lineage
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-_NULL = object()
-
-def _local_before(keys: list[str]):
-    """Per partition: count of rows of the same facet before each distinct value.
-
-    Rows arrive sorted by (keys, value), so each facet is one contiguous run;
-    a run may continue from the previous Arrow batch. Columns pass through as they are.
-    """
-    def run(batches):
-        prev_key = None      # facet of the last row of the previous batch
-        carry = 0            # rows of that facet already seen in this partition
-        for batch in batches:
-            n = batch.num_rows
-            before = np.zeros(n, dtype=np.int64)
-            if n:
-                cnt = batch.column(batch.schema.get_field_index("_cnt")).to_numpy()
-                cols = [np.array([_NULL if v is None else v for v in batch.column(batch.schema.get_field_index(k)).to_pylist()], dtype=object)
-                        for k in keys]
-                new = np.zeros(n, dtype=bool)
-                for c in cols:
-                    new[1:] |= c[1:] != c[:-1]
-                first_key = tuple(c[0] for c in cols)
-                new[0] = prev_key is None or first_key != prev_key
-                excl = np.cumsum(cnt) - cnt                  # rows before, within the batch
-                run_id = np.cumsum(new)                      # 0 = continuation of the previous batch
-                starts = excl[new]                           # excl at the start of each new run
-                base = np.full(n, -carry, dtype=np.int64)
-                if starts.size:
-                    later = run_id > 0
-                    base[later] = starts[run_id[later] - 1]
-                before = excl - base
-                carry = int(before[-1] + cnt[-1])
-                prev_key = tuple(c[-1] for c in cols)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "_lb"])
-    return run
-
-
-def value_positions(df: DataFrame, keys: Sequence[str], value: str,
-                    partitions: int | None = None) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, value, cnt, before, n): distinct non-NULL values of each facet with
     their multiplicity, the number of smaller values in the facet, and its size."""
     keys = list(keys)
     vc = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt")))
-    nparts = partitions or work_partitions(df)
-    ordered = (vc.repartitionByRange(nparts, *[F.col(k).asc_nulls_first() for k in keys], F.col(value).asc())
-                 .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], F.col(value).asc())
-                 .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_lb", T.LongType())])
-    local = cut_lineage(ordered.mapInArrow(_local_before(keys), schema))
-    totals = local.groupBy("_pid", *keys).agg(F.sum("_cnt").alias("_tot"))
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col(value).asc()]
+    ranges = cut_lineage(vc.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    totals = ranges.groupBy("_pid", *keys).agg(F.sum("_cnt").alias("_tot"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offs = totals.select("_pid", *keys, F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_off"),
                          F.sum("_tot").over(whole).alias("n"))
+    # a window holds what one range has of a facet
+    inside = Window.partitionBy("_pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranges.withColumn("_lb", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
     j = join_on_keys(local, offs, ["_pid", *keys])
     return j.select(*keys, value, F.col("_cnt").alias("cnt"), (F.col("_lb") + F.col("_off")).alias("before"), "n")
 
 
+def _mid(pos: DataFrame) -> DataFrame:
+    return pos.withColumn("_mid", F.col("before") + (F.col("cnt") + 1) / 2.0)
+
+
+def mid_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """W6 of several columns at once: ``df`` with the mid-rank of each column of ``values`` within
+    ``keys`` under the given name. All columns go through one range sort."""
+    keys = list(keys)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("c"), F.col(v).cast("double").alias("v")) for v in values])).alias("_e")
+    stacked = df.select(*keys, each).select(F.col("_e.c").alias("_column"), *keys, F.col("_e.v").alias("_value"))
+    pos = _mid(value_positions(stacked, ["_column", *keys], "_value"))
+    for v, out in values.items():
+        own = pos.where(F.col("_column") == v).select(*keys, F.col("_value").alias(v), F.col("_mid").alias(out))
+        df = join_on_keys(df, own, [*keys, v], "left")
+    return df
+
+
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Rank of ``value`` within ``keys``, ties sharing the average rank (NULL stays NULL)."""
     keys = list(keys)
-    pos = value_positions(df, keys, value)
-    ranks = pos.select(*keys, value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out))
+    ranks = _mid(value_positions(df, keys, value)).select(*keys, value, F.col("_mid").alias(out))
     return join_on_keys(df, ranks, [*keys, value], "left")
 
 
