@@ -33,6 +33,7 @@ from setscore.llm.common import WordHasher, append_column, bytes_of, table
 
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 20_000
+PARTS = 16                   # of a language's keys, ranked apart before they are ranked together
 SEQUENCES = 4_000            # of training words strung together
 SEQUENCE_WORDS = 24
 EPOCHS = 3
@@ -267,8 +268,11 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     usable = docs.where(F.col("lang").isNotNull() & learned & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"), F.col("text")))
     keyed = usable.select("lang", key.alias("key"), "text")
-    order = Window.partitionBy("lang").orderBy("key")
-    least = keyed.groupBy("lang", "key").agg(F.lit(1)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
+    # the least of each part first: a language's window then holds PARTS * SAMPLE_DOCS keys at most
+    least = keyed.groupBy("lang", "key").agg(F.lit(1)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    for group in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("key"))
+        least = least.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     # one row per language
     cuts = {r.lang: r.cut for r in least.groupBy("lang").agg(F.max("key").alias("cut")).collect()}
     if not cuts:
