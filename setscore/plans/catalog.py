@@ -20,7 +20,7 @@ from setscore.operators.scoring import gene_stats, kernel_cdf, score_sparse, sco
 from setscore.plans import reports as R
 from setscore.session import cut_lineage, file_state, scratch_folder
 from setscore.sources import fixtures as fx
-from setscore.sources.expression import read_cells, read_expression, write_pseudobulk
+from setscore.sources.expression import read_cell_layout, read_cells, read_expression, write_cell_layout, write_pseudobulk
 from setscore.sources.gene_sets import gene_set_table, read_gene_sets, score_sets
 
 MEAN_DIGITS = 9
@@ -87,6 +87,13 @@ def q_pseudobulk_star(spark, sf_dir):
     return _rnd(pb, {"mean_exp": MEAN_DIGITS})
 
 
+def q_pseudobulk_bucketed(spark, sf_dir):
+    """S2 -> J1 -> A1 over the stored layout: counts and cells bucketed by cell_id, written and read back."""
+    path = scratch_folder(spark, "cell-layout")
+    write_cell_layout(fx.counts_star(spark, sf_dir), fx.cells_star(spark, sf_dir), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _rnd(PB.pseudobulk(*read_cell_layout(spark, path), PB.HUMAN_KEYS), {"mean_exp": MEAN_DIGITS})
+
+
 def q_pseudobulk_text(spark, sf_dir):
     pb = PB.pseudobulk(fx.counts_text(spark, sf_dir), fx.cells_text(spark, sf_dir), ("cluster", "ident"))
     return _rnd(pb, {"mean_exp": MEAN_DIGITS})
@@ -467,6 +474,7 @@ def q_source_gene_sets(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "pseudobulk_star": q_pseudobulk_star,
+    "pseudobulk_bucketed": q_pseudobulk_bucketed,
     "pseudobulk_text": q_pseudobulk_text,
     "pseudobulk_malignant": q_pseudobulk_malignant,
     "pseudobulk_wide": q_pseudobulk_wide,
@@ -949,6 +957,7 @@ def _sql_catalog() -> dict[str, str]:
     r = STAT_DIGITS
     sql: dict[str, str] = {}
     sql["pseudobulk_star"] = _with(*_PB_STAR) + " SELECT gene, unit, mean_exp, cell_count FROM pb"
+    sql["pseudobulk_bucketed"] = sql["pseudobulk_star"]
     sql["pseudobulk_text"] = _with(*_pb_ctes(fx.SQL_CELLS_TEXT, fx.SQL_COUNTS_TEXT, ("cluster", "ident"), "cluster")) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
     mal_cells = (f"SELECT cell_id, ident, 'cluster_' || coalesce(substr(cluster, 1, 1), 'NA') AS cluster "

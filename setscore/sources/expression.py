@@ -7,6 +7,7 @@ only pivoted back at the edge.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,41 @@ def read_cells(spark: SparkSession, counts_path: str, cells_path: str) -> tuple[
     return counts, cells
 
 
+def write_cell_layout(counts: DataFrame, cells: DataFrame, path: str, buckets: int) -> None:
+    """Storage layout for J1: counts and cells bucketed and sorted by ``cell_id`` into the same number of
+    buckets below ``path``, one file a bucket, so that their join needs no exchange of the counts.
+
+    ``buckets`` is fixed when the layout is written: about the bytes of the counts over the bytes that
+    one task should read. A cell has at most one count per gene, so no bucket is hot.
+    """
+    spark = counts.sparkSession
+    for kind, df in (("counts", counts.select("gene", "cell_id", "value")), ("cells", cells)):
+        # Spark deals partitions and buckets by the same hash, so every task writes one bucket
+        name = f"{_layout_name(path)}_{kind}"
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        (df.repartition(buckets, "cell_id").write.bucketBy(buckets, "cell_id").sortBy("cell_id")
+           .format("parquet").mode("overwrite").option("path", f"{path}/{kind}").saveAsTable(name))
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def read_cell_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(counts, cells) of a layout that any session wrote; the session's catalog gets a table of each."""
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    out = []
+    for kind in ("counts", "cells"):
+        name = f"{_layout_name(path)}_{kind}"
+        if not spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{kind}").schema)
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (cell_id) SORTED BY (cell_id) "
+                      f"INTO {buckets} BUCKETS LOCATION '{path}/{kind}'")
+        out.append(spark.table(name))
+    return out[0], out[1]
+
+
+def _layout_name(path: str) -> str:
+    return "cell_layout_" + hashlib.md5(path.rstrip("/").encode()).hexdigest()
+
+
 def write_pseudobulk(df: DataFrame, path: str, units: Sequence[str] | None = None) -> None:
     """The pseudobulk as parquet that :func:`read_expression` reads back.
 

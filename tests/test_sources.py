@@ -52,3 +52,35 @@ def test_pseudobulk_write_read_round_trip(spark):
     write_pseudobulk(pb, os.path.join(d, "long"))
     back = {(r["unit"], r["gene"]): r["value"] for r in read_expression(spark, os.path.join(d, "long")).collect()}
     assert back == {("u_1", "G1"): 1.5, ("u_1", "G2"): 0.5, ("v_2", "G1"): 2.0}
+
+
+def test_bucketed_layout_joins_without_exchange(spark):
+    """Both sides of the cell join come from their buckets; the result is that of the plain tables."""
+    from setscore.operators.pseudobulk import pseudobulk
+    from setscore.session import scratch_folder
+    from setscore.sources import expression as X
+    counts = spark.createDataFrame([(f"g{(3 * i + k) % 11}", f"c{i}", float(k + 1)) for i in range(300) for k in range(4)], X.COUNTS_SCHEMA)
+    cells = spark.createDataFrame([(f"c{i}", f"k{i % 7}", "s") for i in range(320)] + [("c999", None, "s")], "cell_id string, cluster string, ident string")
+    path = scratch_folder(spark, "test-layout")
+    X.write_cell_layout(counts, cells, path, 6)
+    X.write_cell_layout(counts, cells, path, 4)              # written anew with other buckets
+    assert len([f for f in spark.read.format("binaryFile").load(f"{path}/counts").select("path").collect()]) <= 4
+    for fresh in (False, True):
+        if fresh:                                            # as a session that hasn't written it
+            for kind in ("counts", "cells"):
+                spark.sql(f"DROP TABLE {X._layout_name(path)}_{kind}")
+        stored = X.read_cell_layout(spark, path)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            keyed = stored[0].join(stored[1].where("cluster IS NOT NULL").select("cell_id", "cluster"), "cell_id")
+            plan = keyed._jdf.queryExecution().executedPlan().toString()
+            whole = pseudobulk(*stored, ("cluster", "ident"))._jdf.queryExecution().executedPlan().toString()
+            plain = pseudobulk(counts, cells, ("cluster", "ident"))._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        assert "hashpartitioning(cell_id" not in whole and "hashpartitioning(cell_id" in plain
+        got = pseudobulk(*stored, ("cluster", "ident")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, pseudobulk(counts, cells, ("cluster", "ident")).collect()))
