@@ -113,6 +113,15 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return join_on_keys(q, w, keys)
 
 
+def box_outliers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The rows of ``df`` whose value lies beyond their group's fences, the points a box plot draws one
+    by one. Fences lie 1.5 IQR from the quartiles; rows without a value are no outliers."""
+    q = ranks.quantiles(df, keys, value, (0.25, 0.75), ("_q1", "_q3")).drop("n")
+    reach = 1.5 * (F.col("_q3") - F.col("_q1"))
+    beyond = (F.col(value) < F.col("_q1") - reach) | (F.col(value) > F.col("_q3") + reach)
+    return join_on_keys(df, q, keys).where(beyond).select(*df.columns)
+
+
 def _nrd0(sd: Column, iqr: Column, first_abs: Column, n: Column) -> Column:
     """Silverman's rule of thumb with R's fallbacks (bw.nrd0)."""
     lo = F.least(sd, iqr / 1.34)

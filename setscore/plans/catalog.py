@@ -20,7 +20,7 @@ from setscore.operators.scoring import gene_stats, kernel_cdf, score_sparse, sco
 from setscore.plans import reports as R
 from setscore.session import cut_lineage, file_state, scratch_folder
 from setscore.sources import fixtures as fx
-from setscore.sources.expression import read_cell_layout, read_cells, read_expression, write_cell_layout, write_pseudobulk
+from setscore.sources.expression import read_cell_layout, read_cells, read_expression, read_matrix, write_cell_layout, write_matrix, write_pseudobulk
 from setscore.sources.gene_sets import gene_set_table, read_gene_sets, score_sets
 
 MEAN_DIGITS = 9
@@ -221,6 +221,10 @@ def q_score_by_celltype_box(spark, sf_dir):
     return _rnd(R.celltype_box(_scores(spark, sf_dir)), _BOX)
 
 
+def q_score_by_celltype_outliers(spark, sf_dir):
+    return _rnd(R.celltype_outliers(_scores(spark, sf_dir)), {"score": SCORE_DIGITS})
+
+
 def q_score_density(spark, sf_dir):
     d = R.celltype_density(_scores(spark, sf_dir))
     return _rnd(d.withColumn("i", F.col("i").cast("long")),
@@ -456,6 +460,13 @@ def q_source_expression(spark, sf_dir):
     return read_expression(spark, path)
 
 
+def q_source_matrix(spark, sf_dir):
+    """S5 -> S1: the pseudobulk as a dense matrix in blocks of 64 columns, and back as its non-zero values."""
+    path = scratch_folder(spark, "matrix")
+    write_matrix(q_pseudobulk_mouse_all(spark, sf_dir).withColumnRenamed("mean_exp", "value"), path, block_units=64)
+    return read_matrix(spark, path)
+
+
 def q_source_cells(spark, sf_dir):
     """Saved counts and cells, read back into the pseudobulk."""
     folder = scratch_folder(spark, "cells")
@@ -494,6 +505,7 @@ QUERIES: dict[str, Query] = {
     "score_ranking_top10": q_score_ranking_top10,
     "score_ranking_mouse": q_score_ranking_mouse,
     "score_by_celltype_box": q_score_by_celltype_box,
+    "score_by_celltype_outliers": q_score_by_celltype_outliers,
     "score_density": q_score_density,
     "score_by_timepoint": q_score_by_timepoint,
     "score_density_timepoint": q_score_density_timepoint,
@@ -542,6 +554,7 @@ QUERIES: dict[str, Query] = {
     "score_ranking_positions": q_score_ranking_positions,
     "pseudobulk_mouse_all": q_pseudobulk_mouse_all,
     "source_expression": q_source_expression,
+    "source_matrix": q_source_matrix,
     "source_cells": q_source_cells,
     "source_gene_sets": q_source_gene_sets,
 }
@@ -1010,6 +1023,9 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     ctes, select = _box_parts("a1", ["set_name", "cell_type"])
     sql["score_by_celltype_box"] = _with(*_HUMAN_SCORES, _A1, _CT_ORD, *ctes, f"boxed AS ({select})") + \
         " SELECT b.*, o.cell_type_ord FROM boxed b LEFT JOIN ct_ord o ON b.cell_type IS NOT DISTINCT FROM o.cell_type"
+    sql["score_by_celltype_outliers"] = _with(*_HUMAN_SCORES, _A1, ctes[0]) + (
+        f" SELECT t.set_name, t.cell_type, t.unit, round(t.score, {SCORE_DIGITS}) AS score FROM a1 t JOIN q ON {_nse(['set_name', 'cell_type'], 't', 'q')} "
+        "WHERE t.score < q1 - 1.5 * (q3 - q1) OR t.score > q3 + 1.5 * (q3 - q1)")
     sql["score_density"] = _density_sql()
     ctes, select = _box_parts("a1", ["set_name", "timepoint"])
     sql["score_by_timepoint"] = _with(*_HUMAN_SCORES, _A1, *ctes) + " " + select
@@ -1064,6 +1080,7 @@ SELECT gene, cluster AS cell_type, round(CASE WHEN avg(v) > 0 THEN ln(avg(v)) EL
     mouse_all = _with(*_pb_ctes(all_cells, fx.SQL_COUNTS_STAR, _SQL_MOUSE_KEYS, "cell_type"))
     sql["pseudobulk_mouse_all"] = mouse_all + " SELECT gene, unit, mean_exp, cell_count FROM pb"
     sql["source_expression"] = mouse_all + " SELECT unit, gene, mean_exp AS value FROM pb"
+    sql["source_matrix"] = sql["source_expression"]
     sql["source_cells"] = _with(*_pb_ctes(fx.SQL_CELLS_STAR, fx.SQL_COUNTS_STAR, _SQL_MALIGNANT_KEYS, "cluster")) + \
         " SELECT gene, unit, mean_exp, cell_count FROM pb"
     sql["source_gene_sets"] = sql["gene_sets_long"]

@@ -109,6 +109,12 @@ def celltype_box(scores: DataFrame, human: bool = True) -> DataFrame:
     return _with_celltype_order(S.box_stats(a1, ["set_name", "cell_type"], "score"), a1)
 
 
+def celltype_outliers(scores: DataFrame, human: bool = True) -> DataFrame:
+    """R4 (T6): the units drawn as single points beside the boxes: set_name, cell_type, unit, score."""
+    a1 = labelled_scores(scores, human, 2, 2, violin=True).select("set_name", "cell_type", "unit", "score")
+    return S.box_outliers(a1, ["set_name", "cell_type"], "score")
+
+
 def celltype_density(scores: DataFrame, human: bool = True, n_points: int = 512) -> DataFrame:
     """R4 (T7 + P12): violin densities per set and cell type."""
     a1 = labelled_scores(scores, human, 2, 2, violin=True)

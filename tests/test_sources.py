@@ -84,3 +84,24 @@ def test_bucketed_layout_joins_without_exchange(spark):
         assert "hashpartitioning(cell_id" not in whole and "hashpartitioning(cell_id" in plain
         got = pseudobulk(*stored, ("cluster", "ident")).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, pseudobulk(counts, cells, ("cluster", "ident")).collect()))
+
+
+def test_matrix_in_blocks(spark):
+    """50,000 units; a block read back as a wide table."""
+    from pyspark.sql import functions as F
+
+    from setscore.session import scratch_folder
+    from setscore.sources import expression as X
+    df = spark.range(50_000).select(F.concat(F.lit("u"), F.format_string("%05d", "id")).alias("unit"), F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("gene"),
+                                    (F.col("id") + 1).cast("double").alias("value"))
+    path = scratch_folder(spark, "test-matrix")
+    X.write_matrix(df, path, block_units=4096)
+    back = X.read_matrix(spark, path)
+    assert back.exceptAll(df).count() == 0 and back.count() == 50_000
+    assert X.read_matrix(spark, path, zeros=True).count() == 150_000
+    block = X.read_matrix_block(spark, path, 12)
+    assert block.columns == ["gene", *[f"u{i:05d}" for i in range(12 * 4096, 50_000)]]
+    assert {r.gene: r.u49152 for r in block.select("gene", "u49152").collect()} == {"g0": 49153.0, "g1": 0.0, "g2": 0.0}
+    odd = spark.createDataFrame([("u.1", "g", None), ("u 2", "g", 2.0)], "unit string, gene string, value double")
+    X.write_matrix(odd, path + "-odd")
+    assert [tuple(r) for r in X.read_matrix(spark, path + "-odd").collect()] == [("u 2", "g", 2.0)]

@@ -28,3 +28,12 @@ def test_mouse_labels_never_patient_specific(spark):
     assert S.drop_patient_specific(df).count() == len(units)        # Q16: F6 keeps every mouse row
     labels = {r["unit"]: r["cell_type"] for r in df.collect()}
     assert labels["Unknown_S1_3"] is None and labels["Monocyte/macrophage_S1_3"] == "Monocyte/macrophage"
+
+
+def test_box_outliers(spark):
+    rows = [("a", float(i), f"u{i}") for i in range(1, 10)] + [("a", 100.0, "far"), ("a", None, "none"), (None, 1.0, "n1"), (None, 1.0, "n2"), (None, 1.0, "n3"), (None, -5.0, "low")]
+    df = spark.createDataFrame(rows, "grp string, v double, unit string")
+    # quartiles of 1 ... 9, 100 are 3.25 and 7.75; three equal values have no spread, and -5 pulls q1 to -0.5
+    assert sorted(r.unit for r in S.box_outliers(df, ["grp"], "v").collect()) == ["far", "low"]
+    counts = {r.grp: r.n_outliers for r in S.box_stats(df, ["grp"], "v").collect()}
+    assert counts == {"a": 1, None: 1} and S.box_outliers(df, ["grp"], "v").columns == df.columns
