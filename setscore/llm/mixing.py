@@ -13,8 +13,9 @@ Prefix sums never gather a source: the random order is cut into buckets by its k
 (doc_id, source, text) are one row with a count until their start is known, so copies of a row can't
 heat a bucket; then the row is cut into runs of at most ``RUN`` copies. The cut is found from the sums of the sorted ranges and the rows of one range.
 
-Nulls: a null text has size 0; a null source is a source; null doc_ids share a place in the order,
-told apart by text. Documents of size 0 take nothing. An empty table gives an empty mix. Other
+The random key is of doc_id and text, so the rows of one doc_id spread over the buckets too.
+
+Nulls: a null text has size 0; a null source is a source; null doc_ids are told apart by text. Documents of size 0 take nothing. An empty table gives an empty mix. Other
 columns don't take part.
 """
 
@@ -60,13 +61,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def finish_times(docs: DataFrame) -> DataFrame:
     """One row per run of copies of a (doc_id, source, text): copies, size, the source's numbers, and
     ``start``, the words of its source before it."""
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.coalesce(F.md5("text"), F.lit("")).alias("text_hash"))
     rows = materialise(rows.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = materialise(source_targets(sizes), "mix-sources")
     own = sources.withColumnRenamed("source", "of")
     rows = rows.join(own, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash")))
     part = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / float(1 << 32)
     rows = rows.withColumn("key", key).withColumn("bucket", F.floor(part * F.ceil(F.col("n") / BUCKET_ROWS)))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
@@ -132,7 +133,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = rows.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_hash").alias("p_hash"), times.alias("times")).where("times > 0")
     row, h = free_name(docs, "row"), free_name(docs, "hash")
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = (docs.select(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias(h), every.alias(row))
+    one = (docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.md5("text"), F.lit("")).alias(h), every.alias(row))
                .groupBy("doc_id", "source", h).agg(F.first(row).alias(row)))
     joined = one.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source"))
                       & (F.col(h) == F.col("p_hash")))
@@ -148,7 +149,7 @@ QUERIES = {"op10_fair_queueing": op10_fair_queueing}
 
 ORACLE_SQL = {"op10_fair_queueing": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}'))::BIGINT AS size,
-                  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+                  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS key FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS no FROM s0),
 s2 AS (SELECT *, [5.0, 2.0, 1.0][(no - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap,

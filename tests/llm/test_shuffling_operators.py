@@ -212,3 +212,14 @@ def test_pipeline_of_odd_rows(spark, odd):
         docs = corpus_pipeline.materialise(docs)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.drop("shard", "slot").where("false"), bench).collect() == []
+
+
+def test_rows_of_one_doc_id_spread_over_the_order(spark, monkeypatch):
+    """A hot doc_id with many texts: its rows lie in many buckets, and the mix takes each as it would others."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    df = spark.createDataFrame([(7, f"text number {i} of one id", "a", "s") for i in range(1000)] + [(None, f"no id {i}", "a", "s") for i in range(500)],
+                               "doc_id long, text string, lang string, source string")
+    keys = {r.key[:2] for r in mixing.finish_times(df).select("key").collect()}
+    assert len(keys) > 200
+    plan = mixing.mix_plan(df).collect()
+    assert len(plan) == 1500 and abs(sum(r.size * r.times for r in plan) - 1.5 * sum(r.size for r in plan)) <= 2 * 6
