@@ -1,9 +1,12 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
 Every task cuts its documents into shards of about ``shard_words`` words and builds, for each, a
-sorted array of word suffixes. Every suffix of a benchmark item that begins a window is
+sorted array of word suffixes. Every different window that begins an item suffix is
 binary-searched in it, narrowing a range word by word; the range found at the window's length
-holds all places of that window, and each place is extended to its longest verbatim match.
+holds all places of that window. A place's longest verbatim match is with one of the two item suffixes
+beside it in sorted order, found by binary search among those that begin with its window. ``matches`` lists
+each longest match that no match one word earlier covers, once, with one item that has it; ``items`` has
+all. Work is in proportion to places and windows, never to their product.
 
 The array is sparse: words that no item has can't be part of a match, so they get number 0, and
 only suffixes that begin with as many item words as the shortest window are sorted. Nothing that
@@ -13,7 +16,7 @@ is searched in pieces that overlap by the longest item.
 The benchmark is the stated query set. It reaches the tasks in blocks of about ``block_bytes``
 (its size is measured first); each further block is one more pass over the texts in the same job.
 
-Words are compared by 64-bit hash. Nulls: a null text has no words; a null item_id counts as ''.
+Words are compared by 64-bit hash, runs beyond a window by two sums modulo 2^31 - 1. Nulls: a null text has no words; a null item_id counts as ''.
 An empty benchmark leaves every document clean. Repeated document rows each give their own row;
 repeated items count once by their id. Other columns pass through, whatever their names.
 """
@@ -33,6 +36,8 @@ from setscore.llm.common import ALNUM_WORD, LOWER, UPPER, WordHasher, alnum_byte
 WINDOW = 10                    # words of a window
 SHARD_WORDS = 1_000_000        # words of one suffix array
 BLOCK_BYTES = 16 << 20         # benchmark text searched in one pass
+MODULUS = (1 << 31) - 1        # of the sums that compare runs of words, with
+BASES = (1_103_515_245, 69_069_069)
 
 MATCH = T.StructType([T.StructField("item", T.StringType()), T.StructField("item_start", T.IntegerType()),
                       T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
@@ -49,17 +54,53 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa
 
 @dataclass
 class TestSet:
-    """A block of items as numbered words. One entry of ``at``/``offset``/``width`` per window."""
+    """A block of items as numbered words. Equal windows are one class; the places of a class (``at`` and
+    what goes with it) lie together, sorted by the item suffixes that begin there."""
     vocabulary: np.ndarray         # sorted word hashes; word number = index + 1
     words: np.ndarray              # all items' word numbers, 0 after each item
-    at: np.ndarray                 # index in ``words`` at which the window begins
+    run: np.ndarray                # words from each place to the end of its item
+    sums: list[np.ndarray]         # prefix sums of ``words`` (``prefix_sums``)
+    at: np.ndarray                 # per window: index in ``words`` at which it begins
     offset: np.ndarray             # the same within its item
-    width: np.ndarray              # words of the window
     text: np.ndarray               # which distinct item text it belongs to
+    first: np.ndarray              # per class: its first window; one more entry for the end
+    width: np.ndarray              # per class: words of a window
     ids: list[list[str]]           # item ids of each distinct text
     longest: int                   # words of the longest item
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo ``MODULUS``, or some more."""
+    out = np.ones(1, np.int64)
+    while len(out) < n:
+        out = np.concatenate([out, out * pow(base, len(out), MODULUS) % MODULUS])
+    return out
+
+
+def prefix_sums(words: np.ndarray) -> list[np.ndarray]:
+    """Per base, sums of word * base^place modulo ``MODULUS`` over the words before each place."""
+    out = []
+    for base in BASES:
+        total = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(words * powers(base, len(words))[:len(words)] % MODULUS, out=total[1:])
+        out.append(total % MODULUS)
+    return out
+
+
+def suffix_ranks(words: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of every suffix by its first ``depth`` words or more, by doubling."""
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    k = 1
+    while k < depth:
+        after = np.zeros_like(rank)
+        after[:len(rank) - k] = rank[k:] + 1
+        distinct, rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)
+        k *= 2
+        if len(distinct) == len(rank):
+            break
+    return rank
+
+
 def test_set(items: list[tuple[str, str]], window: int) -> TestSet:
     hasher = WordHasher(alnum_bytes())
     by_words: dict[bytes, list[str]] = {}
@@ -72,20 +113,32 @@ def test_set(items: list[tuple[str, str]], window: int) -> TestSet:
             hashed.append(h)
         by_words.setdefault(h.tobytes(), []).append(item)
     vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
-    words, at, offset, width, text = [], [], [], [], []
+    words, run, at, offset, width, text = [], [], [], [], [], []
     base = 0
     for k, h in enumerate(hashed):
         w = min(window, len(h))
         n = len(h) - w + 1
         words += [np.searchsorted(vocabulary, h) + 1, np.zeros(1, np.int64)]
+        run.append(np.arange(len(h), -1, -1))
         at.append(np.arange(base, base + n))
         offset.append(np.arange(n))
         width.append(np.full(n, w))
         text.append(np.full(n, k))
         base += len(h) + 1
     cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return TestSet(vocabulary, cat(words), cat(at), cat(offset), cat(width), cat(text),
-                   [sorted(set(x)) for x in by_words.values()], max(map(len, hashed), default=0))
+    words, run, at, offset, width, text = map(cat, (words, run, at, offset, width, text))
+    longest = max(map(len, hashed), default=0)
+    # the class of a window: its words, 0 where it has ended
+    of_class = np.zeros(len(at), np.int64)
+    padded = np.concatenate([words, np.zeros(window, np.int64)])
+    for d in range(window):
+        word = np.where(d < width, padded[at + d], 0)
+        of_class = np.unique(of_class * (len(vocabulary) + 1) + word, return_inverse=True)[1].astype(np.int64)
+    by = np.lexsort((suffix_ranks(words, longest + 1)[at], of_class))
+    at, offset, width, text, of_class = at[by], offset[by], width[by], text[by], of_class[by]
+    first = np.append(np.flatnonzero(np.diff(of_class, prepend=-1)), len(at))
+    return TestSet(vocabulary, words, run, prefix_sums(words), at, offset, text, first, width[first[:-1]],
+                   [sorted(set(x)) for x in by_words.values()], longest)
 
 
 def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -131,39 +184,80 @@ def _bound(ids, order, lo, hi, depth, target, right):
     return lo
 
 
-def find_in_shard(ids: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, place, length of the longest match from there) for all windows found in ``ids``,
-    the shard's word numbers with a 0 after each document."""
+def find_in_shard(ids: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, place, words of the longest match from there, window that it matches) for all classes of windows found
+    in ``ids``, the shard's word numbers with a 0 after each document. A place has at most one class of each width."""
     none = np.zeros(0, np.int64)
     if not len(tests.at) or not len(ids):
-        return none, none, none
+        return none, none, none, none
     shortest = int(tests.width.min())
     zeros = np.flatnonzero(ids == 0)
     run = zeros[np.searchsorted(zeros, np.arange(len(ids)))] - np.arange(len(ids))
     starts = np.flatnonzero(run >= shortest)
     if not len(starts):
-        return none, none, none
+        return none, none, none, none
     padded = np.concatenate([ids, np.zeros(tests.longest + 1, np.int64)])
     order = suffix_array(padded, starts, int(tests.width.max()))
-    lo = np.zeros(len(tests.at), np.int64)
-    hi = np.full(len(tests.at), len(order), np.int64)
-    alive = np.arange(len(tests.at))
+    begin = tests.at[tests.first[:-1]]
+    lo = np.zeros(len(begin), np.int64)
+    hi = np.full(len(begin), len(order), np.int64)
+    alive = np.arange(len(begin))
     for d in range(int(tests.width.max())):
         alive = alive[(tests.width[alive] > d) & (lo[alive] < hi[alive])]
-        target = tests.words[tests.at[alive] + d]
+        target = tests.words[begin[alive] + d]
         a, b = lo[alive], hi[alive]
         lo[alive] = _bound(padded, order, a, b, d, target, False)
         hi[alive] = _bound(padded, order, lo[alive], b, d, target, True)
     count = hi - lo
-    window = np.repeat(np.arange(len(count)), count)
-    place = order[np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-    length = tests.width[window].copy()
-    open_ = np.arange(len(window))
-    while len(open_):
-        mine = tests.words[tests.at[window[open_]] + length[open_]]
-        open_ = open_[(mine > 0) & (mine == padded[place[open_] + length[open_]])]
-        length[open_] += 1
-    return window, place, length
+    found = np.repeat(np.arange(len(count)), count)
+    place = order[np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+    if not len(found):
+        return none, none, none, none
+    return found, place, *_longest(padded, run, tests, found, place)
+
+
+def _longest(padded: np.ndarray, run: np.ndarray, tests: TestSet, found: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, window) of the longest match of each place with the windows of its class: one of the two item
+    suffixes beside it in their sorted order, which a binary search finds."""
+    sums = prefix_sums(padded[:len(run)])
+    power = [powers(base, max(len(run), len(tests.words))) for base in BASES]
+
+    def common(k: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Words that place k and the window's suffix have in common, by bisection over prefix sums."""
+        p, o = place[k], tests.at[window]
+        low, high = tests.width[found[k]].copy(), np.minimum(run[p], tests.run[o])
+        while len(busy := np.flatnonzero(low < high)):
+            a, b = p[busy], o[busy]
+            mid = (low[busy] + high[busy] + 1) >> 1
+            same = np.ones(len(busy), dtype=bool)
+            for mine, theirs, pw in zip(sums, tests.sums, power, strict=True):
+                same &= (mine[a + mid] - mine[a]) % MODULUS * pw[b] % MODULUS == (theirs[b + mid] - theirs[b]) % MODULUS * pw[a] % MODULUS
+            low[busy] = np.where(same, mid, low[busy])
+            high[busy] = np.where(same, high[busy], mid - 1)
+        return low
+
+    first, last = tests.first[found], tests.first[found + 1]
+    lo, hi = first.copy(), last.copy()
+    while len(k := np.flatnonzero(lo < hi)):
+        mid = (lo[k] + hi[k]) >> 1
+        n = common(k, mid)
+        up = tests.words[tests.at[mid] + n] <= padded[place[k] + n]
+        lo[k] = np.where(up, mid + 1, lo[k])
+        hi[k] = np.where(up, hi[k], mid)
+    every = np.arange(len(place))
+    below, above = np.maximum(lo - 1, first), np.minimum(lo, last - 1)
+    n_below, n_above = common(every, below), common(every, above)
+    better = n_above > n_below
+    return np.where(better, n_above, n_below), np.where(better, above, below)
+
+
+def _maximal(place: np.ndarray, length: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest match of each place, less those that the match of the place before covers."""
+    by = np.lexsort((window, -length, place))
+    by = by[np.diff(place[by], prepend=-1) > 0]
+    place, length, window = place[by], length[by], window[by]
+    covered = np.append(False, (place[1:] == place[:-1] + 1) & (length[:-1] > length[1:]))
+    return place[~covered], length[~covered], window[~covered]
 
 
 def _shards(hashed: list[np.ndarray], shard_words: int, overlap: int):
@@ -213,13 +307,14 @@ def search_batch(texts: list[bytes], tests: TestSet, shard_words: int) -> list[d
             known = tests.vocabulary[ids] == joined
         known[base[1:] - 1] = False
         ids = np.where(known, ids + 1, 0)
-        window, place, length = find_in_shard(ids, tests)
-        if not len(window):
+        found, place, length, window = find_in_shard(ids, tests)
+        if not len(found):
             continue
-        # a match that could begin one word earlier is part of a longer one
-        back = (tests.offset[window] > 0) & (place > 0) & (tests.words[tests.at[window] - 1] == ids[place - 1])
         part = np.searchsorted(base, place, side="right") - 1
         local = place - base[part]
+        top = _maximal(place, length, window)
+        top_part = np.searchsorted(base, top[0], side="right") - 1
+        top_local = top[0] - base[top_part]
         for k in np.unique(part):
             row, first, before, h = shard[k]
             mine = (part == k) & (local >= before) & (local < before + shard_words)
@@ -227,16 +322,16 @@ def search_batch(texts: list[bytes], tests: TestSet, shard_words: int) -> list[d
                 continue
             start = local[mine] + first - before
             r = out[row]
-            texts_hit = np.unique(tests.text[window[mine]])
-            r["items"] = sorted(set(r["items"]).union(*(tests.ids[t] for t in texts_hit)))
+            hit = np.unique(found[mine])
+            count = tests.first[hit + 1] - tests.first[hit]
+            entries = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(tests.first[hit], count)
+            r["items"] = sorted(set(r["items"]).union(*(tests.ids[t] for t in np.unique(tests.text[entries]))))
             old = r["spans"]
             r["spans"] = _merged(np.append(start, [s["start"] for s in old]).astype(np.int64),
-                                 np.append(start + tests.width[window[mine]], [s["end"] for s in old]).astype(np.int64))
-            whole = ~back[mine]
-            r["matches"] += [{"item": i, "item_start": int(o), "start": int(s), "length": int(n)}
-                             for w, o, s, n in zip(window[mine][whole], tests.offset[window[mine]][whole],
-                                                   start[whole], length[mine][whole], strict=True)
-                             for i in tests.ids[tests.text[w]]]
+                                 np.append(start + tests.width[found[mine]], [s["end"] for s in old]).astype(np.int64))
+            own = (top_part == k) & (top_local >= before) & (top_local < before + shard_words)
+            r["matches"] += [{"item": tests.ids[tests.text[w]][0], "item_start": int(tests.offset[w]), "start": int(s), "length": int(n)}
+                             for s, n, w in zip(top_local[own] + first - before, top[1][own], top[2][own], strict=True)]
     for r in out:
         r["n_hit"] = sum(s["end"] - s["start"] for s in r["spans"])
     return out

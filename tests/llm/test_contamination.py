@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,3 +96,41 @@ def test_odd_rows_and_blocks(spark, odd):
     assert clean.columns == odd.columns
     assert X.decontaminate(odd, bench.where("false")).count() == len(ROWS)
     assert X.decontaminate(odd.where("false"), bench).collect() == []
+
+
+def test_equal_windows_and_places_cost_no_product():
+    """A repeated word in text and item, and a beginning that 3,000 items share: each place is matched once."""
+    start = time.monotonic()
+    r = X.search_batch([b"w " * 100_000], X.test_set([("a", "w " * 2_000)], 10), 1_000_000)[0]
+    assert (r["n_hit"], r["items"], len(r["matches"])) == (100_000, ["a"], 98_001) and time.monotonic() - start < 20
+    same = " ".join(f"p{i}" for i in range(50))
+    tests = X.test_set([(f"i{k}", f"{same} x{k} y z") for k in range(3_000)], 10)
+    for r in X.search_batch([f"z {same} x77 y k".encode()] * 20, tests, 1_000_000):
+        assert (r["n_hit"], len(r["items"])) == (52, 3_000)
+        assert r["matches"] == [{"item": "i77", "item_start": 0, "start": 1, "length": 52}]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_are_the_longest_of_their_places(seed):
+    items, docs = case(seed + 100)
+    known = {i: words(t) for i, t in items[:6]} | {"copy": words(items[4][1])}
+    for d, r in zip(docs, X.search_batch([d.encode() for d in docs], X.test_set([*known_text(known)], 10), 60), strict=True):
+        w = words(d)
+        best = {}
+        for v in known.values():
+            k = min(10, len(v))
+            for o in range(len(v) - k + 1 if v else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p:p + k] == v[o:o + k]:
+                        n = k
+                        while p + n < len(w) and o + n < len(v) and w[p + n] == v[o + n]:
+                            n += 1
+                        best[p] = max(best.get(p, 0), n)
+        want = {(p, n) for p, n in best.items() if best.get(p - 1, 0) <= n}
+        assert {(m["start"], m["length"]) for m in r["matches"]} == want
+        for m in r["matches"]:
+            assert known[m["item"]][m["item_start"]:m["item_start"] + m["length"]] == w[m["start"]:m["start"] + m["length"]]
+
+
+def known_text(known: dict) -> list[tuple[str, str]]:
+    return [(i, " ".join(v)) for i, v in known.items()]
