@@ -5,10 +5,8 @@ from __future__ import annotations
 import random
 import re
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 from setscore.llm import similar as X
-from tests.conftest import SF0001, SF001
 from tests.llm.test_simhash import LOW
 
 
@@ -36,18 +34,6 @@ def brute_kept(rows: list[tuple]) -> set:
     return set(least.values())
 
 
-def test_stage_finds_every_similar_pair(spark):
-    """At sf0.01 five pairs of different texts reach 0.8; all are 5 to 10 SimHash bits apart."""
-    stages = dict(corpus_pipeline.STAGES)
-    for sf in (SF0001, SF001):
-        good = stages["quality"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
-        rows = [(r.doc_id, r.text) for r in good.collect()]
-        kept = stages["near_duplicates"](spark, good, sf)
-        ids = [r.doc_id for r in kept.collect()]
-        assert len(ids) == len(set(ids)) and set(ids) == brute_kept(rows) and kept.columns == good.columns
-        assert len(ids) < len({t for _, t in rows})
-
-
 def test_edited_copies_and_odd_texts(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
