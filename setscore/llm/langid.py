@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setscore.llm.common import WordHasher, append_column, bytes_of, table
+from setscore.llm.common import WordHasher, append_column, bytes_of, free_name, table
 
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 20_000
@@ -283,7 +283,8 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
 
 
 def identify(docs: DataFrame, chain: Chain, name: str = "language") -> DataFrame:
-    """``docs`` with a RESULT column: language, mean probability and the runs of words of one language."""
+    """``docs`` with a RESULT column ``name`` (or name_1, ... if docs has that): language, mean probability and the runs of words of one language."""
+    name = free_name(docs, name)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()),
                       ("segments", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 

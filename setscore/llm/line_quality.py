@@ -126,8 +126,10 @@ def judge(text: str, max_lost: float) -> dict:
 
 
 def line_quality(docs: DataFrame, name: str = "quality", max_lost: float = 0.5) -> DataFrame:
-    """``docs`` with a RESULT column: base measures, line counts, verdict and the text of the lines
+    """``docs`` with a RESULT column ``name`` (or name_1, ... if docs has that): base measures, line counts, verdict and the text of the lines
     that stay. ``max_lost``: the largest share of its words that a kept document may lose."""
+    name = free_name(docs, name)
+
     def run(column):
         return pa.array([judge(t, max_lost) for t in texts_of(column)], type=_ARROW)
     return append_column(docs, name, RESULT, "text", run)

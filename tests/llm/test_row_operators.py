@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import time
 import textwrap
 import zlib
 from collections import Counter
@@ -19,8 +20,8 @@ from tests.llm.conftest import ROWS
 # -- quality ------------------------------------------------------------------------------------
 
 def test_quality_of_odd_rows(spark, odd):
-    out = line_quality.line_quality(odd, name="q9")
-    got = sorted((str(r.doc_id), r.q9.n_words, r.q9.n_dup_lines, r.q9.kept) for r in out.select("doc_id", "q9").collect())
+    out = line_quality.line_quality(odd)
+    got = sorted((str(r.doc_id), r.quality_1.n_words, r.quality_1.n_dup_lines, r.quality_1.kept) for r in out.select("doc_id", "quality_1").collect())
     assert [g[:2] for g in got] == [w[:2] for w in sorted((str(r[0]), len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in ROWS)]
     assert ("9", 240, 59, False) in got
     kept = line_quality.clean(odd)
@@ -125,10 +126,60 @@ def test_rules_find_their_own_names_and_none_overlap():
     assert len(many) == 400 and all(a[1] <= b[0] for a, b in zip(many, many[1:]))
 
 
+def words_of_signature(pattern: str) -> list[str]:
+    """The words of a text that a signature matches."""
+    pattern = re.sub(r"\(\?!.*\)$", "", pattern).replace("~", " some other words ")
+    while (less := re.sub(r"\(\?:([^()|]*)(?:\|[^()|]*)*\)\??", r"\1", pattern)) != pattern:
+        pattern = less
+    pattern = re.sub(r"\bV\b", "version", pattern.replace("LIC", "license")).replace(" ?", " ").replace("?", "").replace("\\+", "+")
+    return re.sub(r"\[(.)[^\]]*\]", r"\1", pattern).split()
+
+
+SIGNATURES = [(kind, label, text) for kind, own, *_ in licenses.SIGNATURES for label, _, text in own]
+
+
+@pytest.mark.parametrize("gap", [" ", "\n * ", "\n    // ", ", "])
+def test_every_signature_finds_its_text_and_no_other(gap):
+    s = licenses.Scanner()
+    for kind, label, text in SIGNATURES:
+        w = words_of_signature(text)
+        found = s.detections(f"see: {gap.join(w)}.")
+        assert f"{label}/{kind}" in {d[3] for d in found}, (label, w, found)
+        assert found == s.detections(f"see: {gap.join(w)}.", prefilter=False)
+        if len(w) > 6:                 # one word is another: prose that resembles it
+            broken = gap.join(w[:1] + ["never"] + w[2:])
+            assert f"{label}/{kind}" not in {d[3] for d in s.detections(broken)}, (label, broken)
+    assert len(s.rules) >= 400
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("SPDX-License-Identifier: GPL-2.0-or-later OR MIT", ["gpl-2.0-or-later", "mit"]),
+    ("// SPDX-License-Identifier: (Apache-2.0 WITH LLVM-exception AND BSD-3-Clause)", ["apache-2", "bsd-3-clause"]),
+    ('"license": "ISC",', ["isc"]), ("license = 'Apache-2.0 OR MIT'", ["apache-2", "mit"]), ("license: their own", []),
+    ("SPDX-License-Identifier: GPL-2.0+", ["gpl-2.0-or-later"]), ("SPDX-License-Identifier: LGPL-2.1-only", ["lgpl-2.1"]),
+    ("GPLv2", ["gpl-2.0"]), ("GPL v3 or later", ["gpl-3.0-or-later"]), ("Licensed under CC BY.", ["cc-by"]), ("CC BY 4.0", ["cc-by"]),
+    ("open rail network tickets", []), ("send a cc by email", []), ("OpenRAIL-M", ["openrail-m"]), ("open rail license", ["openrail-m"]),
+    ("The permission to use the pool is hereby granted to guests.", []), ("redistribution of income and use of binary forms", []),
+    ("either version of the story, or any later version", []), ("a free copyleft of sorts", []),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", ["cc-by-nc-nd"])])
+def test_expressions_notices_and_prose(text, labels):
+    assert licenses.Scanner().scan(text)["labels"] == labels
+
+
+def test_longer_bodies_suppress_what_they_hold():
+    head = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n"
+    third = "# Neither the name of the owner nor the names of its contributors may be used to endorse or promote products\n"
+    s = licenses.Scanner()
+    assert s.scan(head)["labels"] == ["bsd-2-clause"]
+    assert s.scan(f"{head}# {'1. Source keeps this notice. ' * 20}\n{third}")["labels"] == ["bsd-3-clause"]
+    start = time.monotonic()
+    assert len(s.scan((head + "other words stand here " * 50) * 2_000)["places"]) == 2_000 and time.monotonic() - start < 30
+
+
 def test_license_scan_of_odd_rows(spark, odd):
-    out = licenses.license_scan(odd, name="r9")
-    assert out.count() == len(ROWS) and licenses.license_scan(odd.where("false"), name="r9").collect() == []
-    assert out.where("text IS NULL").select("r9.n_words", "r9.score", "r9.first_word").first() == (0, 0.0, None)
+    out = licenses.license_scan(odd)
+    assert out.count() == len(ROWS) and licenses.license_scan(odd.where("false")).collect() == []
+    assert out.where("text IS NULL").select("license_1.n_words", "license_1.score", "license_1.first_word").first() == (0, 0.0, None)
 
 
 # -- language -----------------------------------------------------------------------------------
@@ -147,13 +198,13 @@ def test_code_switching_and_odd_rows(spark, odd):
     r = langid.label_texts([f"{en} {fr}".encode()], chain)[0]
     assert r["segments"][0]["lang"] == "en" and r["segments"][-1]["lang"] == "fr"
     assert r["segments"][-1]["end"] == r["n_words"]
-    out = langid.identify(odd, chain, name="l9")
-    rows = {str(x.doc_id): x.l9 for x in out.select("doc_id", "l9").collect()}
+    out = langid.identify(odd, chain)
+    rows = {str(x.doc_id): x.language_1 for x in out.select("doc_id", "language_1").collect()}
     assert out.count() == len(ROWS) and rows["0"].lang == rows["1"].lang == rows["2"].lang == "und" and rows["0"].score == 0
-    assert langid.identify(odd.where("false"), chain, name="l9").collect() == []
+    assert langid.identify(odd.where("false"), chain).collect() == []
     assert langid.label_texts(["… —".encode()], chain)[0]["lang"] == "und"
     empty = langid.fit(langid.sample(odd.where("lang = 'xx'")))
-    assert {x.l9.lang for x in langid.identify(odd, empty, name="l9").select("l9").collect()} == {"und"}
+    assert {x.language_1.lang for x in langid.identify(odd, empty).select("language_1").collect()} == {"und"}
 
 
 def test_every_language_has_its_own_sample(spark):
