@@ -66,10 +66,15 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_B
     return placed.select("r.record", "r.size", "shard", (F.col("first") + F.col("pos")).alias("slot"))
 
 
+def flat(shuffled_rows: DataFrame) -> DataFrame:
+    """The records' columns, shard and slot. Columns of a record that are called shard or slot (any case) give way."""
+    own = [F.col("record").getField(c).alias(c) for c in shuffled_rows.schema["record"].dataType.fieldNames() if c.lower() not in ("shard", "slot")]
+    return shuffled_rows.select(*own, "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, **kw) -> None:
     """Shards as Parquet folders ``shard=N`` below ``path``, the records in their slots' order."""
-    s = shuffled(docs, **kw)
-    s.select("record.*", "shard", "slot").write.partitionBy("shard").parquet(path)
+    flat(shuffled(docs, **kw)).write.partitionBy("shard").parquet(path)
 
 
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
