@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setscore.llm import contamination, line_quality, mixing, sharding, similar
+from setscore.llm import contamination, line_quality, mixing, sharding, simhash
 from setscore.llm.common import materialise, table
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts that share 0.8 of their five-word shingles: its smallest doc_id."""
-    return similar.deduplicate(docs)
+    """One document of each group whose fingerprints of 3-word shingles are linked at two bits or fewer: its smallest doc_id."""
+    return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and slot."""
-    return sharding.shuffled(docs).select("record.*", "shard", "slot")
+    return sharding.flat(sharding.shuffled(docs))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
