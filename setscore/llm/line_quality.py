@@ -2,8 +2,7 @@
 failing lines go, and a document that loses too much of its text is rejected.
 
 A line without a punctuation mark passes if its paragraph (consecutive lines with words) has one, or if
-its script is written without marks. The SQL still asks each line for a mark of STOPS; the test
-tables have no text on which the two differ.
+its script is written without marks.
 
 One pass over the documents, one text at a time; nothing is shuffled. Base measures are taken over
 the whole original text; the verdict of the lines is the method's own.
@@ -163,13 +162,17 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest(range(i, i + 3)) AS p FROM grams JOIN twice USING (doc_id, gram)) GROUP BY doc_id),
 l0 AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM a),
 l1 AS (SELECT *, regexp_extract_all(line, '{SPACED_WORD}') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM l0),
+p1 AS (SELECT *, regexp_matches(line, '{STOPS}') OR regexp_matches(line, '{OTHER_MARKS}')
+    OR 2 * len(list_filter(lw, lambda w: regexp_matches(w, '{UNSTOPPED_SCRIPTS}'))) > len(lw) AS mark,
+    count(*) FILTER (len(lw) = 0) OVER (PARTITION BY doc_id ORDER BY i) AS paragraph FROM l1),
+p2 AS (SELECT *, bool_or(mark) OVER (PARTITION BY doc_id, paragraph) AS marked FROM p1),
 l2 AS (SELECT *, len(lw) AS n, len(lw) > 0 AND (again
     OR 10 * len(regexp_extract_all(line, '{SYMBOLS}')) > 3 * len(lw)
     OR (len(lw) >= 3 AND 10 * len(regexp_extract_all(line, '!')) > 5 * len(lw))
-    OR (len(lw) >= {UNSTOPPED_WORDS} AND NOT regexp_matches(line, '{STOPS}'))
+    OR (len(lw) >= {UNSTOPPED_WORDS} AND NOT mark AND NOT (marked AND 2 * len(list_distinct(lw)) > len(lw)))
     OR (len(regexp_extract_all(line, '{SEPARATORS}')) >= {MIN_SEPARATORS} AND 10 * len(regexp_extract_all(line, '{SEPARATORS}')) > 3 * len(lw))
     OR (len(lw) >= {UNSTOPPED_WORDS} AND 2 * list_max(map_values(list_aggregate(lw, 'histogram'))) > len(lw))
-    OR (len(lw) <= {BOILERPLATE_WORDS} AND len(list_filter({_PHRASES}, lambda p: contains(translate(line, '{UPPER}', '{LOWER}'), p))) > 0)) AS bad FROM l1),
+    OR (len(lw) <= {BOILERPLATE_WORDS} AND len(list_filter({_PHRASES}, lambda p: contains(translate(line, '{UPPER}', '{LOWER}'), p))) > 0)) AS bad FROM p2),
 l3 AS (SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (n > 0 AND again) AS n_dup_lines,
               count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(n) FILTER (NOT bad), 0) AS n_kept_words,
               string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS clean FROM l2 GROUP BY doc_id),

@@ -9,6 +9,7 @@ import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,25 @@ def test_quality_of_odd_rows(spark, odd):
     assert line_quality.clean(odd.where("false")).collect() == []
 
 
+def test_sql_of_paragraphs_and_scripts(spark, tmp_path):
+    """Texts on which a line's own mark and its paragraph's differ, in Spark and in SQL."""
+    line = "a wrapped line of clean prose that goes on here"
+    thai = " ".join(chr(0x0E01 + k) * 3 for k in range(9))
+    texts = [f"{line} one\n{line} two\n{line} three, and ends.\n" * 1 + f"\n{line} four\n{line} five\n" * 3, f"{line} one\n\n{line} two\n  \nEnd of it all. " * 4,
+             "\n".join(f"{thai} {k}" for k in "abcdefgh"), "\n".join([f"{line} {k}" for k in range(9)] + ["It ends."]), "go go go stop go go go stop\nA sentence of words here.\n" * 5,
+             "\n".join(f"go go stop stop run run {k} {k} now now\nIt ends {k}." for k in range(9)), f"{line}\u06d4\n" + f"{line} x\n" * 8, None, ""]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_quality.op2_line_quality(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(line_quality.ORACLE_SQL["op2_line_quality"]).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted([tuple(r[n] for n in names) for r in got]) == sorted(want)
+    lost = {r.doc_id: r.n_bad_lines for r in got}
+    assert lost[0] > 0 and lost[1] > 0 and lost[2] == lost[3] == 0 and lost[4] > 0 and lost[5] > 0
+
+
 def test_line_rules():
     bad = ["$$$ buy ### now ***", "STOP!! READ!! THIS!!", "home | about | contact | more", "one two three four five six seven eight nine",
            "We use cookies on this site.", "go go go go go go go stop here."]
