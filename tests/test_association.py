@@ -272,3 +272,20 @@ def test_spearman_method_by_size_and_ties(spark):
         r = np.corrcoef(np.arange(n), y)[0, 1]
         assert got == method and p == pytest.approx(math.erfc(abs(r) * math.sqrt(n - 1) / math.sqrt(2)), abs=2e-3)
     assert _spearman_p(spark, [1, 1, 1], [1, 2, 3]) == (None, None) and _spearman_p(spark, [1], [1]) == (None, None)
+
+
+def test_violin_density_from_moments(spark):
+    """Close and far values, a hot one and a group of equal ones: the same as the sum over all values."""
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=3000), "b": np.append(np.full(5000, 1.5), rng.exponential(size=500)), "c": np.full(4, 2.0),
+              "d": np.append(rng.normal(size=200), [1e6, -1e6])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v]
+    got = S.violin_density(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 64).toPandas()
+    for g, v in groups.items():
+        own = got[got.g == g].sort_values("i")
+        q1, q3 = np.quantile(v, [0.25, 0.75])
+        sd = v.std(ddof=1)
+        low = min(sd, (q3 - q1) / 1.34) or sd or abs(v.min()) or 1.0
+        bw = 0.9 * low * len(v) ** -0.2
+        want = np.exp(-0.5 * (np.subtract.outer(own.x.to_numpy(), v) / bw) ** 2).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.pi))
+        assert np.abs(own.density.to_numpy() - want).max() <= 1e-11 * want.max(), g
