@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -234,15 +234,20 @@ def _pwilcox_counts(n1: int, n2: int) -> np.ndarray:
     return prev[n2]
 
 
-def _exact_p(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Two-sided p of each facet's w from the null distribution of its group sizes."""
-    out = []
-    for n1, n2, w in zip(pdf["n1"], pdf["n2"], pdf["w"], strict=True):
-        counts = _pwilcox_counts(int(n1), int(n2))
-        cdf = np.cumsum(counts) / counts.sum()
-        q = int(round(w))
-        out.append(min(1.0, 2 * (1 - cdf[q - 1] if q > n1 * n2 / 2 else cdf[q])))
-    return pdf.assign(p=out)
+def _exact_p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Two-sided p of each facet's w from the null distribution of its group sizes, which a task works out
+    once for each pair of sizes."""
+    known: dict[tuple[int, int], np.ndarray] = {}
+    for pdf in batches:
+        out = []
+        for n1, n2, w in zip(pdf["n1"], pdf["n2"], pdf["w"], strict=True):
+            sizes = (int(min(n1, n2)), int(max(n1, n2)))
+            if sizes not in known:
+                counts = _pwilcox_counts(*sizes)
+                known[sizes] = np.cumsum(counts) / counts.sum()
+            cdf, q = known[sizes], int(round(w))
+            out.append(min(1.0, 2 * (1 - cdf[q - 1] if q > n1 * n2 / 2 else cdf[q])))
+        yield pdf.assign(p=out)
 
 
 # Fixed value: groups below this size have an exact p by the reference's rule.
@@ -266,7 +271,7 @@ def wilcoxon_p(stats: DataFrame, facets: Sequence[str], p_method: str = "referen
     if p_method == "normal":
         return normal
     schema = T.StructType([*marked.schema.fields, T.StructField("p", T.DoubleType())])
-    return marked.where(exact).groupBy(*list(facets)).applyInPandas(_exact_p, schema).unionByName(normal)
+    return marked.where(exact).mapInPandas(_exact_p, schema).unionByName(normal)
 
 
 # Sides of a tile of the pair statistics: variables of a block, observations of a chunk.

@@ -289,3 +289,22 @@ def test_violin_density_from_moments(spark):
         bw = 0.9 * low * len(v) ** -0.2
         want = np.exp(-0.5 * (np.subtract.outer(own.x.to_numpy(), v) / bw) ** 2).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.pi))
         assert np.abs(own.density.to_numpy() - want).max() <= 1e-11 * want.max(), g
+
+
+def test_exact_rank_sum_of_many_facets(spark, monkeypatch):
+    """Facets of few pairs of sizes: p equals enumeration, and needs no exchange after the statistic."""
+    import itertools
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for f in range(12):
+        n1, n2 = (3, 4) if f % 2 else (5, 3)
+        v = rng.permutation(n1 + n2).astype(float)
+        rows += [(f, "x" if k < n1 else "y", float(x)) for k, x in enumerate(v)]
+        w = sum(v[:n1] + 1) - n1 * (n1 + 1) / 2
+        every = [sum(c) - n1 * (n1 + 1) / 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+        tail = sum(e >= w for e in every) if w > n1 * n2 / 2 else sum(e <= w for e in every)
+        want[f] = min(1.0, 2 * tail / len(every))
+    df = spark.createDataFrame(rows, "f long, g string, v double")
+    got = A.wilcoxon_p(A.wilcoxon(df, ["f"], "g", "v", ("x", "y")), ["f"]).collect()
+    assert {r["p_method"] for r in got} == {"exact"}
+    assert {r["f"]: pytest.approx(r["p"]) for r in got} == want
