@@ -206,8 +206,9 @@ def wilcoxon(df: DataFrame, facets: Sequence[str], group: str, value: str,
     w = F.col("rx") - n1 * (n1 + 1) / 2
     z0 = w - n1 * n2 / 2
     sigma = F.sqrt((n1 * n2 / 12) * ((n1 + n2 + 1) - F.try_divide(F.col("tie"), (n1 + n2) * (n1 + n2 - 1))))
-    z = F.try_divide(z0 - F.signum(z0) * 0.5, sigma)
-    p = 2 * F.least(phi(z), 1 - phi(z))
+    # a column of its own: written out at each of its uses, it is more code than a method may have
+    m = m.withColumn("_z", F.try_divide(z0 - F.signum(z0) * 0.5, sigma)).withColumn("_below", phi(F.col("_z")))
+    p = 2 * F.least(F.col("_below"), 1 - F.col("_below"))
     ok = (F.col("n1") > 0) & (F.col("n2") > 0)
     return m.select(*facets, "n1", "n2",
                     F.when(ok, w).alias("w"),
